@@ -69,13 +69,13 @@ def candidate_names(
     df = df.withColumns({
         "date": text.trip_date(F.col("filename")),
         "extension": text.suffix(F.col("filename")),
-        "_own": text.stem(F.col("filename")),
-        "_car": F.lit(_clean_car_model(car_model)),
+        "own_stem": text.stem(F.col("filename")),
+        "car": F.lit(_clean_car_model(car_model)),
     })
     fallback = F.date_format(
         F.from_utc_timestamp("start_time", F.col("timezone")), "'Trip' HH-mm"
     )
-    car_length = F.when(F.col("_car") == "", 0).otherwise(F.length("_car") + 3)
+    car_length = F.when(F.col("car") == "", 0).otherwise(F.length("car") + 3)
 
     def body(digits: int) -> Column:
         fixed = len("2024-01-01 ") + _suffix_length(digits)
@@ -127,7 +127,7 @@ def _number_names(key: tuple, trips: pd.DataFrame, taken: pd.DataFrame) -> pd.Da
     rows = []
     order = trips.sort_values(["date", "start_time", "filename"], na_position="first")
     for row in order.itertuples(index=False):
-        own, car = row._own.lower(), f" ({row._car})" if row._car else ""
+        own, car = row.own_stem.lower(), f" ({row.car})" if row.car else ""
         texts = tuple(row.texts)
 
         def stem(number: int) -> str:
@@ -159,7 +159,7 @@ def number_collisions(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     has is given at once; only contested groups of names go through Python.
     """
     first = assemble_name(
-        F.col("date"), F.col("texts")[0], F.lit(0), F.col("_car"), F.lit("")
+        F.col("date"), F.col("texts")[0], F.lit(0), F.col("car"), F.lit("")
     )
     wanted = candidates.withColumn("_first", first).withColumn("_key", collision_key(F.col("_first")))
     used = taken.select("stem", collision_key(F.col("stem")).alias("_key")).distinct()
@@ -174,7 +174,7 @@ def number_collisions(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     ).where((F.col("_wanted") > 1) | F.col("_used").isNotNull()).select("_key")
     trip_type = dict(candidates.dtypes)["trip_id"]
     contested = wanted.join(contested_keys, "_key", "left_semi").select(
-        "_key", "trip_id", "filename", "date", "start_time", "texts", "extension", "_own", "_car"
+        "_key", "trip_id", "filename", "date", "start_time", "texts", "extension", "own_stem", "car"
     )
     numbered = contested.groupBy("_key").cogroup(
         used.join(contested_keys, "_key", "left_semi").groupBy("_key")

@@ -24,10 +24,13 @@ def matches_query(query: str) -> Column:
         F.array("name"), F.coalesce("streets", F.array().cast("array<string>")),
         F.array("start_locality", "end_locality"),
     )
-    lowered = F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower)
+    lowered = F.transform(F.filter(texts, lambda t: t.isNotNull()), lambda t: F.lower(t))
+    def has(term: str) -> Column:
+        return F.exists(lowered, lambda t: F.contains(t, F.lit(term)))
+
     out = F.lit(True)
     for term in query_terms(query):
-        out = out & F.exists(lowered, lambda t, term=term: F.contains(t, F.lit(term)))
+        out = out & has(term)
     return out
 
 

@@ -90,9 +90,8 @@ def overrides(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def frame_readings(spark: SparkSession, folder: str) -> DataFrame:
+def frame_readings(raw: DataFrame) -> DataFrame:
     """Two frames per reading; every 17th second frame lost its GPS text."""
-    raw = readings(spark, folder)
     frames = raw.select(
         "*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_half")
     )
@@ -173,7 +172,7 @@ def road_nodes(spark: SparkSession, folder: str) -> DataFrame:
     # Every seventh locality has no population tag.
     population = F.when(key % 7 != 0, F.floor(F.abs("s_acctbal")).cast("string"))
     places = table(spark, folder, "supplier").select(
-        (-key).alias("id"),
+        (-key - 1).alias("id"),
         ((49_800_000 + key * 10_000) / 1_000_000).alias("lat"),
         ((24_000_000 + (key % 20) * 5000) / 1_000_000).alias("lon"),
         F.map_filter(
@@ -192,18 +191,127 @@ def library_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Real copies among the documents become copies of videos. Some names differ only in case.
     """
-    doc = F.col("doc_id")
-    day = F.date_format(F.date_add(F.lit(TRIP_DATE).cast("date"), (doc % 365).cast("int")), "yyyy-MM-dd")
-    trip = F.when(doc % 2 == 0, F.lit("Trip")).otherwise(F.lit("TRIP"))
-    extension = F.when(doc % 5 == 0, F.lit(".MOV")).otherwise(F.lit(".mp4"))
-    number = F.lpad((F.floor(doc / 2) % 24).cast("string"), 2, "0")
+    doc, pair = F.col("doc_id"), F.floor(F.col("doc_id") / 2).cast("int")
+    day = F.date_format(F.date_add(F.lit(TRIP_DATE).cast("date"), pair % 365), "yyyy-MM-dd")
     name = F.concat(
-        day, F.lit(" "), trip, F.lit(" "), number, F.lit("-"), F.lpad((doc % 60).cast("string"), 2, "0"),
+        day, F.when(doc % 2 == 0, " Trip ").otherwise(" TRIP "),
+        F.lpad((pair % 24).cast("string"), 2, "0"), F.lit("-"), F.lpad((pair % 60).cast("string"), 2, "0"),
         F.when(doc % 3 == 0, F.concat(F.lit(" no "), doc.cast("string"))).otherwise(F.lit("")),
-        extension,
+        F.when(doc % 5 == 0, ".MOV").otherwise(".mp4"),
     )
     return table(spark, folder, "documents").select(
         doc.alias("doc_id"), name.alias("name"), F.col("text").cast("binary").alias("content"),
-        F.octet_length("text").alias("size"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + doc % 1000).alias("mtime"),
+        F.octet_length("text").cast("long").alias("size"),
+        (F.lit(1_704_067_200) + doc % 1000).cast("double").alias("mtime"),
+    )
+
+
+def library_videos(spark: SparkSession, folder: str) -> DataFrame:
+    """Library videos with their content fingerprint."""
+    return library_files(spark, folder).select(
+        "doc_id", "name", "size", "mtime", text.content_fingerprint(F.col("content")).alias("fingerprint")
+    )
+
+
+def unreadable_tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """Track files of some videos that cannot be read."""
+    return library_files(spark, folder).where("doc_id % 41 = 0").select(
+        text.stem(F.col("name")).alias("stem"), F.lit("invalid JSON").alias("reason")
+    )
+
+
+def library_tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracks of most library videos, with all the ways in which they can disagree."""
+    doc = F.col("doc_id")
+    stem, extension = text.stem(F.col("name")), text.suffix(F.col("name"))
+    moved, misnamed, changed = doc % 17 == 0, (doc % 29 == 0) & (doc % 17 != 0), doc % 23 == 0
+    videos = library_videos(spark, folder).where("doc_id % 4 <> 1 and doc_id % 41 <> 0")
+    declared = F.when(moved, F.concat(stem, F.lit(" old"))).otherwise(stem)
+    enrichment = F.when(doc % 5 == 0, "missing").when(doc % 6 == 0, "outdated").otherwise("current")
+    return videos.select(
+        "doc_id",
+        F.when(misnamed, F.concat(stem, F.lit(" copy"))).otherwise(declared).alias("file_stem"),
+        declared.alias("stem"), F.concat(declared, extension).alias("video_filename"),
+        F.when(changed, F.lit("0:changed")).otherwise(F.col("fingerprint")).alias("fingerprint"),
+        (F.col("size") + F.when(changed, 1).otherwise(0)).alias("video_size"),
+        (F.col("mtime") + F.when(doc % 19 == 0, 5).otherwise(0)).alias("video_mtime"),
+        F.when(doc % 37 == 0, "no_overlay").otherwise("ok").alias("extraction_status"),
+        F.when(doc % 31 == 0, 0).otherwise(1).alias("extractor_version"),
+        F.when(doc % 11 == 0, 1).otherwise(2).alias("cleaning_version"),
+        enrichment.alias("enrichment_status"),
+        (doc % 2 == 0).alias("has_gps_text"), (doc % 8 != 0).alias("has_good_fix"),
+    )
+
+
+def previews(spark: SparkSession, folder: str) -> DataFrame:
+    """Previews of some videos, and some of videos long gone."""
+    stem = text.stem(F.col("name"))
+    kept = F.when(F.col("doc_id") % 13 == 0, F.concat(stem, F.lit(" gone"))).otherwise(stem)
+    return library_files(spark, folder).where("doc_id % 3 <> 2").select(
+        F.concat(kept, F.lit(".mp4")).alias("name")
+    )
+
+
+def leftovers(spark: SparkSession, folder: str) -> DataFrame:
+    """Temporary files left behind, with their age."""
+    return table(spark, folder, "documents").where("doc_id % 50 = 7").select(
+        F.concat(F.lit("tracks/.tmp-"), F.col("doc_id").cast("string"), F.lit(".partial")).alias("path"),
+        (F.col("doc_id") * 20).cast("double").alias("age_s"),
+    )
+
+
+def trip_tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """One track per trip of the readings, named by a placeholder; a few have no overlay."""
+    users = table(spark, folder, "events").select(F.col("user_id").alias("trip_id")).distinct()
+    trip = F.col("trip_id")
+    day = F.date_format(F.date_add(F.lit(TRIP_DATE).cast("date"), (trip % 3).cast("int")), "yyyy-MM-dd")
+    return users.select(
+        "trip_id",
+        F.concat(day, F.lit(" Trip "), F.lpad((trip % 24).cast("string"), 2, "0"), F.lit("-"),
+                 F.lpad((trip % 60).cast("string"), 2, "0"), F.lit(" "), trip.cast("string"),
+                 F.lit(".mp4")).alias("video_filename"),
+        F.when(trip % 25 == 24, "no_overlay").otherwise("ok").alias("extraction_status"),
+        F.lit(1).alias("cleaning_version"),
+    )
+
+
+def tokens(raw: DataFrame) -> DataFrame:
+    """Token detections of one frame per reading, with a weaker reading in the other style, and
+    a speed-like token found inside the clock."""
+    raw = raw.where("gps_text <> ''")
+    part = F.split("gps_text", " ")
+    clock = F.split("clock_text", " ")
+    trip = F.col("trip_id")
+
+    def suffix_style(i: int) -> Column:
+        return F.concat(F.substring(F.get(part, i), 2, 20), F.substring(F.get(part, i), 1, 1))
+
+    def token(kind, value, x, score):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("text"), F.lit(x).alias("x"), score.alias("min_score"),
+                        (score + 0.01).alias("mean_score"))
+
+    good, weak = F.col("gps_score"), F.lit(0.65)
+    # Every fourth trip is read in the suffix style.
+    prefix, other = F.when(trip % 4 == 0, weak).otherwise(good), F.when(trip % 4 == 0, good).otherwise(weak)
+    found = F.array(
+        token("date", F.get(clock, 0), 1000, F.col("clock_score")),
+        token("time", F.get(clock, 1), 1216, F.lit(0.9)),
+        token("speed", F.concat(F.get(part, 0), F.lit(" KM/H")), 0, good),
+        token("speed", F.lit("8 KM/H"), 1010, F.lit(0.99)),
+        token("lat-prefix", F.get(part, 2), 200, prefix), token("lon-prefix", F.get(part, 3), 400, prefix),
+        token("lat-suffix", suffix_style(2), 218, other), token("lon-suffix", suffix_style(3), 418, other),
+    )
+    return raw.select("trip_id", F.col("t").alias("frame_t"), F.explode(found).alias("_t")).select(
+        "trip_id", "frame_t", "_t.*"
+    )
+
+
+def probe_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten probe frames per trip: too narrow videos, missing frames and weak clocks among them."""
+    trips = table(spark, folder, "events").select(F.col("user_id").alias("video")).distinct()
+    video, frame = F.col("video"), F.col("frame")
+    return trips.select("video", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("frame")).select(
+        "video", F.when(video % 7 == 0, 1024).otherwise(2560).alias("width"),
+        ((video % 3 == 0) & (frame >= 8)).alias("is_missing"), F.lit("2024/01/01 08:00:00").alias("clock_text"),
+        F.when(frame < video % 6, 0.9).otherwise(0.3).alias("clock_score"),
     )
