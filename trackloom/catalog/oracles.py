@@ -453,8 +453,6 @@ def _finding(rule, severity, subject, detail, fix, source) -> str:
 CTES["conflicts"] = "SELECT DISTINCT v.stem FROM videos v JOIN shared s ON lower(v.stem) = s.key"
 CTES["checked"] = """
 SELECT * FROM videos WHERE stem NOT IN (SELECT stem FROM conflicts) AND stem NOT IN (SELECT stem FROM unreadable)"""
-CTES["orphans"] = "SELECT file_stem FROM tracks WHERE stem NOT IN (SELECT stem FROM videos)"
-# Misnamed tracks are left out by declared name; others by file name.
 CTES["orphans"] = "SELECT file_stem FROM tracks WHERE stem NOT IN (SELECT v.stem FROM videos v)"
 CTES["known"] = """
 SELECT c.*, b.old_stem, o.file_stem AS orphan FROM checked c
@@ -588,11 +586,6 @@ FROM (SELECT *, least(1.0, greatest(0.0, -(x1 * dx + y1 * dy) / (dx * dx + dy *
   FROM (SELECT trip_id, seq, (24.0 - lon) * {m} * cos(radians(lat)) AS x1, (49.80 - lat) * {m} AS y1,
     (24.01 - lon) * {m} * cos(radians(lat)) - (24.0 - lon) * {m} * cos(radians(lat)) AS dx, (49.82 - lat) * {m} - (49.80 - lat) * {m} AS dy
     FROM gps_read WHERE lat > 0))"""
-    q["w1_collapse_frames"] = """
-SELECT trip_id, seq * 2 AS seq, t, gps_text, clock_text, gps_score, clock_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY trip_id, tick ORDER BY t, seq) AS i FROM (
-    SELECT *, sum(CASE WHEN clock_text IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS tick
-    FROM (SELECT *, lag(clock_text) OVER (PARTITION BY trip_id ORDER BY t, seq) AS before FROM readings))) WHERE i = 1"""
     # A tick takes its last reliable GPS text, else that of its last frame.
     q["w1_collapse_frames"] = """
 SELECT trip_id, min(seq) AS seq, min(t) AS t, coalesce(arg_max(gps_text, seq) FILTER (ok), arg_max(gps_text, seq)) AS gps_text, any_value(clock_text) AS clock_text,
@@ -640,7 +633,7 @@ SELECT trip_id, bucket, min(pseq) AS from_seq, max(seq) AS to_seq, count(*) + 1
 SELECT trip_id, second, round(CASE WHEN located THEN CASE WHEN moves THEN lat + (nlat - lat) * (second - t) / (nt - t) ELSE lat END END, 6) AS lat,
   round(CASE WHEN located THEN CASE WHEN moves THEN lon + (nlon - lon) * (second - t) / (nt - t) ELSE lon END END, 6) AS lon
 FROM (SELECT *, coalesce(nlocated AND nt - t <= 3 AND coalesce(epoch(ntime) - epoch(time) BETWEEN 0 AND 60, TRUE), FALSE) AS moves
-  FROM (SELECT m.second, s.* FROM (SELECT trip_id, t + 0.25 AS second FROM clean) m ASOF JOIN (
+  FROM (SELECT m.second, s.* FROM (SELECT trip_id, t + 0.2 AS second FROM clean) m ASOF JOIN (
     SELECT *, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, lead(t) OVER w AS nt, lead(time) OVER w AS ntime, lead(located) OVER w AS nlocated
     FROM steps WINDOW w AS (PARTITION BY trip_id ORDER BY t, seq)) s ON m.trip_id = s.trip_id AND m.second >= s.t))"""
     q["j10_nearest_sample"] = """

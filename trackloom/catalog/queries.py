@@ -322,10 +322,8 @@ def w1_collapse_frames(spark, folder):
 
 
 def _segmented(spark, folder, overrides=True) -> DataFrame:
-    def work(d, o):
-        return cleaning.split_segments(cleaning.parse_readings(d, o), o)
-
-    return _trips(_parsed(spark, folder, overrides), work).where(F.col("initial_status") == C.OK)
+    parsed = _trips(_parsed(spark, folder, overrides), cleaning.parse_readings)
+    return parsed.where(F.col("initial_status") == C.OK)
 
 
 @query
@@ -482,7 +480,7 @@ def w19_speed_stretches(spark, folder):
 @query
 def j9_position_at(spark, folder):
     samples = cleaned(spark, folder)
-    moments = samples.select("trip_id", (F.col("t") + 0.25).alias("second"))
+    moments = samples.select("trip_id", (F.col("t") + 0.2).alias("second"))
     return stats.position_at(samples, moments).select(
         "trip_id", "second", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")
     )

@@ -7,6 +7,17 @@ from pyspark.sql import Column, functions as F
 from trackloom import constants as C
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with fixed decimals, rounded by its exact binary value (ties to even)."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
+def rounded(value: Column | str, digits: int = 0) -> Column:
+    """Round half to even by the exact binary value, as stored numbers are rounded."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.rint(value) if digits == 0 else fixed(value, digits).cast("double")
+
+
 def speed_bucket(kmh: Column) -> Column:
     """Label of the speed bucket, ``unknown`` without a speed."""
     out = F.when(kmh.isNull(), F.lit("unknown"))
@@ -63,7 +74,7 @@ def distance(km: Column) -> Column:
     """Kilometers with one decimal, none from 100 km."""
     whole = F.format_string("%d km", F.floor(km + 0.5).cast("long"))
     return F.when(km.isNull(), F.lit("-")).when(km >= 100, whole).otherwise(
-        F.format_string("%.1f km", km)
+        F.concat(fixed(km, 1), F.lit(" km"))
     )
 
 
@@ -74,7 +85,7 @@ def speed(kmh: Column) -> Column:
 
 
 def coordinates(lat: Column, lon: Column) -> Column:
-    return F.format_string("%.5f, %.5f", lat, lon)
+    return F.concat(fixed(lat, 5), F.lit(", "), fixed(lon, 5))
 
 
 def clock_time(time: Column, timezone: Column, with_seconds: bool = False) -> Column:

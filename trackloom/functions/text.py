@@ -67,19 +67,31 @@ def clock_from_parts(parts: Column, day_first: bool = True) -> Column:
     def number(index: int) -> Column:
         return F.get(parts, index).cast("int")
 
-    time = (number(3), number(4), F.get(parts, 5).cast("decimal(8,6)"))
     length_first, length_last = F.length(F.get(parts, 0)), F.length(F.get(parts, 2))
     day, month = (number(0), number(1)) if day_first else (number(1), number(0))
-    # Second 60 would be taken as the next minute, but is not a valid clock reading.
-    return F.when(number(5) > 59, None).when(
-        (length_first == 4) & (length_last <= 2) & (number(0) > 0),
-        F.try_make_timestamp(number(0), number(1), number(2), *time),
+    seconds = number(3) * 3600 + number(4) * 60 + number(5)
+    in_range = (number(3) <= 23) & (number(4) <= 59) & (number(5) <= 59)
+    return F.when(
+        in_range & (length_first == 4) & (length_last <= 2),
+        _moment(number(0), number(1), number(2), seconds),
     ).when(
-        (length_last == 4) & (length_first <= 2) & (number(2) > 0),
-        F.try_make_timestamp(number(2), month, day, *time),
+        in_range & (length_last == 4) & (length_first <= 2),
+        _moment(number(2), month, day, seconds),
     )
 
 
+def _moment(year: Column, month: Column, day: Column, seconds: Column) -> Column:
+    """Timestamp of a valid calendar day, or null. Whole-number checks avoid failed attempts."""
+    is_leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(is_leap, 29).otherwise(28)).when(
+        month.isin(4, 6, 9, 11), 30
+    ).otherwise(31)
+    is_valid = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= days)
+    return F.when(is_valid, F.timestamp_seconds(
+        F.unix_date(F.make_date(year, month, day)).cast("long") * 86400 + seconds
+    ))
+
+
 def parse_clock_text(text: Column, day_first: bool = True) -> Column:
     """Local wall time shown by the camera clock (as a UTC-session timestamp), or null."""
     return clock_from_parts(clock_parts(text), day_first)

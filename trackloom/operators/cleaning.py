@@ -19,6 +19,7 @@ from trackloom.operators.blocks import (
     BLOCK, Following, GroupTotal, LastKnown, NextKnown, Ordering, Previous, RunningSum, by_group,
     scan,
 )
+from trackloom.session import durable
 
 # Trips with up to this many segments are chained inside the JVM, others in numpy.
 MAX_FOLDED_SEGMENTS = 200
@@ -147,8 +148,19 @@ def infer_day_first(raw: DataFrame) -> DataFrame:
     return sums.withColumn("is_day_first", is_day_first("votes_"))
 
 
-def parse_readings(raw: DataFrame, ordering: Ordering, areas: Sequence[tuple] = ()) -> DataFrame:
-    """Parsed GPS, clock, UTC instant and initial status of every reading."""
+def parse_readings(
+    raw: DataFrame, ordering: Ordering, areas: Sequence[tuple] = (), timezone: str | None = None
+) -> DataFrame:
+    """Parsed GPS, clock, UTC instant, initial status and segment of every reading.
+
+    Candidate fixes (initial status ok) are numbered by ``segment``, a stretch of physically
+    reachable fixes, and by ``place``, segments without a teleport between them. Other rows
+    carry the numbers of the fixes around them. ``timezone`` is the zone of all cameras; without
+    it the column of that name is used.
+
+    The running state of instants and segments is computed side by side: two passes over the
+    order of a trip instead of four.
+    """
     gps_reliable = text.is_reliable(F.col("gps_text"), F.col("gps_score"))
     df = raw.withColumn("_gps_parts", F.when(gps_reliable, text.gps_parts(F.col("gps_text"))))
     df = df.withColumn("gps", text.gps_from_parts(F.col("_gps_parts"))).drop("_gps_parts")
@@ -163,62 +175,60 @@ def parse_readings(raw: DataFrame, ordering: Ordering, areas: Sequence[tuple] =
     df = df.withColumn("clock", clock).drop(
         "_day_first", "_month_first", *[f"{p}{name}" for name in VOTES for p in ("_vote_", "_sum_")]
     )
-    return resolve_instants(df, ordering)
+    is_candidate = F.col("initial_status") == C.OK
+    df = df.withColumns({
+        "_trusted": F.when(is_clock_plausible(F.col("clock"), F.col("trip_date")), F.col("clock")),
+        "_fix": F.when(is_candidate, F.struct("t", "gps.lat", "gps.lon")),
+    })
+    df = scan(
+        df, ordering, _clock_before=LastKnown(F.col("_trusted")), _from=LastKnown(F.col("_fix"))
+    )
+    zone = F.col("timezone") if timezone is None else F.lit(timezone)
+    df = _with_segment_starts(_with_local_instants(df, zone))
+    df = scan(
+        df, ordering, _repeating=LastKnown(F.col("_event"), inclusive=True),
+        segment=RunningSum(F.col("_starts_segment")), place=RunningSum(F.col("_starts_place")),
+    )
+    use_second = F.col("_two") & (F.col("_repeating") == 1)
+    instant = F.when(use_second, F.col("_second")).otherwise(F.col("_first"))
+    return df.withColumn("instant", instant).drop(
+        "_trusted", "_first", "_second", "_two", "_clock_before", "_event", "_repeating",
+        "_fix", "_from", "_starts_segment", "_starts_place",
+    )
 
 
-def with_local_instants(df: DataFrame, clock: str, timezone: str) -> DataFrame:
-    """Add the UTC instant ``_first`` of a local time, its other reading ``_second``, and
-    ``_two``: whether these differ.
+def _with_local_instants(df: DataFrame, zone: Column) -> DataFrame:
+    """Add the UTC instant ``_first`` of a trusted clock, its other reading ``_second``, ``_two``:
+    whether these differ, and ``_event``: what the reading says about the hour.
 
     A repeated hour can be its first or second occurrence; a skipped hour can be taken with the
-    offset from before or after the change.
+    offset from before or after the change. The second one is taken once the clock has stepped
+    back (event 1), until a clock with a single reading follows (event 0).
     """
-    zone = F.col(timezone)
-    df = df.withColumn("_first", F.to_utc_timestamp(clock, zone))
+    df = df.withColumn("_first", F.to_utc_timestamp("_trusted", zone))
     later = F.col("_first") + F.expr("INTERVAL 1 DAY")
     offset_after_us = F.unix_micros(F.from_utc_timestamp(later, zone)) - F.unix_micros(later)
-    df = df.withColumn("_second", F.timestamp_micros(F.unix_micros(clock) - offset_after_us))
+    df = df.withColumn("_second", F.timestamp_micros(F.unix_micros("_trusted") - offset_after_us))
+    # The offset is the same a day later except around a change, so most rows stop here.
     repeated = (F.col("_second") > F.col("_first")) & (
-        F.from_utc_timestamp("_second", zone) == F.col(clock)
+        F.from_utc_timestamp("_second", zone) == F.col("_trusted")
     )
-    skipped = F.from_utc_timestamp("_first", zone) != F.col(clock)
-    return df.withColumn("_two", F.coalesce(repeated | skipped, F.lit(False)))
-
-
-def resolve_instants(df: DataFrame, ordering: Ordering) -> DataFrame:
-    """Add ``instant``, the UTC time of plausible clocks.
-
-    Inside an hour with two readings the second one is taken once the clock has stepped back,
-    until a clock with a single reading follows.
-    """
-    trusted = F.when(is_clock_plausible(F.col("clock"), F.col("trip_date")), F.col("clock"))
-    df = with_local_instants(df.withColumn("_trusted", trusted), "_trusted", "timezone")
-    df = scan(df, ordering, _clock_before=LastKnown(F.col("_trusted")))
+    skipped = (F.col("_second") < F.col("_first")) & (
+        F.from_utc_timestamp("_first", zone) != F.col("_trusted")
+    )
+    df = df.withColumn("_two", F.coalesce(repeated | skipped, F.lit(False)))
     step_back_s = (F.unix_micros("_clock_before") - F.unix_micros("_trusted")) / 1e6
-    event = F.when(F.col("_trusted").isNotNull() & ~F.col("_two"), 0).when(
+    return df.withColumn("_event", F.when(F.col("_trusted").isNotNull() & ~F.col("_two"), 0).when(
         F.col("_two") & (step_back_s > C.CLOCK_JITTER_S), 1
-    )
-    df = df.withColumn("_event", event)
-    df = scan(df, ordering, _repeating=LastKnown(F.col("_event"), inclusive=True))
-    use_second = F.col("_two") & (F.col("_repeating") == 1)
-    instant = F.when(use_second, F.col("_second")).otherwise(F.col("_first"))
-    return df.withColumn("instant", instant).drop(
-        "_trusted", "_first", "_second", "_two", "_clock_before", "_event", "_repeating"
-    )
+    ))
 
 
 # --- rejecting wrong fixes -------------------------------------------------------------------------
 
 
-def split_segments(parsed: DataFrame, ordering: Ordering) -> DataFrame:
-    """Number the segments of physically reachable fixes, and the places between teleports.
-
-    Rows that are no candidate fix get the numbers of the segment around them; only rows with
-    the initial status ok belong to it.
-    """
+def _with_segment_starts(df: DataFrame) -> DataFrame:
+    """Mark the candidate fixes that cannot be reached from the fix before, or only by noise."""
     is_candidate = F.col("initial_status") == C.OK
-    fix = F.when(is_candidate, F.struct("t", "gps.lat", "gps.lon"))
-    df = scan(parsed.withColumn("_fix", fix), ordering, _from=LastKnown(F.col("_fix")))
     distance = geo.haversine_m(
         F.col("_from.lat"), F.col("_from.lon"), F.col("gps.lat"), F.col("gps.lon")
     )
@@ -229,13 +239,9 @@ def split_segments(parsed: DataFrame, ordering: Ordering) -> DataFrame:
         is_first = is_candidate & F.col("_from").isNull()
         return F.when(is_first | (F.col("_speed") > limit), 1).otherwise(0)
 
-    df = df.withColumns({
+    return df.withColumns({
         "_starts_segment": starts(C.MAX_SPEED_KMH), "_starts_place": starts(C.MAX_PLACE_JUMP_KMH)
-    })
-    return scan(
-        df, ordering,
-        segment=RunningSum(F.col("_starts_segment")), place=RunningSum(F.col("_starts_place")),
-    ).drop("_fix", "_from", "_speed", "_starts_segment", "_starts_place")
+    }).drop("_speed")
 
 
 def speed_pairs(fixes: DataFrame, ordering: Ordering) -> DataFrame:
@@ -452,8 +458,11 @@ def select_chain(segments: DataFrame, max_folded: int = MAX_FOLDED_SEGMENTS) ->
         ]
 
     trip_type = dict(segments.dtypes)["trip_id"]
+    larger = counted.where(F.col("_count") > max_folded)
+    if larger.isEmpty():
+        return kept
     many = (
-        counted.where(F.col("_count") > max_folded)
+        larger
         .select("trip_id", "segment", "weight", *flat("first"), *flat("last"))
         .groupBy("trip_id")
         .applyInPandas(_chain_many, f"trip_id {trip_type}, segment bigint")
@@ -479,11 +488,11 @@ def attach_kept(rows: DataFrame, kept: DataFrame, fixes: DataFrame, ordering: Or
 
 def detect_good_fixes(parsed: DataFrame, ordering: Ordering) -> DataFrame:
     """Add the final status of every sample (gaps are filled later)."""
-    rows = split_segments(parsed, ordering)
-    if ordering.blocked:
-        rows = blocks.durable(rows)
+    rows = durable(parsed) if ordering.blocked else parsed
     fixes = rows.where(F.col("initial_status") == C.OK)
-    segments = summarize_segments(speed_pairs(fixes, ordering))
+    # One row per segment. Writing this small table keeps the samples from being parsed again
+    # for each of its uses.
+    segments = durable(summarize_segments(speed_pairs(fixes, ordering)))
     kept = select_chain(plausible_segments(segments))
     rows = attach_kept(rows, kept, fixes, ordering)
     good_override = F.col("gps").isNotNull() & in_ranges(F.col("t"), "good_ranges")
@@ -518,7 +527,8 @@ def assign_times(df: DataFrame, ordering: Ordering) -> DataFrame:
     is_anchor = (F.col("status") == C.OK) & F.col("instant").isNotNull()
     anchor = F.when(is_anchor, F.struct("t", "instant", "_jumps", "_doubts"))
     df = df.withColumn("_anchor", anchor)
-    df = scan(df, ordering, _past=LastKnown(F.col("_anchor")), _future=NextKnown(F.col("_anchor")))
+    df = scan(df, ordering, _past=LastKnown(F.col("_anchor")))
+    df = scan(df, ordering, _future=NextKnown(F.col("_anchor")))
 
     def derive(name: str, doubts: Column) -> Column:
         side = F.col(name)
@@ -554,7 +564,9 @@ def interpolate_gaps(df: DataFrame, ordering: Ordering) -> DataFrame:
     """Fill short runs without a good fix between two good fixes (position, not speed)."""
     good = F.when(F.col("status") == C.OK, F.struct("t", "time", "lat", "lon"))
     df = df.withColumn("_good", good)
-    df = scan(df, ordering, _left=LastKnown(F.col("_good")), _right=NextKnown(F.col("_good")))
+    # The rows are in descending order here, so looking ahead first saves a sort.
+    df = scan(df, ordering, _right=NextKnown(F.col("_good")))
+    df = scan(df, ordering, _left=LastKnown(F.col("_good")))
 
     def seconds(start: str, end: Column, end_t: Column) -> Column:
         by_clock = (F.unix_micros(end) - F.unix_micros(f"{start}.time")) / 1e6
@@ -585,13 +597,12 @@ def clean_tracks(
     areas: Sequence[tuple] = (),
     ordering: Ordering | None = None,
     hot=None,
+    timezone: str | None = None,
 ) -> DataFrame:
     """Clean the readings of all trips: status, time, position and speed of every sample."""
 
     def work(df, o):
-        df = parse_readings(df, o, areas)
-        if o.blocked:
-            df = blocks.durable(df)
+        df = parse_readings(df, o, areas, timezone)
         df = detect_good_fixes(df, o)
         df = assign_times(df, o)
         is_ok = F.col("status") == C.OK

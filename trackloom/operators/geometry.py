@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trackloom import constants as C
-from trackloom.functions import geo
+from trackloom.functions import report
 from trackloom.operators import blocks, stats
 from trackloom.operators.blocks import (
     BLOCK, Following, GroupTotal, LastKnown, NextKnown, Ordering, RunningSum, by_group, scan,
@@ -30,8 +30,8 @@ def route_points(samples: DataFrame, ordering: Ordering | None = None, hot=None)
     runs = stats.route_runs(samples, ordering, hot)
     return runs.select(
         "trip_id", "run", "t", "seq",
-        F.bround("lat", C.GEOMETRY_DECIMALS).alias("lat"),
-        F.bround("lon", C.GEOMETRY_DECIMALS).alias("lon"),
+        report.rounded("lat", C.GEOMETRY_DECIMALS).alias("lat"),
+        report.rounded("lon", C.GEOMETRY_DECIMALS).alias("lon"),
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trackloom import constants as C
 from trackloom.functions import names, text
 from trackloom.operators.blocks import Ordering, Previous, RunningSum, by_group, scan
+from trackloom.session import durable
 
 # Suffixes " (1)" to " (999999)" are fitted; more trips of one name on one day are not expected,
 # and are still numbered, within the last fitted length.
@@ -43,8 +43,9 @@ def label_streets(streets: DataFrame) -> DataFrame:
 
 def named_stretches(streets: DataFrame, hot=None) -> DataFrame:
     """The stretches a trip is named after: merged, long enough, merged again."""
-    merged = merge_repeats(label_streets(streets), hot)
-    return merge_repeats(merged.where(F.col("distance_m") >= C.MIN_NAMED_STRETCH_M), hot)
+    merged = merge_repeats(durable(label_streets(streets)), hot)
+    # A stretch list is tiny beside the samples; writing it keeps the plans of later steps small.
+    return durable(merge_repeats(merged.where(F.col("distance_m") >= C.MIN_NAMED_STRETCH_M), hot))
 
 
 def _suffix_length(digits: int) -> int:
@@ -77,16 +78,19 @@ def candidate_names(
     )
     car_length = F.when(F.col("car") == "", 0).otherwise(F.length("car") + 3)
 
-    def body(digits: int) -> Column:
-        fixed = len("2024-01-01 ") + _suffix_length(digits)
-        room = F.lit(C.MAX_FILENAME_LENGTH - fixed) - car_length - F.length("extension")
-        return F.when(
-            F.col("_stretches").isNotNull(), names.fit_street_labels(F.col("_stretches"), room)
-        ).otherwise(fallback)
-
-    return df.withColumn(
-        "texts", F.array(*[body(d) for d in range(max_digits + 1)])
-    ).drop("_stretches")
+    # One expression for all lengths: the room left beside date, suffixes and extension.
+    fixed = F.lit(len("2024-01-01 ")) + car_length + F.length("extension")
+    rooms = F.transform(
+        F.array(*[F.lit(_suffix_length(d)) for d in range(max_digits + 1)]),
+        lambda suffix: F.lit(C.MAX_FILENAME_LENGTH) - fixed - suffix,
+    )
+    fitted = F.transform("_rooms", lambda room: names.fit_street_labels(F.col("_stretches"), room))
+    return df.withColumns({"_rooms": rooms, "_fallback": fallback}).withColumn(
+        "texts",
+        F.when(F.col("_stretches").isNotNull(), fitted).otherwise(
+            F.transform("_rooms", lambda room: F.col("_fallback"))
+        ),
+    ).drop("_stretches", "_rooms", "_fallback")
 
 
 def _clean_car_model(model: str) -> str:
@@ -220,4 +224,4 @@ def plan_renames(
     stretches = named_stretches(streets.join(targets.select("trip_id"), "trip_id", "left_semi"), hot)
     candidates = candidate_names(targets, stretches, car_model)
     # Without streets and any time a trip keeps its name.
-    return number_collisions(candidates.where(F.col("texts")[0].isNotNull()), taken)
+    return number_collisions(durable(candidates.where(F.col("texts")[0].isNotNull())), taken)

@@ -62,13 +62,13 @@ def trip_stats(samples: DataFrame, ordering: Ordering | None = None, hot=None) -
     duration = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6
     return sums.select(
         "trip_id", "start_time", "end_time",
-        F.coalesce(F.bround(duration).cast("long"), F.lit(0)).alias("duration_s"),
-        F.bround(F.col("_distance_m") / 1000, 2).alias("distance_km"),
+        F.coalesce(report.rounded(duration).cast("long"), F.lit(0)).alias("duration_s"),
+        report.rounded(F.col("_distance_m") / 1000, 2).alias("distance_km"),
         F.when(
-            F.col("_moving_s") > 0, F.bround(F.col("_distance_m") / F.col("_moving_s") * 3.6, 1)
+            F.col("_moving_s") > 0, report.rounded(F.col("_distance_m") / F.col("_moving_s") * 3.6, 1)
         ).alias("avg_kmh"),
         "max_kmh",
-        F.bround(F.col("_located_n") / F.col("_n"), 3).alias("coverage"),
+        report.rounded(F.col("_located_n") / F.col("_n"), 3).alias("coverage"),
         F.map_filter(counts, lambda k, v: v > 0).alias("status_counts"),
         F.when(F.col("_located_n") > 0, F.struct(
             F.col("_min_lat").alias("min_lat"), F.col("_min_lon").alias("min_lon"),

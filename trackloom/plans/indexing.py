@@ -92,8 +92,8 @@ def library_status(
         F.lit("trip").alias("section"), F.col("stem").alias("name"),
         *texts(
             duration=report.status_duration(F.coalesce("duration_s", F.lit(0))),
-            distance=F.format_string("%.1f km", F.coalesce("distance_km", F.lit(0.0))),
-            coverage_percent=F.bround(F.coalesce(percent, F.lit(0.0))).cast("int"),
+            distance=F.concat(report.fixed(F.coalesce("distance_km", F.lit(0.0)), 1), F.lit(" km")),
+            coverage_percent=F.rint(F.coalesce(percent, F.lit(0.0))).cast("int"),
             coverage_color=report.coverage_style(F.coalesce(percent, F.lit(0.0))),
         ),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackloom import constants as C
 from trackloom.functions import text
+from trackloom.functions.report import rounded
 
 OVERRIDE_KINDS = ("bad", "good")
 _HEADER_TYPES = {
@@ -186,12 +187,12 @@ def persisted_samples(samples: DataFrame) -> DataFrame:
     """Samples in their stored form: rounded, with one raw text, and offset times."""
     return samples.select(
         "trip_id", "seq",
-        F.bround("t", 2).alias("t"),
+        rounded("t", 2).alias("t"),
         iso_local(F.col("time"), F.col("timezone")).alias("time"),
-        F.bround("lat", 6).alias("lat"), F.bround("lon", 6).alias("lon"), "kmh", "status",
+        rounded("lat", 6).alias("lat"), rounded("lon", 6).alias("lon"), "kmh", "status",
         F.when(F.col("time_estimated"), F.lit(True)).alias("time_estimated"),
         F.concat("gps_text", F.lit(C.RAW_TEXT_SEPARATOR), "clock_text").alias("raw"),
-        F.array(F.bround("gps_score", 2), F.bround("clock_score", 2)).alias("scores"),
+        F.array(rounded("gps_score", 2), rounded("clock_score", 2)).alias("scores"),
     )
 
 
