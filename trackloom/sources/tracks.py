@@ -35,8 +35,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     A byte order mark is accepted.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    content = F.regexp_replace("value", "^﻿", "")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    content = F.regexp_replace("value", "^\ufeff", "")
     return files.select(
         text.stem(F.col("_metadata.file_name")).alias("file_stem"),
         F.try_parse_json(content).alias("document"),
