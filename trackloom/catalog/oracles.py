@@ -102,12 +102,12 @@ AREA = " OR ".join(
 )
 
 
-def _clean_ctes(x: str, bad: str, good: str, area: str = "TRUE") -> None:
+def _clean_ctes(x: str, bad: str, good: str, area: str = "TRUE", trip_date: str = "trip_date") -> None:
     """The cleaning steps, for one way of giving overrides."""
     CTES[f"parsed{x}"] = f"""
 SELECT c.trip_id, seq, t, gps_text, clock_text, gps_score, clock_score,
   CASE WHEN rel THEN lat END AS lat, CASE WHEN rel THEN lon END AS lon, CASE WHEN rel THEN kmh END AS kmh,
-  clock, CASE WHEN abs(date_diff('day', trip_date, CAST(clock AS DATE))) <= 1 THEN clock - INTERVAL 2 HOUR END AS instant,
+  clock, CASE WHEN abs(date_diff('day', {trip_date}, CAST(clock AS DATE))) <= 1 THEN clock - INTERVAL 2 HOUR END AS instant,
   CASE WHEN gps_text = '' THEN 'no_fix' WHEN NOT rel OR lat IS NULL THEN 'unreadable'
     WHEN {bad} OR NOT ({area}) THEN 'spoofed' ELSE 'ok' END AS initial
 FROM (SELECT c.*, gps_text <> '' AND gps_score >= 0.6 AS rel,
@@ -203,6 +203,8 @@ _clean_ctes("", "FALSE", "FALSE")
 _clean_ctes("_o", "(c.trip_id % 9 = 0 AND t BETWEEN 5 AND 7)", "(p.trip_id % 10 = 3 AND p.t BETWEEN 30 AND 31)")
 _clean_ctes("_a", "(c.trip_id % 9 = 0 AND t BETWEEN 5 AND 7)", "FALSE", AREA)
 
+_clean_ctes("_r", "FALSE", "FALSE", trip_date="trip_date + CAST(c.trip_id % 3 AS INTEGER)")
+
 CTES["frames"] = """
 SELECT trip_id, seq * 2 + half AS seq, t + half * 0.5 AS t,
   CASE WHEN half = 1 AND seq % 17 = 0 THEN '' ELSE gps_text END AS gps_text, clock_text, gps_score, clock_score
@@ -605,6 +607,8 @@ SELECT trip_id, segment, place, weight, first_t, last_t, readable, implausible,
     q["w7_assigned_times"] = f"""
 SELECT trip_id, {_time('min(time)')} AS first, {_time('max(time)')} AS last, count(*) FILTER (estimated) AS estimated FROM clean GROUP BY trip_id"""
     q["w8_interpolated_samples"] = SAMPLE_ROWS + "clean WHERE status = 'interpolated'"
+    q["e2_reclean"] = """
+SELECT trip_id, status, count(*) AS samples FROM clean_r WHERE trip_id % 24 < 10 AND trip_id <> 7 AND trip_id % 25 <> 24 GROUP BY ALL"""
     q["f5_located_samples"] = "SELECT trip_id, count(*) AS samples FROM steps WHERE located GROUP BY trip_id"
     q["a5_trip_stats"] = f"""
 SELECT trip_id, {_time('start_time')} AS start_time, {_time('end_time')} AS end_time, duration_s, distance_km, avg_kmh, max_kmh, coverage, n_ok, n_spoofed,
@@ -783,6 +787,10 @@ LEFT JOIN (SELECT trip_id, count(*) AS n FROM mismatches GROUP BY 1) m ON m.trip
     q["a21_u7_p31_compose_readings"] = """
 SELECT trip_id, t, gps_text, clock_text, CASE WHEN trip_id % 4 <> 0 AND gps_score < 0.65 THEN least(gps_score, 0.65) ELSE gps_score END AS gps_score,
   0.9 AS clock_score FROM readings WHERE gps_text <> ''"""
+    q["t1_t6_live_trips"] = f"""
+SELECT camera_id, count(*) AS clips, arg_min(idx, (start_time, idx)) AS first_idx, arg_max(idx, (start_time, idx)) AS last_idx,
+  {_time('min(start_time)')} AS start_time FROM grouped GROUP BY camera_id, trip_seq
+HAVING max(start_time) + INTERVAL 3 HOUR <= (SELECT max(start_time) FROM driven) - INTERVAL 1 HOUR"""
     q["t5_trip_activity"] = """
 SELECT trip_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS fixes, max(kmh) AS max_kmh, round(sum(CASE WHEN joined THEN meters ELSE 0 END), 2) AS distance_m
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, time) - to_minutes(15 * i) AS w FROM steps, range(4) r(i) WHERE time IS NOT NULL) GROUP BY trip_id, w"""

@@ -17,8 +17,9 @@ from trackloom.operators import (
     audit, blocks, cleaning, geometry, library, naming, quality, roads, search, stats,
 )
 from trackloom.plans import enriching, importing, indexing
-from trackloom.session import durable, prepare
+from trackloom.session import durable, prepare, shared_folder
 from trackloom.sources import derived, tracks as track_files
+from trackloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1044,9 +1045,19 @@ def e18_import_all(spark, folder):
 
 
 @query
-def t5_trip_activity(spark, folder):
-    from trackloom.streaming import live
+def t1_t6_live_trips(spark, folder):
+    """Closed trips of a stream of clips, caught up with everything that has arrived."""
+    schema = derived.table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    trips = live.live_trips(library.parse_clips(derived.clips_of(events)))
+    out = shared_folder(spark)
+    live.catch_up(trips, f"{out}/trips", f"{out}/checkpoint").awaitTermination()
+    done = spark.read.schema(trips.schema).parquet(f"{out}/trips")
+    return done.select("camera_id", "clips", "first_idx", "last_idx", _text_time("start_time").alias("start_time"))
+
 
+@query
+def t5_trip_activity(spark, folder):
     steps = _trips(cleaned(spark, folder), stats.with_steps).select(
         "trip_id", "time", "kmh", F.col("_step_m").alias("step_m")
     ).where("time is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,12 @@ def build_session(app: str, master: str = "local[*]", **options: str) -> SparkSe
     return prepare(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names for checkpoints (local: a temporary one)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and cut its lineage.
 
@@ -48,5 +55,5 @@ def durable(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(folder or shared_folder(spark))
     return df.checkpoint(eager=True)

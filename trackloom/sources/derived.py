@@ -106,7 +106,11 @@ def frame_readings(raw: DataFrame) -> DataFrame:
 
 def clips(spark: SparkSession, folder: str) -> DataFrame:
     """Camera clips: one per event, of one camera per user."""
-    events = table(spark, folder, "events")
+    return clips_of(table(spark, folder, "events"))
+
+
+def clips_of(events: DataFrame) -> DataFrame:
+    """Clips of a table or stream of events."""
     start = F.date_trunc("second", F.col("ts").cast("timestamp"))
     event = F.col("event_id")
     parking = (F.col("event_type") == "signup") & (event % 10 == 0)

@@ -37,8 +37,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     content = F.regexp_replace("value", "^\ufeff", "")
+    # File names in the metadata are URL-encoded, except that a plus stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return files.select(
-        text.stem(F.col("_metadata.file_name")).alias("file_stem"),
+        text.stem(name).alias("file_stem"),
         F.try_parse_json(content).alias("document"),
     )
 
