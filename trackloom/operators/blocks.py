@@ -318,6 +318,11 @@ def find_hot_keys(df: DataFrame, keys: tuple[str, ...], max_rows: int | None = N
     return HotKeys(df.sparkSession.createDataFrame(found, hot.schema))
 
 
+def narrower(hot: HotKeys) -> HotKeys | None:
+    """What is known about finer groups: none is oversized when no coarser one is."""
+    return hot if hot.keys is None else None
+
+
 def by_group(
     df: DataFrame,
     ordering: Ordering,

@@ -215,10 +215,9 @@ def simplify_points(points: DataFrame, ordering: Ordering | None = None, hot=Non
 
 def simplify_routes(samples: DataFrame, ordering: Ordering | None = None, hot=None) -> DataFrame:
     """Simplified geometry of all trips as rows ``(trip_id, run, pos, lat, lon)``."""
-    points = route_points(samples, ordering, hot)
-    o = runs_of_points()
-    # Runs cannot be larger than trips: without oversized trips there are no oversized runs.
-    run_hot = blocks.find_hot_keys(points, o.keys) if hot is None or hot.keys is not None else hot
+    hot = hot or blocks.find_hot_keys(samples, ("trip_id",))
+    points, o = route_points(samples, ordering, hot), runs_of_points()
+    run_hot = blocks.narrower(hot) or blocks.find_hot_keys(points, o.keys)
 
     def both(df: pd.DataFrame) -> pd.DataFrame:
         thinned = _thin_run(df)
@@ -274,13 +273,13 @@ def reference_lat(geometry: DataFrame) -> float:
     return row["lat"] if row["lat"] is not None else 0.0
 
 
-def trip_cells(geometry: DataFrame, at_lat: float) -> DataFrame:
+def trip_cells(geometry: DataFrame, at_lat: float, hot=None) -> DataFrame:
     """The distinct ground cells each trip passes through."""
     cell_lat = C.HEAT_CELL_M / C.HEAT_METERS_PER_DEGREE
     cell_lon = cell_lat / math.cos(at_lat * math.pi / 180)
     by_pos = Ordering(("trip_id", "run"), ("pos",), "pos", 50_000)
     legs = by_group(
-        geometry, by_pos, lambda d, o: scan(d, o, _to=Following(F.struct("lat", "lon")))
+        geometry, by_pos, lambda d, o: scan(d, o, _to=Following(F.struct("lat", "lon"))), hot
     ).where(F.col("_to").isNotNull())
     d_lat, d_lon = F.col("_to.lat") - F.col("lat"), F.col("_to.lon") - F.col("lon")
     along = F.greatest(F.abs(d_lat) / F.lit(cell_lat), F.abs(d_lon) / F.lit(cell_lon))

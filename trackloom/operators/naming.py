@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom import constants as C
 from trackloom.functions import names, text
+from trackloom.operators import blocks
 from trackloom.operators.blocks import Ordering, Previous, RunningSum, by_group, scan
 from trackloom.session import durable
 
@@ -221,6 +222,7 @@ def plan_renames(
             F.col("extraction_status"), F.col("has_located"), F.col("enrichment_status")
         )
     )
+    hot = hot or blocks.find_hot_keys(streets, ("trip_id",))
     stretches = named_stretches(streets.join(targets.select("trip_id"), "trip_id", "left_semi"), hot)
     candidates = candidate_names(targets, stretches, car_model)
     # Without streets and any time a trip keeps its name.

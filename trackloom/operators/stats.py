@@ -136,6 +136,7 @@ def speed_stretches(
         return scan(df, o, stretch=RunningSum(F.col("_starts")))
 
     order = F.struct("t", "seq")
+    hot = hot or blocks.find_hot_keys(samples, ("trip_id",))
     steps = by_group(route_runs(samples, ordering, hot), ordering or blocks.trips(), work, hot)
     return steps.groupBy("trip_id", "run", "stretch", "bucket").agg(
         F.min_by("_prev.seq", order).alias("from_seq"), F.max_by("seq", order).alias("to_seq"),
@@ -155,6 +156,7 @@ def position_at(
     take the last sample at or before them, moved towards the next one when that is close.
     """
     base = ordering or blocks.trips()
+    hot = hot or blocks.find_hot_keys(samples, base.keys)
 
     def follow(df, o):
         df = df.withColumn("_located", is_located())

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trackloom import constants as C
-from trackloom.operators import roads
+from trackloom.operators import blocks, roads
 from trackloom.session import durable
 
 
 def match_tracks(samples: DataFrame, map_roads: DataFrame, chunks: DataFrame, hot=None) -> DataFrame:
     """Samples of runs with their matched street and road."""
+    hot = hot or blocks.find_hot_keys(samples, ("trip_id",))
     runs = durable(roads.match_runs(samples, hot=hot))
     cells = durable(roads.road_cells(chunks, map_roads))
     candidates = roads.candidate_costs(runs, cells)
-    matched = roads.match_streets(runs, candidates, hot)
+    matched = roads.match_streets(runs, candidates, blocks.narrower(hot))
     return runs.join(matched, ["trip_id", "run", "seq"])
 
 
@@ -24,8 +25,9 @@ def enrich(
 ) -> tuple[DataFrame, DataFrame]:
     """Streets ``(trip_id, pos, name, ...)`` and, per trip, localities and provenance."""
     map_roads, chunks, places = map_tables
+    hot = hot or blocks.find_hot_keys(samples, ("trip_id",))
     matched = durable(match_tracks(samples, map_roads, chunks, hot))
-    parts = roads.merge_stretches(durable(roads.build_stretches(matched, hot=hot)))
+    parts = roads.merge_stretches(durable(roads.build_stretches(matched, hot=hot)), hot)
     streets = roads.describe_stretches(parts, map_roads)
     provenance = F.struct(
         F.lit(C.ENRICHER_VERSION).alias("enricher_version"), F.lit(map_timestamp).alias("osm_timestamp"),

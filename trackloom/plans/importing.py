@@ -16,8 +16,10 @@ def plan_trips(
     gap_hours: float = C.TRIP_GAP_HOURS, scope: tuple[str, ...] = ("camera_id",),
 ) -> DataFrame:
     """Trips to encode from new clips, with their planned names and actions."""
+    # Counted on the listing itself: what is left of a camera's clips is never more.
+    hot = blocks.find_hot_keys(clips, scope)
     parsed = library.parse_clips(library.one_per_name(clips, *scope))
-    grouped = library.group_trips(library.new_clips(parsed, encoded, *scope), gap_hours, scope)
+    grouped = library.group_trips(library.new_clips(parsed, encoded, *scope), gap_hours, scope, hot)
     scoped = [c for c in scope if c in videos.columns]
     return library.plan_outputs(library.describe_trips(grouped, scope), videos, *scoped)
 
