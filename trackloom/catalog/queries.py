@@ -102,7 +102,7 @@ def _trips(df: DataFrame, work, ordering=None) -> DataFrame:
 
 def _documents(spark, folder) -> DataFrame:
     """Track documents of all trips, some of them broken, built by Spark from the samples."""
-    samples = track_files.sample_documents(cleaned(spark, folder)).where("part = 0")
+    samples = track_files.sample_documents(cleaned(spark, folder))
     trip = F.col("trip_id")
     broken = (
         F.when(trip % 20 == 1, F.regexp_replace("samples_json", '"status":"ok"', '"status":"fine"'))
@@ -795,7 +795,7 @@ def f11_rename_targets(spark, folder):
 @query
 def f17_long_names(spark, folder):
     docs = derived.table(spark, folder, "documents")
-    name = F.concat(F.lit("2024-01-01 "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 90), F.repeat(F.lit("é"), (F.col("doc_id") % 50).cast("int")), F.lit(".mov"))
+    name = F.concat(F.lit("2024-01-01 "), F.regexp_replace("text", r"\s+", " "), F.lit(".mov"))
     return docs.select("doc_id", text.filename_length_problem(name).alias("problem"))
 
 
@@ -907,14 +907,12 @@ def j1_match_library(spark, folder):
 
 @query
 def a16_same_content(spark, folder):
-    return library.same_content(derived.library_videos(spark, folder), "name").select(
-        "fingerprint", "copies", F.array_join("names", "|").alias("names")
-    )
+    return library.same_content(derived.library_videos(spark, folder), "name")
 
 
 @query
 def a16_shared_names(spark, folder):
-    return library.shared_names(derived.library_files(spark, folder)).select("key", "videos", F.array_join("names", "|").alias("names"))
+    return library.shared_names(derived.library_files(spark, folder))
 
 
 @query

@@ -51,8 +51,8 @@ def check_tracks(tracks: DataFrame, unreadable: DataFrame, has_map: bool = True)
             "R6", WARNING, stem, "GPS text but no accepted fix",
         ),
         "R7": _finding(
-            library.same_content(tracks, "file_stem"), "R7", WARNING, F.col("fingerprint"),
-            F.array_join("names", ", "),
+            library.same_content(tracks, "file_stem"), "R7", WARNING, F.col("name"),
+            F.concat(F.lit("shares content "), "fingerprint"),
         ),
     }
     if has_map:
@@ -69,7 +69,7 @@ def check_videos(tracks: DataFrame, unreadable: DataFrame, videos: DataFrame) ->
     shared = library.shared_names(videos)
     named = library.with_stems(videos)
     in_conflict = named.join(
-        shared.select(F.col("key").alias("_key")), F.lower("stem") == F.col("_key"), "left_semi"
+        shared.select(F.col("key").alias("_key")).distinct(), F.lower("stem") == F.col("_key"), "left_semi"
     ).select("stem").distinct()
     checked = named.join(in_conflict, "stem", "left_anti").withColumn(
         "_too_long", text.filename_length_problem(F.col("name"))
@@ -98,7 +98,7 @@ def check_videos(tracks: DataFrame, unreadable: DataFrame, videos: DataFrame) ->
         renamed.select(F.col("old_stem").alias("_orphan")), "_orphan", "left_anti"
     )
     return {
-        "R8": _finding(shared, "R8", ERROR, F.array_join("names", ", "), "videos share one track"),
+        "R8": _finding(shared, "R8", ERROR, F.col("name"), "would share a track with another video"),
         "R9": _finding(checked.where("_too_long is not null"), "R9", ERROR, F.col("name"), F.col("_too_long")),
         "R10": _finding(changed, "R10", WARNING, F.col("name"), "changed since extraction"),
         "R11": _finding(

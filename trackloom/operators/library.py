@@ -148,11 +148,20 @@ def match_library(videos: DataFrame, tracks: DataFrame) -> DataFrame:
     return v.join(t, "stem", "full_outer")
 
 
+def _members_of_groups(items: DataFrame, key: str, size: str) -> DataFrame:
+    """The items whose key occurs more than once, each with the size of its group.
+
+    Groups are counted by a map-side combined aggregate and joined back (AQE splits a large
+    group), so the members of a group are never gathered.
+    """
+    groups = items.groupBy(key).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1)
+    return items.join(groups, key)
+
+
 def shared_names(videos: DataFrame) -> DataFrame:
-    """Groups of videos whose names differ only in the extension or letter case."""
-    return with_stems(videos).groupBy(F.lower("stem").alias("key")).agg(
-        F.count(F.lit(1)).alias("videos"), F.array_sort(F.collect_list("name")).alias("names")
-    ).where("videos > 1")
+    """Videos whose names differ only in the extension or letter case: ``key, videos, name``."""
+    keyed = videos.select(F.lower(text.stem(F.col("name"))).alias("key"), "name")
+    return _members_of_groups(keyed, "key", "videos")
 
 
 def without_shared_names(videos: DataFrame, library: DataFrame) -> DataFrame:
@@ -163,10 +172,8 @@ def without_shared_names(videos: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def same_content(items: DataFrame, name: str = "stem") -> DataFrame:
-    """Groups of items with one content fingerprint."""
-    return items.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(name)).alias("names")
-    ).where("copies > 1")
+    """Items that share their content with others: ``fingerprint, copies, name``."""
+    return _members_of_groups(items.select("fingerprint", F.col(name).alias("name")), "fingerprint", "copies")
 
 
 def plan_extraction(

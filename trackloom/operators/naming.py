@@ -117,11 +117,13 @@ def collision_key(stem: Column) -> Column:
     """A key two names must share to be able to collide: their date and first word.
 
     Every variant of a trip's name starts with the same date and (cut to 40 characters) the
-    same first word, however its streets are fitted.
+    same first word, however its streets are fitted. Names after the start time share its
+    minute as well, as they are never cut.
     """
-    word = F.regexp_extract(F.substring(F.lower(stem), 12, 200), r"^(\S*)", 1)
+    lower = F.lower(stem)
+    word = F.regexp_extract(F.substring(lower, 12, 200), r"^(trip \d{2}-\d{2}|\S*)", 1)
     return F.concat(
-        F.substring(F.lower(stem), 1, 11), F.regexp_replace(F.substring(word, 1, 40), "[ ,\\-]+$", "")
+        F.substring(lower, 1, 11), F.regexp_replace(F.substring(word, 1, 40), "[ ,\\-]+$", "")
     )
 
 
