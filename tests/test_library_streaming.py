@@ -186,6 +186,9 @@ def test_logged_clips_are_left_out_and_restarts_add_nothing(spark, clips):
     log, out, checkpoint = folder(), folder(), folder()
     clips.where("idx % 4 = 0").select("camera_id", "name", "size", F.lit(-1).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{log}/b-1")
     stream = stream_of(spark, clips)
+    fresh_log, fresh_out = folder() + "/new", folder()
+    live.write_unlogged(spark, fresh_log, fresh_out)(clips, 0)
+    assert spark.read.parquet(f"{fresh_out}/batch=0").count() == clips.count()
     for _ in range(2):
         writer = stream.writeStream.foreachBatch(live.write_unlogged(spark, log, out))
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

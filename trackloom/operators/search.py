@@ -120,29 +120,29 @@ def newest_first(index: DataFrame) -> DataFrame:
 def neighbor_trips(index: DataFrame, start: str = "", end: str = "", query: str = "") -> DataFrame:
     """The previous and next listed trip with GPS of each trip.
 
-    The list is one global order, so it is cut by date first: a window over the trips of a date,
-    and the ends of the dates around it.
+    The list is one global order, so it is cut by hour first: a window over the trips of an
+    hour, and the ends of the hours around it.
     """
     listed = search_trips(index, start, end, query).where(has_gps()).select(
         "id", list_key().alias("_key")
-    ).withColumn("_day", F.substring("_key", 1, 10))
-    within = Window.partitionBy("_day").orderBy(F.col("_key").desc(), "id")
-    days = listed.groupBy("_day").agg(
+    ).withColumn("_hour", F.substring("_key", 1, 13))
+    within = Window.partitionBy("_hour").orderBy(F.col("_key").desc(), "id")
+    hours = listed.groupBy("_hour").agg(
         F.max("_key").alias("_top"), F.min("_key").alias("_bottom")
     )
-    firsts = listed.join(days, "_day").groupBy("_day").agg(
+    firsts = listed.join(hours, "_hour").groupBy("_hour").agg(
         F.min(F.when(F.col("_key") == F.col("_top"), F.col("id"))).alias("first_id"),
         F.max(F.when(F.col("_key") == F.col("_bottom"), F.col("id"))).alias("last_id"),
     )
-    # One row per date: at most a few ten thousand rows however many trips there are.
-    over_days = Window.orderBy(F.col("_day").desc())
+    # One row per hour, however many trips there are: a few hundred thousand rows in 30 years.
+    over_hours = Window.orderBy(F.col("_hour").desc())
     firsts = firsts.select(
-        "_day", F.lag("last_id").over(over_days).alias("_before"),
-        F.lead("first_id").over(over_days).alias("_after"),
+        "_hour", F.lag("last_id").over(over_hours).alias("_before"),
+        F.lead("first_id").over(over_hours).alias("_after"),
     )
     return listed.withColumns({
         "_prev": F.lag("id").over(within), "_next": F.lead("id").over(within)
-    }).join(F.broadcast(firsts), "_day").select(
+    }).join(F.broadcast(firsts), "_hour").select(
         "id", F.coalesce("_prev", "_before").alias("previous_id"),
         F.coalesce("_next", "_after").alias("next_id"),
     )

@@ -52,9 +52,13 @@ def write_unlogged(spark: SparkSession, log_path: str, out_path: str) -> Callabl
     Each batch has its own folder and is overwritten when it is repeated, so a restart neither
     loses nor doubles clips.
     """
+    schema = "camera_id bigint, name string, size bigint, batch bigint"
+    # An empty log to start with; an existing one is kept.
+    spark.createDataFrame([], schema).write.mode("append").parquet(log_path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["camera_id", "name", "size"])
-        reader = spark.read.schema("camera_id bigint, name string, size bigint, batch bigint")
+        reader = spark.read.schema(schema)
         earlier = reader.option("recursiveFileLookup", True).parquet(log_path).where(F.col("batch") < batch_id)
         fresh = library.new_clips(fresh, earlier, "camera_id")
         fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
