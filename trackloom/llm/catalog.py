@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import packing
+from trackloom.llm import language, mixing, packing, quality
 from trackloom.llm.common import table
 
 
@@ -15,13 +15,32 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_identify_languages": op2_identify_languages,
+    "op7_mix_sources": op7_mix_sources,
     "op9_pack_documents": op9_pack_documents,
+    "op10_score_quality": op10_score_quality,
 }
 
 ORACLES: dict[str, str] = {}

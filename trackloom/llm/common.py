@@ -58,35 +58,33 @@ def crc_mod(column: str, n: int) -> Column:
 def letters(texts: Sequence[str | None], overlap: int, limit: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Walk whole texts in pieces of bounded size.
 
-    Yields (code points, text number per code point). Texts are joined by single spaces. A text
-    longer than ``limit`` spans several pieces; the last ``overlap`` characters of a piece are
-    repeated at the start of the next one, so that no run of ``overlap + 1`` characters is lost or
-    seen twice. Null counts as empty.
+    Yields (code points, text number per code point). Each text stands between two spaces. A text
+    longer than ``limit`` comes in pieces of its own, always cut at the same places; the last
+    ``overlap`` characters of a piece begin the next one, so that no run of ``overlap + 1``
+    characters is lost or seen twice. Null counts as empty.
     """
     parts: list[str] = []
     owners: list[int] = []
-    room = limit
+    held = 0
 
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer("".join(f" {p} " for p in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return codes, np.repeat(np.asarray(owners, dtype=np.int64), [len(p) + 2 for p in parts])
+    def points() -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return codes, np.repeat(np.asarray(owners, dtype=np.int64), [len(p) for p in parts])
 
     for number, text in enumerate(texts):
-        at, text = 0, text or ""
-        while True:
-            piece = text[at : at + max(room, overlap + 1)]
-            parts.append(piece)
-            owners.append(number)
-            room -= len(piece) + 2
-            last = at + len(piece) >= len(text)
-            if room <= 0:
-                yield flush()
-                parts, owners, room = [], [], limit
-            if last:
-                break
-            at += len(piece) - overlap
+        text = f" {text or ''} "
+        if parts and held + len(text) > limit:
+            yield points()
+            parts, owners, held = [], [], 0
+        while len(text) > limit + overlap:
+            parts, owners = [text[: limit + overlap]], [number]
+            yield points()
+            text, parts, owners = text[limit:], [], []
+        parts.append(text)
+        owners.append(number)
+        held += len(text)
     if parts:
-        yield flush()
+        yield points()
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
