@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import language, mixing, packing, quality
+from trackloom.llm import language, mixing, packing, quality, similarity
 from trackloom.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents and the number of links of each."""
+    return similarity.join_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -38,6 +43,7 @@ def op10_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_identify_languages": op2_identify_languages,
+    "op6_join_near_duplicates": op6_join_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op9_pack_documents": op9_pack_documents,
     "op10_score_quality": op10_score_quality,
