@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import language, mixing, packing, quality, similarity
+from trackloom.llm import language, mixing, packing, privacy, quality, secrets, similarity
 from trackloom.llm.common import table
 
 
@@ -20,6 +21,14 @@ def op2_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, each text being one version of its document."""
+    docs = table(spark, sf_dir, "documents")
+    versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    places, ledger = secrets.scan_versions(versions)
+    return secrets.digest(secrets.findings(places, ledger)).withColumnRenamed("path", "doc_id")
+
+
 def op6_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents and the number of links of each."""
     return similarity.join_near_duplicates(table(spark, sf_dir, "documents"))
@@ -31,6 +40,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return privacy.digest(privacy.find(table(spark, sf_dir, "documents")))
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -43,8 +57,10 @@ def op10_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_identify_languages": op2_identify_languages,
+    "op5_scan_secrets": op5_scan_secrets,
     "op6_join_near_duplicates": op6_join_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
+    "op8_find_personal_data": op8_find_personal_data,
     "op9_pack_documents": op9_pack_documents,
     "op10_score_quality": op10_score_quality,
 }
