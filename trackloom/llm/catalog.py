@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import language, mixing, packing, privacy, quality, secrets, similarity
+from trackloom.llm import extraction, language, mixing, packing, privacy, quality, secrets, similarity
 from trackloom.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     return language.identify(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def op10_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extract_main_text": op1_extract_main_text,
     "op2_identify_languages": op2_identify_languages,
     "op5_scan_secrets": op5_scan_secrets,
     "op6_join_near_duplicates": op6_join_near_duplicates,
