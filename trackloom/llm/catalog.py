@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import extraction, language, mixing, packing, privacy, quality, secrets, similarity
+from trackloom.llm import extraction, hamming, language, mixing, neighbours, packing, privacy, quality, secrets, similarity
 from trackloom.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op2_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op4_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest sign codes of every vector whose id is divisible by 20."""
+    return hamming.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, each text being one version of its document."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +73,8 @@ def op10_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extract_main_text": op1_extract_main_text,
     "op2_identify_languages": op2_identify_languages,
+    "op3_nearest_vectors": op3_nearest_vectors,
+    "op4_nearest_codes": op4_nearest_codes,
     "op5_scan_secrets": op5_scan_secrets,
     "op6_join_near_duplicates": op6_join_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
