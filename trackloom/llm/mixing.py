@@ -172,3 +172,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_tokens: int
         )
     )
     return result.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def resample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its words are taken, to the nearest whole number.
+
+    All columns stay. Rows of one id (or without an id) share their counts. Only the document at the
+    end of a source's last slot is taken in part, so rounding moves at most one document per source.
+    Documents without words are not taken.
+    """
+    taken = mix(docs, weights, block_tokens).groupBy(F.col("doc_id").alias("_mixed_id")).agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_mixed_times")
+    ).where("_mixed_times > 0")
+    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mixed_id"])).withColumn(
+        "_mixed_copy", F.explode(F.sequence(F.lit(1), F.col("_mixed_times")))
+    )
+    return repeated.drop("_mixed_id", "_mixed_times", "_mixed_copy")

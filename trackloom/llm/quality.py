@@ -203,9 +203,27 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInPandas(run, SCORES)
 
 
+def seen_labels(labels: DataFrame, fold: int, held: int) -> DataFrame:
+    """``(doc_id, label)`` outside the held-out fold."""
+    known = chosen(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return known.where(F.col("label").isin(0, 1) & (crc_mod("doc_id", fold) != held))
+
+
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> DataFrame:
     """Learn from labelled rows outside the held-out fold and score every row."""
     rows = chosen(docs, "doc_id", "text").withColumn("held_out", F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)))
-    known = chosen(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("label"))
-    seen = known.where(F.col("label").isin(0, 1) & (crc_mod("doc_id", fold) != held))
-    return score(rows, learn(rows, seen))
+    return score(rows, learn(rows, seen_labels(labels, fold, held)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> DataFrame:
+    """The documents of predicted label 1, with all their columns.
+
+    Only texts go to the workers and only scores come back, so nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(chosen(docs, "doc_id", "text"), seen_labels(labels, fold, held)))
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.log_odds([t if isinstance(t, str) else "" for t in texts]) >= 0)
+
+    return docs.where(good(F.col("text")))
