@@ -111,3 +111,22 @@ def test_rows_do_not_depend_on_the_number_of_partitions(spark, readings):
         assert rows(cleaning.clean_tracks(readings, hot=blocks.NO_HOT_KEYS)) == many
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rows_without_a_position_stay_in_blocks(spark):
+    import pyspark.sql.functions as F
+
+    df = spark.range(100).select(
+        F.lit(1).alias("trip_id"), F.when(F.col("id") != 3, F.col("id").cast("double")).alias("t"), F.col("id").cast("int").alias("seq")
+    )
+    def scanned(df, o):
+        return blocks.scan(df, o, total=blocks.RunningSum(F.lit(1)), before=blocks.LastKnown(F.col("seq")))
+
+    def nearby(df, o):
+        return blocks.neighborhood(df, o, 5, 5, lambda w: {"n": F.count("t").over(w(True).rangeBetween(-5000, 5000))})
+
+    short = blocks.trips(16)
+    every = HotKeys(df.select("trip_id").distinct())
+    for work in (scanned, nearby):
+        plain = rows(blocks.by_group(df, short, work, blocks.NO_HOT_KEYS))
+        assert len(plain) == 100 and rows(blocks.by_group(df, short, work, every)) == plain

@@ -16,9 +16,10 @@ ones the blocked way. The results are the same.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.session import durable
@@ -29,6 +30,8 @@ MAX_GROUP_ROWS = 200_000
 MAX_BROADCAST_KEYS = 100_000
 
 BLOCK = "_block"
+# The block of rows without a position.
+NO_POSITION = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -50,10 +53,14 @@ class Ordering:
         return (*self.keys, BLOCK) if self.blocked else self.keys
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """Add the block number, when blocks are used."""
+        """Add the block number, when blocks are used.
+
+        Rows without a position sort first, so they share a block before all others.
+        """
         if not self.blocked:
             return df
-        return df.withColumn(BLOCK, F.floor(F.expr(self.position) / F.lit(self.span)).cast("long"))
+        block = F.floor(F.expr(self.position) / F.lit(self.span)).cast("long")
+        return df.withColumn(BLOCK, F.coalesce(block, F.lit(NO_POSITION)))
 
     def rows(self, last: int = 0):
         """Window over the rows of the partition up to an offset from the current row."""
@@ -340,3 +347,32 @@ def by_group(
     ordinary = work(hot.restrict(df, ordering.keys, "left_anti"), ordering)
     oversized = work(blocked.cut(hot.restrict(df, ordering.keys, "left_semi")), blocked)
     return ordinary.unionByName(oversized.drop(BLOCK))
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, list[str]], pd.DataFrame], schema: str
+) -> DataFrame:
+    """Apply ``work(rows, keys)`` to batches of whole groups, many small groups at a time.
+
+    Rows are shuffled by key and sorted by key and ``order``; the last, possibly unfinished group of
+    a batch waits for the next one. A group must fit into memory; a batch holds little more.
+    """
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = batch[keys].to_numpy()
+            cut = len(batch) - 1
+            while cut > 0 and (values[cut - 1] == values[-1]).all():
+                cut -= 1
+            if waiting and (cut or not (waiting[-1][keys].to_numpy()[-1] == values[0]).all()):
+                yield work(pd.concat([*waiting, batch.iloc[:cut]], ignore_index=True), keys)
+                waiting = []
+            elif cut:
+                yield work(batch.iloc[:cut].reset_index(drop=True), keys)
+            waiting.append(batch.iloc[cut:])
+        if waiting:
+            yield work(pd.concat(waiting, ignore_index=True), keys)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)

@@ -13,9 +13,8 @@ from trackloom.operators import blocks
 from trackloom.operators.blocks import Ordering, Previous, RunningSum, by_group, scan
 from trackloom.session import durable
 
-# Suffixes " (1)" to " (999999)" are fitted; more trips of one name on one day are not expected,
-# and are still numbered, within the last fitted length.
-MAX_SUFFIX_DIGITS = 6
+# Digits of collision numbers that names are fitted for, unless a plan counts more names.
+SUFFIX_DIGITS = 6
 
 
 def merge_repeats(labels: DataFrame, hot=None) -> DataFrame:
@@ -54,7 +53,7 @@ def _suffix_length(digits: int) -> int:
 
 
 def candidate_names(
-    trips: DataFrame, stretches: DataFrame, car_model: str = "", max_digits: int = MAX_SUFFIX_DIGITS
+    trips: DataFrame, stretches: DataFrame, car_model: str = "", max_digits: int = SUFFIX_DIGITS
 ) -> DataFrame:
     """The name text of each trip for every length of the collision number.
 
@@ -140,7 +139,7 @@ def _number_names(key: tuple, trips: pd.DataFrame, taken: pd.DataFrame) -> pd.Da
         def stem(number: int) -> str:
             if not number:
                 return f"{row.date:%Y-%m-%d} {texts[0]}{car}"
-            body = texts[min(len(str(number)), len(texts) - 1)]
+            body = texts[len(str(number))]
             return f"{row.date:%Y-%m-%d} {body} ({number}){car}"
 
         # Numbers below the last one given to the same texts are taken, except by this trip.
@@ -226,6 +225,8 @@ def plan_renames(
     )
     hot = hot or blocks.find_hot_keys(streets, ("trip_id",))
     stretches = named_stretches(streets.join(targets.select("trip_id"), "trip_id", "left_semi"), hot)
-    candidates = candidate_names(targets, stretches, car_model)
+    # no number can be larger than the count of names that there are
+    digits = len(str(targets.count() + taken.count() + 1))
+    candidates = candidate_names(targets, stretches, car_model, max(digits, 1))
     # Without streets and any time a trip keeps its name.
     return number_collisions(durable(candidates.where(F.col("texts")[0].isNotNull())), taken)

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom import constants as C
+from trackloom.session import durable
 
 
 def has_gps(status: str = "extraction_status") -> Column:
@@ -120,29 +121,27 @@ def newest_first(index: DataFrame) -> DataFrame:
 def neighbor_trips(index: DataFrame, start: str = "", end: str = "", query: str = "") -> DataFrame:
     """The previous and next listed trip with GPS of each trip.
 
-    The list is one global order, so it is cut by hour first: a window over the trips of an
-    hour, and the ends of the hours around it.
+    The list is one global order. Spark cuts it into ranges of (key, id), so trips of one hour, or
+    without any time, are cut like all others; each range is windowed by itself, and the first and
+    last trip of a range, one row per range, tell the ranges beside it.
     """
-    listed = search_trips(index, start, end, query).where(has_gps()).select(
-        "id", list_key().alias("_key")
-    ).withColumn("_hour", F.substring("_key", 1, 13))
-    within = Window.partitionBy("_hour").orderBy(F.col("_key").desc(), "id")
-    hours = listed.groupBy("_hour").agg(
-        F.max("_key").alias("_top"), F.min("_key").alias("_bottom")
+    listed = search_trips(index, start, end, query).where(has_gps()).select("id", list_key().alias("_key"))
+    # stored, so that rows keep their range
+    ranged = durable(
+        listed.repartitionByRange(F.col("_key").desc(), F.col("id")).withColumn("_range", F.spark_partition_id())
     )
-    firsts = listed.join(hours, "_hour").groupBy("_hour").agg(
-        F.min(F.when(F.col("_key") == F.col("_top"), F.col("id"))).alias("first_id"),
-        F.max(F.when(F.col("_key") == F.col("_bottom"), F.col("id"))).alias("last_id"),
+    within = Window.partitionBy("_range").orderBy(F.col("_key").desc(), "id")
+    place = F.struct((-F.row_number().over(within)).alias("n"), "id")
+    edges = ranged.select("_range", place.alias("_place")).groupBy("_range").agg(
+        F.max("_place")["id"].alias("_first"), F.min("_place")["id"].alias("_last")
     )
-    # One row per hour, however many trips there are: a few hundred thousand rows in 30 years.
-    over_hours = Window.orderBy(F.col("_hour").desc())
-    firsts = firsts.select(
-        "_hour", F.lag("last_id").over(over_hours).alias("_before"),
-        F.lead("first_id").over(over_hours).alias("_after"),
+    over_ranges = Window.orderBy("_range")
+    beside = edges.select(
+        "_range", F.lag("_last").over(over_ranges).alias("_before"), F.lead("_first").over(over_ranges).alias("_after")
     )
-    return listed.withColumns({
+    return ranged.withColumns({
         "_prev": F.lag("id").over(within), "_next": F.lead("id").over(within)
-    }).join(F.broadcast(firsts), "_hour").select(
+    }).join(beside, "_range").select(
         "id", F.coalesce("_prev", "_before").alias("previous_id"),
         F.coalesce("_next", "_after").alias("next_id"),
     )

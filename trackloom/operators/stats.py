@@ -196,14 +196,37 @@ def position_at(
     return found.select("trip_id", F.col("t").alias("second"), place("lat"), place("lon"))
 
 
-def nearest_sample(samples: DataFrame, points: DataFrame) -> DataFrame:
+def nearest_sample(samples: DataFrame, points: DataFrame, block: int = 256) -> DataFrame:
     """The located sample of a trip nearest to points ``(trip_id, point_id, lat, lon)``.
 
-    Only the best sample per point survives the map-side part of the aggregate.
+    A point does not meet every sample of its trip: samples are boxed by runs of ``block`` numbers,
+    and a box that is farther away than another box's farthest corner is left out. Only the best
+    sample per point survives the map-side part of the aggregate.
     """
+    located = samples.where(is_located()).withColumn("_box", F.floor(F.col("seq") / block))
+    boxes = located.groupBy("trip_id", "_box").agg(*[
+        f(c).alias(f"_{name}_{c}") for c in ("lat", "lon") for name, f in (("min", F.min), ("max", F.max))
+    ])
     asked = points.select("trip_id", "point_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    pairs = samples.where(is_located()).join(asked, "trip_id")
+    narrow = F.cos(F.radians("_lat"))
+
+    def gap(c: str) -> Column:
+        return F.greatest(F.col(f"_min_{c}") - F.col(f"_{c}"), F.col(f"_{c}") - F.col(f"_max_{c}"), F.lit(0.0))
+
+    def reach(c: str) -> Column:
+        return F.greatest(F.abs(F.col(f"_min_{c}") - F.col(f"_{c}")), F.abs(F.col(f"_max_{c}") - F.col(f"_{c}")))
+
+    def squared(d_lat: Column, d_lon: Column) -> Column:
+        return d_lat * d_lat + d_lon * narrow * d_lon * narrow
+
+    met = asked.join(boxes, "trip_id").withColumns({
+        "_least": squared(gap("lat"), gap("lon")), "_most": squared(reach("lat"), reach("lon"))
+    })
+    bound = met.groupBy("trip_id", "point_id").agg(F.min("_most").alias("_bound"))
+    # a hair of slack: bounds and distances are rounded differently
+    kept = met.join(bound, ["trip_id", "point_id"]).where(F.col("_least") <= F.col("_bound") * (1 + 1e-9))
+    pairs = located.join(kept.select("trip_id", "_box", "point_id", "_lat", "_lon"), ["trip_id", "_box"])
     d_lat = F.col("lat") - F.col("_lat")
-    d_lon = (F.col("lon") - F.col("_lon")) * F.cos(F.radians("_lat"))
+    d_lon = (F.col("lon") - F.col("_lon")) * narrow
     nearness = F.struct((d_lat * d_lat + d_lon * d_lon).alias("d"), "t", "seq")
     return pairs.groupBy("trip_id", "point_id").agg(F.min_by("seq", nearness).alias("seq"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time options the jobs need on an existing session.
 
@@ -20,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     # The JVM never compiles methods above 8000 bytes of bytecode. Larger fused stages are run
     # operator by operator, in small methods that it does compile.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    ship_package(spark)
     return spark
 
 
@@ -40,20 +46,39 @@ def build_session(app: str, master: str = "local[*]", **options: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints (local: a temporary one)."""
+    """A new folder below the one in ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local session, which has no other machine, falls back to a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if base:
+        return f"{base}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and cut its lineage.
+    """Write an intermediate result to the shared folder and read it back.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where it is unset, as in local
-    tests, a temporary folder is used. The files survive the loss of executors.
+    This cuts the lineage, so a lost executor repeats little, and what reads it later loads only the
+    columns and row groups it needs. The folder goes with the session's other checkpoint files.
     """
     spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers can import it anywhere."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or shared_folder(spark))
-    return df.checkpoint(eager=True)
+    if _shipped.get("application") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "trackloom.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for file in sorted(root.rglob("*.py")):
+            bundle.write(file, Path(root.name) / file.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped["application"] = context.applicationId

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackloom import constants as C
@@ -30,13 +35,34 @@ def scan_library(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint_files(spark: SparkSession, path: str, changed: DataFrame | None = None) -> DataFrame:
-    """Content fingerprints ``(name, fingerprint)``, only of ``changed(name)`` when given."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content"
-    )
+    """Content fingerprints ``(path, name, fingerprint)``, only of ``changed(path)`` when given.
+
+    Files may be of any size: each task opens its files where they lie and reads the first and last
+    megabyte. Paths are relative to the folder, so equal names in two folders stay apart.
+    """
+    files = list_files(spark, path).select("path", "name", "size")
     if changed is not None:
-        files = files.join(changed.select("name").distinct(), "name", "left_semi")
-    return files.select("name", text.content_fingerprint(F.col("content")).alias("fingerprint"))
+        files = files.join(changed.select("path").distinct(), "path", "left_semi")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+        for batch in batches:
+            prints = []
+            for name, size in zip(batch["path"], batch["size"]):
+                with store.open_input_file(f"{base}/{name}") as file:
+                    chunk = C.FINGERPRINT_CHUNK_BYTES
+                    digest = hashlib.sha256(file.read_at(min(chunk, size), 0))
+                    if size > chunk:
+                        tail = max(chunk, size - chunk)
+                        digest.update(file.read_at(size - tail, tail))
+                prints.append(f"{size}:{digest.hexdigest()[:16]}")
+            yield batch[["path", "name"]].assign(fingerprint=prints)
+
+    return files.mapInPandas(read, "path string, name string, fingerprint string")
 
 
 def write_table(df: DataFrame, path: str, version: int = C.INDEX_FORMAT_VERSION) -> None:

@@ -198,14 +198,15 @@ def persisted_samples(samples: DataFrame) -> DataFrame:
     )
 
 
-def sample_documents(samples: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
+def sample_documents(samples: DataFrame) -> DataFrame:
     """The ``samples`` array of each track document as JSON text.
 
-    Ordinary trips have one part; longer ones are cut, so that no task holds a whole long trip.
+    The form has one document per trip, so a trip's samples meet in one row (some megabytes for a
+    day of video). ``write_samples`` stores long trips without that.
     """
     stored = persisted_samples(samples)
     order = ["t", "time", "lat", "lon", "kmh", "status", "time_estimated", "raw", "scores"]
-    return stored.groupBy("trip_id", F.floor(F.col("seq") / rows_per_part).cast("int").alias("part")).agg(
+    return stored.groupBy("trip_id").agg(
         F.to_json(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", F.struct(*order).alias("s")))), lambda x: x["s"]
         )).alias("samples_json")
