@@ -373,7 +373,7 @@ FROM thinned k JOIN points p ON p.trip_id = k.trip_id AND p.run = k.run AND p.i
 CTES["frame_values"] = """
 SELECT f.trip_id, f.seq, f.t, f.gps_text, f.clock_text, f.gps_score, f.clock_score, f.gps_text <> '' AS present,
   CASE WHEN f.gps_text <> '' THEN c.lat END AS lat, CASE WHEN f.gps_text <> '' THEN c.lon END AS lon,
-  CASE WHEN f.gps_text <> '' THEN c.kmh END AS kmh, c.clock_d AS clock, epoch(c.clock_d) - f.t AS off
+  CASE WHEN f.gps_text <> '' AND c.kmh IS NOT NULL THEN TRY_CAST(regexp_extract(f.gps_text, '^([0-9]+)', 1) AS INTEGER) END AS kmh, c.clock_d AS clock, epoch(c.clock_d) - f.t AS off
 FROM frames f JOIN clock_read c ON c.trip_id = f.trip_id AND c.seq = f.seq // 2"""
 
 
@@ -669,13 +669,13 @@ SELECT id, CASE WHEN max_kmh IS NULL THEN 'unknown' WHEN max_kmh < 20 THEN '< 20
     WHEN max_kmh < 90 THEN '60-90' WHEN max_kmh < 120 THEN '90-120' ELSE '120+' END AS bucket,
   CASE WHEN coverage >= 0.95 THEN 'good' WHEN coverage >= 0.7 THEN 'partial' ELSE 'poor' END AS badge,
   CASE WHEN coverage * 100 >= 90 THEN 'green' WHEN coverage * 100 >= 50 THEN 'yellow' ELSE 'red' END AS style,
-  printf('%d:%02d:%02d', duration_s // 3600, duration_s % 3600 // 60, duration_s % 60) AS status_duration,
+  coalesce(printf('%d:%02d:%02d', duration_s // 3600, duration_s % 3600 // 60, duration_s % 60), '-') AS status_duration,
   CASE WHEN duration_s * 60 >= 3600 THEN printf('%d:%02d:%02d', duration_s * 60 // 3600, duration_s * 60 % 3600 // 60, duration_s * 60 % 60)
-    ELSE printf('%d:%02d', duration_s, 0) END AS duration,
-  CASE WHEN distance_km * 40 >= 100 THEN CAST(floor(distance_km * 40 + 0.5) AS INTEGER) || ' km' ELSE printf('%.1f km', distance_km * 40) END AS distance,
+    ELSE coalesce(printf('%d:%02d', duration_s, 0), '-') END AS duration,
+  CASE WHEN distance_km * 40 >= 100 THEN CAST(floor(distance_km * 40 + 0.5) AS INTEGER) || ' km' ELSE coalesce(printf('%.1f km', distance_km * 40), '-') END AS distance,
   coalesce(max_kmh || ' km/h', '-') AS speed,
   strftime(CAST(day AS DATE), '%a, %b ') || CAST(day(CAST(day AS DATE)) AS VARCHAR) || strftime(CAST(day AS DATE), ', %Y') AS date,
-  strftime(start_time + INTERVAL 2 HOUR, '%H:%M:%S') AS clock, printf('%.5f, %.5f', min_lat, min_lon) AS corner
+  coalesce(strftime(start_time + INTERVAL 2 HOUR, '%H:%M:%S'), '?') AS clock, printf('%.5f, %.5f', min_lat, min_lon) AS corner
 FROM trips"""
     q["p28_trip_routes"] = """
 SELECT t.day || ' ' || t.name AS id, CASE WHEN s IS NULL AND e IS NULL THEN NULL WHEN s = e THEN s ELSE coalesce(s, '?') || ' -> ' || coalesce(e, '?') END AS route
