@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,8 @@ from trackloom.llm.common import chosen, small_batches, stored
 
 SEQUENCE = 2048
 END_ID = 1
-#: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 400_000
-#: Texts that a worker splits into words at once.
-CHUNK = 250
+#: Distinct words, and parts of words, whose ids a worker remembers.
+REMEMBERED_WORDS = 300_000
 #: Rank groups per length. Ranks are counted inside a group and offset by the groups before.
 RANK_GROUPS = 512
 
@@ -36,68 +35,101 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: How many sequences follow it, and (length, copies) in the order of the sequence.
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 _WHITE = re.compile(r"[ \t\n\r]+")
-
-
-class WordEncoder:
-    """Token ids of whole texts, word by word, with a bounded memory of words.
-
-    The vocabulary drops white space and never joins across it, so the ids of a text are the ids
-    of its words in order.
+#: White space that str.split divides at and the vocabulary does not, or the other way round.
+_ODD_WHITE = re.compile("[\x1c-\x1f\x85]")
+#: Fixed values of the vocabulary: how it divides a word. It holds for words of the characters that
+#: the second pattern leaves: ASCII and letters of Latin-1, no special token.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[\x00-\xff]*")
+_ODD = re.compile(r"[^\x21-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+
+
+class WordEncoder(dict):
+    """Token ids of whole texts, word by word: a dictionary from words to places in a list of ids.
+
+    The vocabulary drops white space and never joins across it, so the ids of a text are the ids of
+    its words in order. A new word in plain letters is divided as the vocabulary divides it, into
+    runs of letters, single digits and runs of marks, and each part is remembered as well; other
+    words go to the tokenizer whole. The first ``REMEMBERED_WORDS`` words stay, among them the
+    frequent ones; later ones are forgotten after their text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known: dict[str, int] = {"": 0}
-        self._starts, self._lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self._flat = np.empty(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        found = [np.asarray(e.ids, np.uint32) for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
-        self._lengths = np.concatenate([self._lengths, lengths])
-        self._flat = np.concatenate([self._flat, *found])
-        for word in words:
-            self._known[word] = len(self._known)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids per text."""
-        split = [_WHITE.split(t) for t in texts]
-        new = set().union(*split).difference(self._known)
-        if len(self._known) + len(new) > REMEMBERED_WORDS:
-            self._forget()
-            new = set().union(*split).difference(self._known)
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for words in split:
-            which = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
-            lengths = self._lengths[which]
-            ends = np.cumsum(lengths)
-            jump = np.repeat(self._starts[which] - ends + lengths, lengths)
-            out.append(self._flat[jump + np.arange(len(jump))])
-        return out
+        self._model = self._tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [chr(c) for c in range(0x21, 0x100) if not _ODD.search(chr(c))]
+        self._spelling = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in plain}
+        self._parts: dict[str, int] = {}  # place and number of a part's ids, in one integer
+        self._part_ids = array("I")
+        self._starts, self._lengths, self._flat = array("q"), array("q"), array("I")
+
+    def _part(self, part: str) -> array | list[int]:
+        place = self._parts.get(part)
+        if place is not None:
+            return self._part_ids[place >> 6 : (place >> 6) + (place & 63)]
+        ids = [token.id for token in self._model.tokenize(part.translate(self._spelling))]
+        if len(self._parts) < REMEMBERED_WORDS and len(ids) < 64:
+            self._parts[part] = len(self._part_ids) << 6 | len(ids)
+            self._part_ids.extend(ids)
+        return ids
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self._starts.append(len(self._flat))
+        if _ODD.search(word):
+            self._flat.extend(self._tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            for part in _PARTS.findall(word.lower()):
+                self._flat.extend(self._part(part))
+        self._lengths.append(len(self._flat) - self._starts[-1])
+        return number
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()  # the vocabulary knows lower case only; fewer words differ
+        words = _WHITE.split(text) if _ODD_WHITE.search(text) else text.split()
+        if not words:
+            return np.empty(0, np.uint32)
+        which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        lengths = np.frombuffer(self._lengths, np.int64)[which]
+        ends = np.cumsum(lengths)
+        jump = np.repeat(np.frombuffer(self._starts, np.int64)[which] - ends + lengths, lengths)
+        ids = np.frombuffer(self._flat, np.uint32)[jump + np.arange(len(jump))] if len(jump) else np.empty(0, np.uint32)
+        if len(self) > REMEMBERED_WORDS:
+            while len(self) > REMEMBERED_WORDS:
+                self.popitem()
+            del self._flat[self._starts[REMEMBERED_WORDS] :], self._starts[REMEMBERED_WORDS:], self._lengths[REMEMBERED_WORDS:]
+        return ids
+
+
+#: One per worker process and vocabulary, so that later tasks of a worker find the words known.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """One row per piece of at most ``sequence`` ids, with the checksum of its ids."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             rows = []
-            for at in range(0, len(texts), CHUNK):
-                for doc_id, ids in zip(batch["doc_id"].iloc[at : at + CHUNK], encoder.encode(texts[at : at + CHUNK])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), sequence):
-                        part = ids[start : start + sequence]
-                        rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = np.append(words.encode(text if isinstance(text, str) else ""), np.uint32(end_id)).astype("<u4")
+                for start in range(0, len(ids), sequence):
+                    part = ids[start : start + sequence]
+                    rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
             frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
