@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import extraction, hamming, language, mixing, neighbours, packing, privacy, quality, secrets, similarity
 from trackloom.llm.common import table
+from trackloom.llm.oracles import ORACLES as ORACLES
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -82,5 +83,3 @@ QUERIES = {
     "op9_pack_documents": op9_pack_documents,
     "op10_score_quality": op10_score_quality,
 }
-
-ORACLES: dict[str, str] = {}
