@@ -332,7 +332,7 @@ CTES["place_radii"] = """
 SELECT *, least(25000.0, greatest(CASE place WHEN 'city' THEN 5000.0 WHEN 'town' THEN 2500.0 WHEN 'village' THEN 1200.0 ELSE 500.0 END,
   coalesce(10 * sqrt(population), 0))) AS radius FROM places"""
 CTES["near_legs"] = f"""
-SELECT s.trip_id, s.seq, s.heading_north, l.name, l.ref,
+SELECT s.trip_id, s.seq, s.heading_north, l.name, l.ref, l.highway,
   ({_M}) * cos(radians(s.lat)) * (l.lon - s.lon) AS x, (l.lat1 - s.lat) * ({_M}) AS y1, (l.lat2 - s.lat) * ({_M}) AS y2
 FROM heading s JOIN legs l ON s.lat BETWEEN l.lat1 - 0.001 AND l.lat2 + 0.001 AND abs(l.lon - s.lon) < 0.002"""
 CTES["candidates"] = """
@@ -403,7 +403,71 @@ CTES["mismatches"] = f"""
 SELECT * FROM (SELECT a.trip_id, a.seq, a.t, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} * 3.6 AS implied_kmh, a.kmh AS displayed_kmh,
   (a.kmh + b.kmh) / 2 AS displayed FROM seconds a JOIN seconds b ON a.trip_id = b.trip_id AND b.clock = a.clock + INTERVAL 1 SECOND)
 WHERE abs(implied_kmh - displayed) > 25"""
-RECURSIVE = {"thinned", *(n for n in CTES if n.startswith("chains"))}
+
+# --- street matching ---
+# Equal costs are decided by off road first, then name, then ref: the label sorts that way.
+LABEL = "coalesce('1' || {c}.name, '0') || chr(1) || coalesce('1' || {c}.ref, '0')"
+CTES["road_candidates"] = """
+SELECT trip_id, seq, name, ref, min(cost) AS cost, arg_min(highway, cost) AS highway
+FROM (SELECT *, 0.5 * power(sqrt(x * x + power(CASE WHEN y1 > 0 THEN y1 WHEN y2 < 0 THEN y2 ELSE 0 END, 2)) / 12, 2)
+    + coalesce(3 * (1 - heading_north * heading_north), 0) AS cost,
+    sqrt(x * x + power(CASE WHEN y1 > 0 THEN y1 WHEN y2 < 0 THEN y2 ELSE 0 END, 2)) AS d FROM near_legs)
+WHERE d <= 50 GROUP BY trip_id, seq, name, ref"""
+CTES["steps_of_runs"] = """
+SELECT trip_id, run, seq, t, step_m, row_number() OVER (PARTITION BY trip_id, run ORDER BY t, seq) AS i FROM match"""
+CTES["emissions"] = f"""
+SELECT trip_id, run, i, '' AS label, CAST({C.OFF_ROAD_COST} AS DOUBLE) AS cost FROM steps_of_runs
+UNION ALL SELECT s.trip_id, s.run, s.i, {LABEL.format(c='c')}, round_even(c.cost * 1073741824, 0) / 1073741824
+FROM steps_of_runs s JOIN road_candidates c ON c.trip_id = s.trip_id AND c.seq = s.seq"""
+CTES["paths"] = f"""
+SELECT trip_id, run, i, label, cost AS total, CAST(NULL AS VARCHAR) AS prev FROM emissions WHERE i = 1
+UNION ALL
+SELECT e.trip_id, e.run, e.i, e.label, e.cost + least(CAST({C.SWITCH_COST} AS DOUBLE), coalesce(b.totals[e.label] - b.lowest, {C.SWITCH_COST})),
+  CASE WHEN b.totals[e.label] - b.lowest <= {C.SWITCH_COST} THEN e.label ELSE b.best END
+FROM (SELECT trip_id, run, i, min(total) AS lowest, arg_min(label, (total, label)) AS best, map(list(label), list(total)) AS totals
+  FROM paths GROUP BY trip_id, run, i) b
+JOIN emissions e ON e.trip_id = b.trip_id AND e.run = b.run AND e.i = b.i + 1"""
+CTES["traced"] = """
+SELECT p.trip_id, p.run, p.i, arg_min(p.label, (p.total, p.label)) AS label
+FROM paths p JOIN (SELECT trip_id, run, max(i) AS i FROM steps_of_runs GROUP BY trip_id, run) z ON z.trip_id = p.trip_id AND z.run = p.run AND z.i = p.i
+GROUP BY p.trip_id, p.run, p.i
+UNION ALL
+SELECT x.trip_id, x.run, x.i - 1, p.prev FROM traced x
+JOIN paths p ON p.trip_id = x.trip_id AND p.run = x.run AND p.i = x.i AND p.label = x.label WHERE x.i > 1"""
+CTES["matched"] = f"""
+SELECT s.trip_id, s.run, s.seq, s.t, s.step_m, nullif(x.label, '') AS street, c.name, c.ref, c.highway
+FROM traced x JOIN steps_of_runs s ON s.trip_id = x.trip_id AND s.run = x.run AND s.i = x.i
+LEFT JOIN road_candidates c ON c.trip_id = s.trip_id AND c.seq = s.seq AND {LABEL.format(c='c')} = x.label"""
+CTES["stretch_parts"] = f"""
+SELECT trip_id, stretch, street, name, ref, highway, sum(step_m) AS m, min(t) AS a, max(t) AS z, min(t) FILTER (NOT starts) AS driven
+FROM (SELECT *, brun IS DISTINCT FROM run AS starts,
+    CAST(sum(CASE WHEN run = brun AND street IS NOT DISTINCT FROM bstreet THEN 0 ELSE 1 END)
+      OVER (PARTITION BY trip_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stretch
+  FROM (SELECT *, lag(run) OVER w AS brun, lag(street) OVER w AS bstreet FROM matched WINDOW w AS (PARTITION BY trip_id ORDER BY t, seq)))
+WHERE street IS NOT NULL GROUP BY trip_id, stretch, street, name, ref, highway
+QUALIFY sum(sum(step_m)) OVER (PARTITION BY trip_id, stretch) >= {C.MIN_STRETCH_M}"""
+CTES["street_entries"] = """
+SELECT trip_id, pos, coalesce(road.name, road.ref) AS name, road.ref AS ref, road.highway AS highway, CAST(round_even(m, 0) AS BIGINT) AS distance_m,
+  round(a, 2) AS start_t, round(z, 2) AS end_t
+FROM (SELECT trip_id, pos, arg_max({'name': name, 'ref': ref, 'highway': highway}, (m, -driven)) FILTER (driven IS NOT NULL) AS road,
+    sum(m) AS m, min(a) AS a, max(z) AS z
+  FROM (SELECT trip_id, pos, name, ref, highway, sum(m) AS m, min(a) AS a, max(z) AS z, min(driven) AS driven
+    FROM (SELECT *, CAST(sum(CASE WHEN street = before THEN 0 ELSE 1 END) OVER (PARTITION BY trip_id ORDER BY stretch, highway ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pos
+      FROM (SELECT *, lag(street) OVER (PARTITION BY trip_id ORDER BY stretch, highway) AS before FROM stretch_parts))
+    GROUP BY trip_id, pos, name, ref, highway) GROUP BY trip_id, pos)"""
+CTES["street_labels"] = """
+SELECT trip_id, pos, CASE WHEN ref IS NOT NULL THEN replace(ref, '-', '') ELSE name END AS label, distance_m FROM street_entries"""
+
+
+def _same_neighbours(source: str) -> str:
+    return f"""
+SELECT trip_id, n AS pos, label, sum(distance_m) AS distance_m
+FROM (SELECT *, CAST(sum(CASE WHEN label = before THEN 0 ELSE 1 END) OVER (PARTITION BY trip_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n
+  FROM (SELECT *, lag(label) OVER (PARTITION BY trip_id ORDER BY pos) AS before FROM {source})) GROUP BY trip_id, n, label"""
+
+
+CTES["merged_labels"] = _same_neighbours("street_labels")
+CTES["named_labels"] = _same_neighbours(f"(SELECT * FROM merged_labels WHERE distance_m >= {C.MIN_NAMED_STRETCH_M})")
 
 
 def _with(body: str) -> str:
@@ -691,6 +755,13 @@ SELECT way_id, i // 7 AS chunk, i % 7 AS pos, round((lat_u + i * 1000) / 1000000
 UNION ALL SELECT way_id, i // 7 - 1, 7, round((lat_u + i * 1000) / 1000000, 6), round(lon_u / 1000000, 6) FROM map_roads, (VALUES (7), (14)) r(i)
 UNION ALL SELECT way_id, 2, 6, round((lat_u + 20000) / 1000000, 6), round(lon_u / 1000000, 6) FROM map_roads"""
     q["j6_a20_candidates"] = "SELECT trip_id, seq, name, ref, round(cost, 4) AS cost FROM candidates"
+    q["u4_match_streets"] = "SELECT trip_id, seq, coalesce(name, ref) AS street FROM matched"
+    q["w13_w14_a8_e3_streets"] = "SELECT trip_id, pos, name, ref, highway, distance_m, start_t, end_t FROM street_entries"
+    q["p19_street_labels"] = "SELECT trip_id, pos, label FROM street_labels"
+    q["w15_named_stretches"] = "SELECT trip_id, pos, label, CAST(distance_m AS DOUBLE) AS distance_m FROM named_labels"
+    q["a7_a15_street_names"] = "SELECT DISTINCT name FROM street_entries"
+    q["e4_enrich_stale"] = """
+SELECT trip_id, pos, name, distance_m FROM street_entries WHERE trip_id % 3 = 0"""
     q["j7_localities"] = "SELECT trip_id, s AS start, e AS \"end\" FROM trip_places"
     q["a6_samples_digest"] = "SELECT trip_id, samples_digest FROM digests"
     q["j15_e12_enrichment_status"] = """
