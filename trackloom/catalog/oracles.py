@@ -368,6 +368,40 @@ SELECT p.trip_id, p.run, p.seq, p.i, p.n, p.lat, p.lon,
   CASE WHEN {hav('k.klat', 'k.klon', 'p.lat', 'p.lon')} >= 10 THEN p.lon ELSE k.klon END,
   {hav('k.klat', 'k.klon', 'p.lat', 'p.lon')} >= 10
 FROM thinned k JOIN points p ON p.trip_id = k.trip_id AND p.run = k.run AND p.i = k.i + 1"""
+# Line simplification: every open stretch is split at its farthest point beyond the tolerance.
+CTES["thin_rows"] = f"""
+SELECT trip_id, run, lat, lon, row_number() OVER w AS j, count(*) OVER (PARTITION BY trip_id, run) AS m,
+  lon * cos(radians(first_value(lat) OVER w)) * {C.METERS_PER_DEGREE!r} AS x, lat * {C.METERS_PER_DEGREE!r} AS y
+FROM thinned WHERE n > 1 AND (kept OR i = n) WINDOW w AS (PARTITION BY trip_id, run ORDER BY i)"""
+CTES["splits"] = f"""
+SELECT trip_id, run, CAST(1 AS BIGINT) AS a, m AS b FROM thin_rows WHERE j = 1
+UNION ALL
+SELECT trip_id, run, unnest([a, far]) AS a, unnest([far, b]) AS b
+FROM (SELECT trip_id, run, a, b, arg_max(j, (off, -j)) AS far, max(off) AS off
+  FROM (SELECT o.trip_id, o.run, o.a, o.b, p.j, CASE WHEN q.x = r.x AND q.y = r.y THEN sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2))
+      ELSE abs((r.y - q.y) * (p.x - q.x) - (r.x - q.x) * (p.y - q.y)) / sqrt(power(r.x - q.x, 2) + power(r.y - q.y, 2)) END AS off
+    FROM splits o JOIN thin_rows q ON q.trip_id = o.trip_id AND q.run = o.run AND q.j = o.a
+    JOIN thin_rows r ON r.trip_id = o.trip_id AND r.run = o.run AND r.j = o.b
+    JOIN thin_rows p ON p.trip_id = o.trip_id AND p.run = o.run AND p.j > o.a AND p.j < o.b)
+  GROUP BY trip_id, run, a, b) WHERE off > {C.GEOMETRY_TOLERANCE_M}"""
+CTES["routes"] = """
+SELECT t.trip_id, t.run, CAST(row_number() OVER (PARTITION BY t.trip_id, t.run ORDER BY t.j) - 1 AS INTEGER) AS pos, t.lat, t.lon
+FROM thin_rows t JOIN (SELECT trip_id, run, a AS j FROM splits UNION SELECT trip_id, run, b FROM splits) k
+  ON k.trip_id = t.trip_id AND k.run = t.run AND k.j = t.j"""
+CTES["heat_scale"] = f"""
+SELECT lat, CAST({C.HEAT_CELL_M} AS DOUBLE) / {C.HEAT_METERS_PER_DEGREE} AS cell_lat,
+  CAST({C.HEAT_CELL_M} AS DOUBLE) / {C.HEAT_METERS_PER_DEGREE} / cos(lat * pi() / 180) AS cell_lon,
+  greatest(1, CAST(floor(CAST({C.HEAT_RADIUS_PX} AS DOUBLE) / 2 * (CAST({C.EARTH_CIRCUMFERENCE_M} AS DOUBLE) * cos(lat * pi() / 180) / ({C.WORLD_WIDTH_PX} * 1024))
+    / {C.HEAT_CELL_M}) AS BIGINT)) AS merge
+FROM (SELECT coalesce(arg_min(lat, (trip_id, run, pos)), 0) AS lat FROM routes)"""
+CTES["heat_cells"] = """
+SELECT "row", "column", count(*) AS trips FROM (
+  SELECT DISTINCT trip_id, CAST(floor((lat + d_lat * (k / steps)) / cell_lat) AS BIGINT) AS "row", CAST(floor((lon + d_lon * (k / steps)) / cell_lon) AS BIGINT) AS "column"
+  FROM (SELECT *, unnest(range(0, steps + 1)) AS k
+    FROM (SELECT *, greatest(1, CAST(ceil(greatest(abs(d_lat) / cell_lat, abs(d_lon) / cell_lon) * 2) AS BIGINT)) AS steps
+      FROM (SELECT trip_id, r.lat, lon, lead(r.lat) OVER w - r.lat AS d_lat, lead(lon) OVER w - lon AS d_lon, cell_lat, cell_lon
+        FROM routes r, heat_scale WINDOW w AS (PARTITION BY trip_id, run ORDER BY pos)) WHERE d_lat IS NOT NULL)))
+GROUP BY ALL"""
 
 # --- quality ---
 CTES["frame_values"] = """
@@ -747,6 +781,15 @@ FROM trips"""
 SELECT t.day || ' ' || t.name AS id, CASE WHEN s IS NULL AND e IS NULL THEN NULL WHEN s = e THEN s ELSE coalesce(s, '?') || ' -> ' || coalesce(e, '?') END AS route
 FROM trip_tracks t JOIN trip_places p ON p.trip_id = t.trip_id"""
     q["u2_thin_points"] = "SELECT trip_id, run, seq, lat, lon FROM thinned WHERE n > 1 AND (kept OR i = n)"
+    q["u3_e6_simplified_routes"] = "SELECT trip_id, run, pos, lat, lon FROM routes"
+    q["a13_coverage_dots"] = """
+SELECT r.trip_id, r.lat, r.lon FROM routes r JOIN (SELECT trip_id, arg_max(run, (n, -run)) AS run, max(n) AS n
+  FROM (SELECT trip_id, run, count(*) AS n FROM routes GROUP BY ALL) GROUP BY trip_id) z ON z.trip_id = r.trip_id AND z.run = r.run AND r.pos = z.n // 2"""
+    q["a10_heat_cells"] = 'SELECT "row", "column", trips FROM heat_cells'
+    q["a11_e16_heatmap"] = f"""
+SELECT "row", "column", trips, round(1 - power(1 - ({C.HEAT_MIN_LEVEL} + (1 - {C.HEAT_MIN_LEVEL}) * (ln(trips) / ln(greatest({C.HEAT_MIN_SCALE_COUNT},
+    (SELECT max(trips) FROM heat_cells))))), CAST(1 AS DOUBLE) / {C.HEAT_OVERLAP}), 6) AS opacity
+FROM (SELECT CAST(floor("row" / merge) AS BIGINT) AS "row", CAST(floor("column" / merge) AS BIGINT) AS "column", max(trips) AS trips FROM heat_cells, heat_scale GROUP BY ALL)"""
     q["f9_j5_named_roads"] = "SELECT way_id, name, ref, highway, 21 AS points FROM map_roads"
     q["f10_chunks_in_box"] = """
 SELECT way_id, c // 7 AS chunk FROM map_roads, (VALUES (0), (7), (14)) r(c) WHERE lat_u + least(c + 7, 20) * 1000 >= 49850000
