@@ -38,31 +38,44 @@ def route_points(samples: DataFrame, ordering: Ordering | None = None, hot=None)
 # --- dropping close points ---------------------------------------------------------------------------
 
 
-def _kept_by_step(lat, lon, start_lat=None, start_lon=None) -> list[int]:
-    """Indexes of the points at least the minimum step away from the last kept one."""
-    kept: list[int] = []
-    last_lat, last_lon = start_lat, start_lon
-    for i, (here_lat, here_lon) in enumerate(zip(lat, lon)):
-        if last_lat is not None:
-            phi1, phi2 = math.radians(last_lat), math.radians(here_lat)
-            half_lat = math.sin((phi2 - phi1) / 2)
-            half_lon = math.sin(math.radians(here_lon - last_lon) / 2)
-            a = half_lat * half_lat + math.cos(phi1) * math.cos(phi2) * half_lon * half_lon
-            step_m = 2 * C.EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, a)))
-            if step_m < C.GEOMETRY_MIN_STEP_M:
-                continue
-        kept.append(i)
-        last_lat, last_lon = here_lat, here_lon
+def _bounds(rows: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of each run in rows sorted by run."""
+    values = rows[keys].to_numpy()
+    new = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+    return np.concatenate([[0], new]), np.concatenate([new, [len(rows)]]) - 1
+
+
+def _far_enough(lat: np.ndarray, lon: np.ndarray, first: np.ndarray, last: np.ndarray, start=None) -> np.ndarray:
+    """Which points are at least the minimum step away from the one kept before them in their run.
+
+    All runs move on by one point at a time. ``start`` is a point (lat, lon) kept before the first.
+    """
+    kept = np.zeros(len(lat), bool)
+    phi, turn = np.radians(lat), np.radians(lon)
+    if start is None:
+        kept[first] = True
+        at_phi, at_turn, step = phi[first], turn[first], 1
+    else:
+        at_phi, at_turn, step = np.radians([start[0]]), np.radians([start[1]]), 0
+    while (going := np.flatnonzero(first + step <= last)).size:
+        here = first[going] + step
+        half_phi, half_turn = np.sin((phi[here] - at_phi[going]) / 2), np.sin((turn[here] - at_turn[going]) / 2)
+        chord = half_phi**2 + np.cos(at_phi[going]) * np.cos(phi[here]) * half_turn**2
+        away = 2 * C.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, chord))) >= C.GEOMETRY_MIN_STEP_M
+        moved = going[away]
+        kept[here[away]] = True
+        at_phi[moved], at_turn[moved] = phi[here[away]], turn[here[away]]
+        step += 1
     return kept
 
 
-def _thin_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Thin one run; its last point always stays, and a run of one point goes."""
-    pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
-    kept = _kept_by_step(pdf["lat"].tolist(), pdf["lon"].tolist())
-    if kept[-1] != len(pdf) - 1:
-        kept.append(len(pdf) - 1)
-    return pdf.iloc[kept if len(kept) > 1 else []]
+def _thin_runs(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Thin many runs; the last point of each always stays, and runs of one point go."""
+    first, last = _bounds(rows, keys)
+    kept = _far_enough(rows["lat"].to_numpy(), rows["lon"].to_numpy(), first, last)
+    kept[last] = True
+    kept[first[first == last]] = False
+    return rows[kept]
 
 
 def _thin_blocks(points: DataFrame, ordering: Ordering) -> DataFrame:
@@ -80,20 +93,23 @@ def _thin_blocks(points: DataFrame, ordering: Ordering) -> DataFrame:
 
     def start_of(pdf: pd.DataFrame):
         lat, lon = pdf["start_lat"].iloc[0], pdf["start_lon"].iloc[0]
-        return (None, None) if pd.isna(lat) else (float(lat), float(lon))
+        return None if pd.isna(lat) else (float(lat), float(lon))
+
+    def kept_in(pdf: pd.DataFrame) -> np.ndarray:
+        ends = np.array([0]), np.array([len(pdf) - 1])
+        return _far_enough(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), *ends, start_of(pdf))
 
     def last_kept(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
-        lat, lon = start_of(pdf)
-        kept = _kept_by_step(pdf["lat"].tolist(), pdf["lon"].tolist(), lat, lon)
-        if kept:
-            lat, lon = pdf["lat"].iloc[kept[-1]], pdf["lon"].iloc[kept[-1]]
+        kept = pdf[kept_in(pdf)]
+        lat, lon = start_of(pdf) or (None, None)
+        if len(kept):
+            lat, lon = kept["lat"].iloc[-1], kept["lon"].iloc[-1]
         return pdf.iloc[:1][keys].assign(end_lat=lat, end_lon=lon)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
-        kept = _kept_by_step(pdf["lat"].tolist(), pdf["lon"].tolist(), *start_of(pdf))
-        return pdf.iloc[kept].drop(columns=["start_lat", "start_lon"])
+        return pdf[kept_in(pdf)].drop(columns=["start_lat", "start_lon"])
 
     before = Window.partitionBy(*ordering.keys).orderBy(BLOCK)
     starts = points.select(*keys).distinct().select(
@@ -128,7 +144,7 @@ def thin_points(points: DataFrame, ordering: Ordering | None = None, hot=None) -
     def work(df, o):
         if o.blocked:
             return _thin_blocks(df, o)
-        return df.groupBy(*o.keys).applyInPandas(_thin_run, df.schema)
+        return blocks.map_groups(df, list(o.keys), ["t", "seq"], _thin_runs, df.schema)
 
     return by_group(points, ordering or runs_of_points(), work, hot)
 
@@ -136,29 +152,39 @@ def thin_points(points: DataFrame, ordering: Ordering | None = None, hot=None) -
 # --- Douglas-Peucker ---------------------------------------------------------------------------------
 
 
-def _simplify_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep the points of one run that deviate more than the tolerance."""
-    pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
-    lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
-    x = lon * math.cos(math.radians(lat[0])) * C.METERS_PER_DEGREE
-    y = lat * C.METERS_PER_DEGREE
-    kept = np.zeros(len(pdf), dtype=bool)
-    kept[[0, -1]] = True
-    ranges = [(0, len(pdf) - 1)]
-    while ranges:
-        a, b = ranges.pop()
-        if b - a < 2:
-            continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        from_x, from_y = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        length = math.hypot(dx, dy)
-        off = np.abs(dy * from_x - dx * from_y) / length if length > 0 else np.hypot(from_x, from_y)
-        far = int(off.argmax())
-        if off[far] > C.GEOMETRY_TOLERANCE_M:
-            middle = a + 1 + far
-            kept[middle] = True
-            ranges += [(a, middle), (middle, b)]
-    return pdf[kept]
+def _simplify_runs(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Keep the points of many runs that deviate more than the tolerance.
+
+    All open stretches of all runs are measured at once, level by level: a stretch whose farthest
+    point (the first of equals) is beyond the tolerance is divided there.
+    """
+    if not len(rows):
+        return rows
+    first, last = _bounds(rows, keys)
+    lat = rows["lat"].to_numpy()
+    narrow = np.repeat(np.cos(np.radians(lat[first])), last - first + 1)
+    x, y = rows["lon"].to_numpy() * narrow * C.METERS_PER_DEGREE, lat * C.METERS_PER_DEGREE
+    kept = np.zeros(len(rows), bool)
+    kept[first] = kept[last] = True
+    start, end = first, last
+    while (wide := end - start > 1).any():
+        start, end = start[wide], end[wide]
+        inside = end - start - 1
+        begins = np.cumsum(inside) - inside
+        stretch = np.repeat(np.arange(len(start)), inside)
+        point = np.arange(len(stretch)) - begins[stretch] + start[stretch] + 1
+        dx, dy = x[end] - x[start], y[end] - y[start]
+        from_x, from_y = x[point] - x[start][stretch], y[point] - y[start][stretch]
+        length = np.hypot(dx, dy)
+        across = np.abs(dy[stretch] * from_x - dx[stretch] * from_y) / np.where(length > 0, length, 1)[stretch]
+        off = np.where(length[stretch] > 0, across, np.hypot(from_x, from_y))
+        most = np.maximum.reduceat(off, begins)
+        far = np.minimum.reduceat(np.where(off == most[stretch], point, len(rows)), begins)
+        divided = most > C.GEOMETRY_TOLERANCE_M
+        far, start, end = far[divided], start[divided], end[divided]
+        kept[far] = True
+        start, end = np.concatenate([start, far]), np.concatenate([far, end])
+    return rows[kept]
 
 
 def _simplify_blocks(points: DataFrame, ordering: Ordering) -> DataFrame:
@@ -208,7 +234,7 @@ def simplify_points(points: DataFrame, ordering: Ordering | None = None, hot=Non
     def work(df, o):
         if o.blocked:
             return _simplify_blocks(df, o)
-        return df.groupBy(*o.keys).applyInPandas(_simplify_run, df.schema)
+        return blocks.map_groups(df, list(o.keys), ["t", "seq"], _simplify_runs, df.schema)
 
     return by_group(points, ordering or runs_of_points(), work, hot)
 
@@ -219,14 +245,13 @@ def simplify_routes(samples: DataFrame, ordering: Ordering | None = None, hot=No
     points, o = route_points(samples, ordering, hot), runs_of_points()
     run_hot = blocks.narrower(hot) or blocks.find_hot_keys(points, o.keys)
 
-    def both(df: pd.DataFrame) -> pd.DataFrame:
-        thinned = _thin_run(df)
-        return _simplify_run(thinned) if len(thinned) else thinned
+    def both(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+        return _simplify_runs(_thin_runs(rows, keys), keys)
 
     def work(df, order):
         if order.blocked:
             return _simplify_blocks(_thin_blocks(df, order), order)
-        return df.groupBy(*order.keys).applyInPandas(both, df.schema)
+        return blocks.map_groups(df, list(order.keys), ["t", "seq"], both, df.schema)
 
     simplified = by_group(points, o, work, run_hot)
     numbered = by_group(
