@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import chosen, crc_mod, letters, mix, small_batches
 
 #: Labelled rows that are learned from, at most: those with the smallest hashes of their ids.
-MOST_LABELLED = 6_000
+MOST_LABELLED = 3_000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 #: Character n-grams run over everything but line breaks; words are what white space separates.
@@ -107,7 +107,7 @@ def labelled_features(rows: DataFrame) -> DataFrame:
                 if len(used) > MOST_FEATURES:
                     used = np.sort(used[np.argsort(-counts[used], kind="stable")[:MOST_FEATURES]])
                 yield pd.DataFrame({
-                    "buckets": [used.astype("<i4").tobytes()], "counts": [counts[used].astype("<i4").tobytes()],
+                    "buckets": [used.astype("<i4").tobytes()], "counts": [np.minimum(counts[used], 65_535).astype("<u2").tobytes()],
                     "label": [label], "number": [number],
                 })
 
@@ -181,9 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Subw
         .withColumn("number", F.xxhash64(F.lit(SEED), "doc_id")).orderBy("number", "doc_id", "label").limit(most)
     )
     rows = docs.join(F.broadcast(small), "doc_id").select("text", "label", "number")  # at most `most` ids
-    found = labelled_features(rows).collect()
-    found.sort(key=lambda r: (r["number"], r["label"], r["buckets"]))
-    return train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["label"]) for r in found])
+    found = sorted(labelled_features(rows).toLocalIterator(), key=lambda r: (r["number"], r["label"], r["buckets"]))
+    return train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<u2"), r["label"]) for r in found])
 
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
