@@ -50,10 +50,10 @@ def corpus():
     return rows + [rows[3]] * 2  # repeated rows
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_join_equals_brute_force(documents, monkeypatch, block):
+@pytest.mark.parametrize("block, runs", [(512, 400_000), (3, 400_000), (512, 150)])
+def test_join_equals_brute_force(documents, monkeypatch, block, runs):
     monkeypatch.setattr(similarity, "BLOCK", block)
-    monkeypatch.setattr(similarity.in_block_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(similarity, "BLOCK_RUNS", runs)
     rows = corpus()
     out = join_near_duplicates(documents([(i, t, None, None) for i, t in rows])).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in out), key=str) == brute(rows)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch that goes to a Python worker. Texts are long; the default of 10,000 rows
 #: would hold tens of megabytes per batch.
 BATCH_ROWS = 500
+#: Bytes of one batch, where the Spark version knows the setting.
+BATCH_BYTES = 8 << 20
 
 #: Characters that the vectorised text scanners turn into arrays at once.
 PIECE_CHARS = 400_000
@@ -26,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session, so that a worker holds few texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame) -> DataFrame:

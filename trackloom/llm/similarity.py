@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import chosen, mix, small_batches, stored, word_hashes
@@ -44,10 +44,12 @@ TARGET_RECALL = 0.9999
 LEAST_AGREEMENT = 0.55
 #: Members of one block. A task compares two blocks.
 BLOCK = 512
+#: Word runs of one block's members together, about.
+BLOCK_RUNS = 400_000
 #: Rounds of the component search before it gives up; each at least halves long chains.
 MAX_ROUNDS = 40
 
-SIGNED = "id long, copy_key binary, signature binary"
+SIGNED = "id long, copy_key binary, size long, signature binary"
 RUNS = "id long, root long, copies long, runs binary"
 
 
@@ -89,20 +91,21 @@ def signature(runs: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``(id, copy_key, signature)`` of all ``(id, text)`` rows; both are null where there are no runs.
+    """``(id, copy_key, size, signature)`` of all ``(id, text)`` rows; key and signature are null without runs.
 
-    ``copy_key`` is a digest of the set of runs.
+    ``copy_key`` is a digest of the set of runs, ``size`` their number.
     """
     seeds = _seeds(trees * depth)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, signs = [], []
+            keys, signs, sizes = [], [], []
             for text in batch["text"]:
                 runs = runs_of(text if isinstance(text, str) else "")
+                sizes.append(len(runs))
                 keys.append(hashlib.blake2b(runs.tobytes(), digest_size=16).digest() if len(runs) else None)
                 signs.append(signature(runs, seeds).astype(">u4").tobytes() if len(runs) else None)
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "copy_key": keys, "signature": signs})
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "copy_key": keys, "size": sizes, "signature": signs})
 
     small_batches(docs.sparkSession)
     return docs.select("id", "text").mapInPandas(sign, SIGNED)
@@ -162,19 +165,24 @@ def between(links: np.ndarray) -> np.ndarray:
     return spanning(whole)
 
 
-def in_block_pairs(members: DataFrame, sizes: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """Members of the groups in ``sizes`` (columns: group, ``n``), repeated for each pair of blocks.
+def blocks_for(n: Column, total: Column | None = None) -> Column:
+    """Number of blocks for ``n`` members with ``total`` runs: long texts make blocks of fewer members."""
+    by_count = F.ceil(n / BLOCK).cast("int")
+    return by_count if total is None else F.greatest(by_count, F.ceil(total / BLOCK_RUNS).cast("int"))
+
+
+def in_block_pairs(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """Members of the groups in ``sizes`` (columns: group, ``_k``), repeated for each pair of blocks.
 
     Adds ``_a``, ``_b`` (the pair of blocks, _a <= _b) and ``_in`` (the member's own block). A group
     of n members in k blocks is repeated k times; no row stands for a pair of members.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
     return (
-        members.join(sizes, group).withColumn("_k", blocks)
+        members.join(sizes, group)
         .withColumn("_in", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .withColumn("_a", F.least("_in", "_other")).withColumn("_b", F.greatest("_in", "_other"))
-        .drop("_other", "_k", "n")
+        .drop("_other", "_k")
     )
 
 
@@ -193,7 +201,8 @@ def family_links(signs: DataFrame, trees: int, depth: int) -> DataFrame:
     # the same members often meet in several trees: each set of members is compared once
     sizes = (
         nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_who"))
-        .where("n > 1").groupBy("n", "_who").agg(F.min("node").alias("node")).select("node", "n")
+        .where("n > 1").groupBy("n", "_who").agg(F.min("node").alias("node"))
+        .select("node", blocks_for(F.col("n")).alias("_k"))
     )
     placed = in_block_pairs(nodes, sizes, "node").join(signs.select("id", "signature"), "id")
 
@@ -229,7 +238,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
+        # stored, so that the join below is a plain one, which Spark can split where many meet in one hub
+        least = stored(both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m")))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         large = stored(large.where("u <> v"))
         low = large.groupBy("u").agg(F.min("v").alias("_m"))
@@ -329,14 +339,16 @@ def join_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: i
 
     # copies have the same set and so the same signature
     heads = stored(known.groupBy("copy_key").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signature").alias("signature")
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")
     ))
     near = components(family_links(heads.select("id", "signature"), trees, depth))
     members = (
         texts.join(near.join(heads.select("id", "copies"), "id"), "id")
         .groupBy("id", "root", "copies").agg(F.min("text").alias("text"))
     )
-    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
+    sizes = near.join(heads.select("id", "size"), "id").groupBy("root").agg(
+        blocks_for(F.count("*"), F.sum("size")).alias("_k")
+    )
     checked = stored(verified(run_lists(members), sizes, threshold))
     groups = components(checked.where("link").select(F.col("id").alias("src"), F.col("other").alias("dst")))
     counts = checked.groupBy("id").agg(F.sum("n_links").alias("_links"))
