@@ -260,18 +260,21 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     counts = vote_counts(docs.select(candidates(text).alias("candidates")))
     model = train(counts, estimate(counts))
-    by_start = F.array_sort(F.transform(accepted(candidates(text), model), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")
-    )))
+    # a column of its own at each step: an expression that is used twice would search twice
+    staged = docs.withColumn("_pii_candidates", candidates(text)).withColumn(
+        "_pii_spans", F.array_sort(F.transform(accepted(F.col("_pii_candidates"), model), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")
+        )))
+    )
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(by_start, start, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
+    cut = F.aggregate("_pii_spans", start, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
         s["end"].alias("at"),
         F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"),
     )))
-    rest = F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text)))
-    clean = F.when(cut["at"] > 0, rest).otherwise(F.col("text"))
-    columns = docs.columns
-    changed = docs.withColumn("text", clean)
-    if "n_chars" in columns:
+    clean = F.concat(F.col("_pii_cut.out"), F.substring(text, F.col("_pii_cut.at") + 1, F.length(text)))
+    changed = staged.withColumn("_pii_cut", F.when(F.size("_pii_spans") > 0, cut)).withColumn(
+        "text", F.when(F.col("_pii_cut").isNotNull(), clean).otherwise(F.col("text"))
+    )
+    if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*(F.col(f"`{c}`") for c in columns))
+    return changed.select(*(F.col(f"`{c}`") for c in docs.columns))
