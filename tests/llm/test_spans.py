@@ -136,3 +136,13 @@ def test_added_spans_and_redaction(documents):
     assert out[105].text == "please call <LOCAL_PHONE> today"
     assert out[200].text == "nothing here" and out[201].text is None and out[202].text == "é😀 <EMAIL>, é"
     assert privacy.redact(docs).columns == docs.columns
+
+
+def test_cards_whose_digits_are_all_apart(documents):
+    cards = [b.join(c) for c in ("4111111111111111", "4111111111111111110") for b in ("", " ", "-")]
+    assert all(luhn(c.replace(" ", "").replace("-", "")) for c in cards)
+    docs = documents([(i, f"pay {c} now", None, None) for i, c in enumerate(cards)])
+    got = {r.doc_id: r for r in privacy.digest(privacy.find(docs)).collect()}
+    assert [got[i].n_card for i in range(len(cards))] == [1] * len(cards)
+    assert [got[i].spans for i in range(len(cards))] == [f"card:4:{4 + len(c)}" for c in cards]
+    assert {r.text for r in privacy.redact(docs).collect()} == {"pay <CARD> now"}

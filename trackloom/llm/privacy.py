@@ -105,7 +105,7 @@ def matches(text: Column) -> dict[str, Column]:
     """Per kind the matches of its pattern in a text."""
     # only texts with a sign of a kind are prepared and searched for it
     dotted = F.when(text.contains("@"), joined(text, "[A-Za-z0-9-]", r"\.", "[A-Za-z0-9-]")).otherwise("")
-    number = F.when(text.rlike("[0-9][0-9 -]{14}[0-9]"), joined(text, "[0-9]", "[ -]", "[0-9]")).otherwise("")
+    number = F.when(text.rlike("[0-9](?:[ -]?[0-9]){15}"), joined(text, "[0-9]", "[ -]", "[0-9]")).otherwise("")
     return {
         "email": found(dotted, EMAIL, text),
         "ip": found(text, IP),
