@@ -44,3 +44,25 @@ def test_table_with_nulls_repeats_and_extra_columns(spark):
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 0), (1, len(main_text(PAGE))), (1, len(main_text(PAGE)))]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+TEXT = "<p>A first sentence, long enough to count. And one more, with a comma.</p><p>The second one: it ends here, too.</p>"
+LINES = "A first sentence, long enough to count. And one more, with a comma.\nThe second one: it ends here, too."
+
+
+@pytest.mark.parametrize("page", [
+    f'<nav>Home, news.</nav><div class="content no-sidebar">{TEXT}</div><div class="sidebar"><p>Other, stuff.</p></div>',
+    f'<div class="post-with-banner">{TEXT}<div class="share">Share it, now.</div></div><footer>c. 2020</footer>',
+    f'<div id="x" class="elementor-widget">{TEXT}</div><div class="cookie-notice">Cookies, ok?</div>',
+    f'<div class="widget">{TEXT}</div>',
+    f'<div class="post-with-banner">{TEXT}</div><div id="comments">{"<p>I liked it, a lot.</p>" * 20}</div>',
+    f'<form id="page"><header>Site, name.</header><div>{TEXT}</div></form>',
+    f'<div class="cards"><article><p>Teaser, one.</p></article><article><p>Teaser, two.</p></article></div><div class="text">{TEXT}</div>',
+    f'<main>{TEXT}</main><div class="cards"><article><p>Teaser, one.</p></article></div>',
+])
+def test_names_and_regions_do_not_outweigh_the_text(page):
+    assert main_text(f"<html><body>{page}</body></html>") == LINES
+
+
+def test_a_short_article_is_not_outweighed_by_a_long_footer():
+    assert main_text(f"<article><p>Short, but whole.</p></article><footer>{TEXT}</footer>") == "Short, but whole."

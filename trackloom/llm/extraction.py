@@ -8,6 +8,11 @@ ratio passes a threshold taken from the page's own spread. The content container
 element that holds most of the text of content paths; its blocks are the main text, short ones
 included, except what lies below a boilerplate element.
 
+Element names, roles, classes and ids mark elements as boilerplate. That is evidence, not a verdict:
+a part of a longer name ("no-sidebar") or a form around most of a page's punctuated text says nothing
+on that page, nor does any other mark around most of it if nothing else is left.
+Articles, and then main elements, outrank what surrounds them only if they hold most of the content.
+
 Pages may be cut off or badly nested: end tags without a start are ignored, missing ones are implied.
 Null or empty pages, and pages without text, give an empty text. Repeated rows are extracted once
 each. Extra columns are ignored.
@@ -31,6 +36,9 @@ SMOOTHING = (0.25, 0.5, 0.25)
 LEAST_DEVIATION = 0.5
 #: Share of the content text that the container holds at least.
 CONTAINER_SHARE = 0.6
+#: More than this share of a text is most of it: of the punctuated text that marks cover (``_judge``),
+#: and of the content that a region must hold.
+MOST_SHARE = 0.5
 
 # Element names and words of the format.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,14 +78,18 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 @dataclass
 class Element:
-    """An open or closed element: its name, path, place in the tree, and whether it is boilerplate."""
+    """An open or closed element: its name, path, place in the tree, and whether it is boilerplate.
+
+    ``marks`` are the reasons to call it boilerplate, its own and those of the elements around it.
+    """
 
     name: str
     path: str
     parent: Element | None
-    boilerplate: bool
+    marks: frozenset[tuple[str, str]]
     regions: dict[str, Element]  # the outermost article and the outermost main element around it
     depth: int
+    boilerplate: bool = False
 
 
 @dataclass
@@ -97,14 +109,21 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
             role = value
         else:
             names += value.split()
-    bad = name in BOILERPLATE or role in BOILERPLATE_ROLES or bool(_HIDDEN.search(attributes)) or any(
-        n in BOILERPLATE_NAMES or any(part in BOILERPLATE_NAMES for part in re.split(r"[-_]+", n)) for n in names
-    )
+    marks = {("element", name)} if name in BOILERPLATE else set()
+    if role in BOILERPLATE_ROLES:
+        marks.add(("role", role))
+    if _HIDDEN.search(attributes):
+        marks.add(("hidden", ""))
+    for n in names:
+        if n in BOILERPLATE_NAMES:
+            marks.add(("name", n))
+        else:  # a part of a longer name is a reason of its own: "no-sidebar" says nothing about "sidebar"
+            marks.update(("part", part) for part in re.split(r"[-_]+", n) if part in BOILERPLATE_NAMES)
     if name in ("body", "html", "main"):  # "has-sidebar" and the like describe the page, not a part of it
-        bad = False
+        marks = set()
     label = name if not names else f"{name}.{'.'.join(sorted(names))}"
     path = label if parent is None else f"{parent.path}/{label}"
-    element = Element(name, path, parent, bad or bool(parent and parent.boilerplate), {}, parent.depth + 1 if parent else 0)
+    element = Element(name, path, parent, parent.marks | marks if parent else frozenset(marks), {}, parent.depth + 1 if parent else 0)
     element.regions = dict(parent.regions) if parent else {}
     for region in REGIONS:
         if region in (name, role):
@@ -162,9 +181,36 @@ def parse(page: str) -> list[Node]:
         if not attributes.endswith("/"):
             stack.append(_element(name, attributes, stack[-1]))
     text(page[end:])
+    _judge(nodes)
     return nodes
 
 
+def _judge(nodes: list[Node]) -> None:
+    """Call elements boilerplate by their marks, unless the page's punctuated text speaks against a mark.
+
+    Weak marks, parts of longer names and forms, fall if they cover most of the text without a strong
+    one. Strong marks fall if they cover most of the text and no other text is left.
+    """
+    sizes: dict[frozenset[tuple[str, str]], int] = {}
+    for node in nodes:
+        if _PUNCTUATION.search(node.text):
+            sizes[node.element.marks] = sizes.get(node.element.marks, 0) + len("".join(node.text.split()))
+    strong = {m for marks in sizes for m in marks if m[0] != "part" and m[1] != "form"}
+
+    def most(among: dict[frozenset[tuple[str, str]], int]) -> set[tuple[str, str]]:
+        total, covered = sum(among.values()), {}
+        for marks, size in among.items():
+            for mark in marks:
+                covered[mark] = covered.get(mark, 0) + size
+        return {mark for mark, size in covered.items() if size > MOST_SHARE * total}
+
+    void = most({marks: size for marks, size in sizes.items() if not marks & strong})
+    if not any(marks <= void for marks in sizes):
+        void = most(sizes)
+    for node in nodes:
+        node.element.boilerplate = not node.element.marks <= void
+
+
 def content_paths(nodes: list[Node]) -> set[str]:
     """Paths whose smoothed and fused ratios pass the page's threshold."""
     sums: dict[str, list[int]] = {}
@@ -197,12 +243,12 @@ def main_text(page: str | None) -> str:
     """The main text of a page: its blocks in page order, joined by line breaks."""
     nodes = [n for n in parse(page or "") if not n.element.boilerplate]
     filled = [n for n in nodes if not n.text.isspace()]
-    # an article or main element outranks what surrounds it
-    region = next((r for r in REGIONS if any(r in n.element.regions for n in filled)), None)
+    content = _content(filled)
+    # an article or main element with most of the content outranks what surrounds it
+    total = sum(len(n.text) for n in content)
+    region = next((r for r in REGIONS if sum(len(n.text) for n in content if r in n.element.regions) > MOST_SHARE * total), None)
     if region:
-        filled = [n for n in filled if region in n.element.regions]
-    paths = content_paths(filled)
-    content = [n for n in filled if n.element.path in paths] or filled
+        content = _content([n for n in filled if region in n.element.regions])
     if region:
         containers = {id(n.element.regions[region]): n.element.regions[region] for n in content}
     else:
@@ -216,6 +262,12 @@ def main_text(page: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _content(filled: list[Node]) -> list[Node]:
+    """The nodes on content paths, or all where no path stands out."""
+    paths = content_paths(filled)
+    return [n for n in filled if n.element.path in paths] or filled
+
+
 def _container(content: list[Node]) -> Element | None:
     """The deepest element with most of the content: a paragraph or list item belongs to what is around it."""
     held: dict[int, list] = {}
