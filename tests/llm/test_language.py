@@ -58,3 +58,12 @@ def test_pieces_of_a_long_text_lose_no_gram():
     parts = [grams(c, o)[0] for c, o in letters([text], 2, 100)]
     whole = grams(*next(letters([text], 2)))[0]
     assert np.array_equal(np.sort(np.concatenate(parts)), np.sort(whole))
+
+
+def test_symbols_beyond_the_basic_plane_are_no_letters(documents):
+    known = lambda text: grams(*next(letters([text], 2)))[0]
+    assert len(known("\U0001f600\U0001f44d \U0001d7d8")) == 0 and len(known("\U00010330\U00020000")) == 2
+    assert np.array_equal(known("fox\U0001f600den"), known("fox den"))
+    rows = [(i, EN[i % 20 :] * 3, "en", "s") for i in range(8)] + [(50, "\U0001f600\U0001f44d \U0001f680", "en", "s")]
+    by_id = {r.doc_id: (r.lang_pred, r.score) for r in identify(documents(rows)).collect()}
+    assert by_id[50] == ("und", 0.0) and by_id[1][0] == "en"

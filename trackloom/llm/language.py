@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,22 @@ def _letter_table() -> np.ndarray:
 _LETTERS: np.ndarray | None = None
 
 
+@lru_cache(1 << 16)
+def _is_letter(code: int) -> bool:
+    return chr(code).isalpha()
+
+
+def _spaced(codes: np.ndarray) -> np.ndarray:
+    """The code points with a space for those beyond the basic plane that are no letters."""
+    high = codes >= 0x10000
+    if not high.any():
+        return codes
+    found, where = np.unique(codes[high], return_inverse=True)
+    codes = codes.copy()
+    codes[high] = np.where([_is_letter(int(c)) for c in found], found, _SPACE)[where]
+    return codes
+
+
 def grams(codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of letters and single word borders, and the text of each.
 
@@ -57,6 +74,7 @@ def grams(codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray
     global _LETTERS
     if _LETTERS is None:
         _LETTERS = _letter_table()
+    codes = _spaced(codes)
     folded = np.where(codes < 0x10000, codes, 0x8000 | (codes & 0x7FFF))
     plain = np.where(codes < 0x10000, _LETTERS[folded], folded)
     plain = plain.astype(np.uint64)
