@@ -74,3 +74,20 @@ def test_training_is_repeatable():
     rng = np.random.default_rng(0)
     texts = [(np.sort(rng.choice(BUCKETS, 20, False)), np.ones(20, np.int64), i % 2) for i in range(30)]
     assert np.array_equal(train(texts).table, train(texts).table)
+
+
+def test_labelled_texts_are_learned_whole(spark):
+    from trackloom.llm import quality
+
+    text = " ".join(f"w{i}" for i in range(20_000)) + " a" * 70_000
+    want = np.zeros(BUCKETS, np.int64)
+    for codes, owners in letters([text], 4):
+        for _, bucket in features(codes, owners):
+            want += np.bincount(bucket, minlength=BUCKETS)
+    assert (want > 0).sum() > 8_192 and want.max() > 65_535
+    rows = spark.createDataFrame([(text, 1, 5), ("short one", 0, 3), ("", 0, 4), ("short one", 0, 3)], "text string, label int, number long")
+    found = quality.FiledTexts(quality.labelled_features(rows).toLocalIterator())
+    assert [t[2] for t in found] == [0, 0, 0, 1] == found.labels
+    buckets, counts, _ = found[3]
+    assert np.array_equal(buckets, np.flatnonzero(want)) and np.array_equal(counts, want[want > 0])
+    assert np.array_equal(found[0][0], found[1][0]) and len(found[0][0]) > 0

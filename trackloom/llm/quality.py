@@ -13,12 +13,14 @@ rows are scored once each. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import chosen, crc_mod, letters, mix, small_batches
@@ -32,10 +34,8 @@ GRAMS = (3, 5)
 EPOCHS = 5
 RATE = 0.5
 SEED = 11
-#: Distinct buckets of one labelled text that are learned from, at most: the most frequent ones.
-MOST_FEATURES = 8_192
 
-FEATURES = "buckets binary, counts binary, label int, number long"
+FEATURES = "buckets binary, counts binary, wide int, label int, number long"
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -94,27 +94,53 @@ def _inverse_weights(n: int) -> np.ndarray:
 
 
 def labelled_features(rows: DataFrame) -> DataFrame:
-    """Bucket counts of ``(text, label, number)`` rows: at most ``MOST_FEATURES`` per text."""
+    """Bucket counts of ``(text, label, number)`` rows: all of a text, in as few bytes as hold its largest."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, label, number in zip(batch["text"], batch["label"], batch["number"]):
-                counts = np.zeros(BUCKETS, np.int32)
+                counts = np.zeros(BUCKETS, np.int64)
                 for codes, owners in letters([text], max(GRAMS) - 1):
                     for _, bucket in features(codes, owners):
-                        counts += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+                        counts += np.bincount(bucket, minlength=BUCKETS)
                 used = np.flatnonzero(counts)
-                if len(used) > MOST_FEATURES:
-                    used = np.sort(used[np.argsort(-counts[used], kind="stable")[:MOST_FEATURES]])
+                wide = np.min_scalar_type(counts.max()).itemsize
                 yield pd.DataFrame({
-                    "buckets": [used.astype("<i4").tobytes()], "counts": [np.minimum(counts[used], 65_535).astype("<u2").tobytes()],
-                    "label": [label], "number": [number],
+                    "buckets": [used.astype("<i4").tobytes()], "counts": [counts[used].astype(f"<u{wide}").tobytes()],
+                    "wide": [wide], "label": [label], "number": [number],
                 })
 
     small_batches(rows.sparkSession)
     return rows.select("text", "label", "number").mapInPandas(extract, FEATURES)
 
 
+class FiledTexts(Sequence):
+    """``(buckets, counts, label)`` of labelled texts in a temporary file of the driver, one read at a time.
+
+    Whole texts of any length thus take disk, not memory. The order is that of numbers, labels and contents.
+    """
+
+    def __init__(self, rows: Iterable[Row]):
+        self.file = tempfile.TemporaryFile()
+        entries, at = [], 0
+        for r in rows:
+            self.file.write(r["buckets"])
+            self.file.write(r["counts"])
+            digest = hashlib.sha256(r["buckets"] + r["counts"]).digest()
+            entries.append((r["number"], r["label"], digest, at, len(r["buckets"]), len(r["counts"]), r["wide"]))
+            at += len(r["buckets"]) + len(r["counts"])
+        self.entries = sorted(entries)
+        self.labels = [e[1] for e in self.entries]
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        _, label, _, at, first, second, wide = self.entries[i]
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(first), "<i4"), np.frombuffer(self.file.read(second), f"<u{wide}"), label
+
+
 @dataclass
 class SubwordModel:
     """Log odds of label 1: the average of ``table`` over a text's features, plus ``bias``."""
@@ -135,13 +161,13 @@ class SubwordModel:
         return sums / np.maximum(totals, 1) + self.bias
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> SubwordModel:
+def train(texts: Sequence[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> SubwordModel:
     """Stochastic gradient descent over ``(buckets, counts, label)``, one text at a step.
 
     The input vectors start small and random, the output weights at zero, and the step falls
     linearly to zero. Texts come in a new seeded order in each epoch.
     """
-    labels = np.array([label for _, _, label in texts], np.int64)
+    labels = np.array(texts.labels if isinstance(texts, FiledTexts) else [label for _, _, label in texts], np.int64)
     share = labels.mean() if len(labels) else 0.5
     if not 0 < share < 1:
         odds = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
@@ -181,8 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Subw
         .withColumn("number", F.xxhash64(F.lit(SEED), "doc_id")).orderBy("number", "doc_id", "label").limit(most)
     )
     rows = docs.join(F.broadcast(small), "doc_id").select("text", "label", "number")  # at most `most` ids
-    found = sorted(labelled_features(rows).toLocalIterator(), key=lambda r: (r["number"], r["label"], r["buckets"]))
-    return train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<u2"), r["label"]) for r in found])
+    return train(FiledTexts(labelled_features(rows).toLocalIterator()))
 
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
