@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import extraction, hamming, language, mixing, neighbours, packing, privacy, quality, secrets, similarity
+from trackloom.llm import (
+    extraction, hamming, infilling, language, lexical, mixing, neighbours, notices, packing, privacy, quality, secrets, similarity,
+)
 from trackloom.llm.common import table
 from trackloom.llm.oracles import ORACLES as ORACLES
+from trackloom.session import ship_package
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,6 +77,32 @@ def op10_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_find_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices in all documents."""
+    return notices.digest(notices.find_notices(table(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document rearranged for infilling."""
+    return infilling.digests(infilling.store_frames(table(spark, sf_dir, "documents")))
+
+
+def op13_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this package sent to the executors first, so that it runs from any folder."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_extract_main_text": op1_extract_main_text,
     "op2_identify_languages": op2_identify_languages,
@@ -82,4 +114,8 @@ QUERIES = {
     "op8_find_personal_data": op8_find_personal_data,
     "op9_pack_documents": op9_pack_documents,
     "op10_score_quality": op10_score_quality,
+    "op11_find_license_notices": op11_find_license_notices,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_rank_documents": op13_rank_documents,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}

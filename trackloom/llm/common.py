@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Bound the Arrow batches of what runs inside; the session's own settings come back afterwards."""
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size),
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a result as Parquet below ``spark.checkpoint.dir`` and read it back.
 
@@ -90,6 +107,25 @@ def letters(texts: Sequence[str | None], overlap: int, limit: int = PIECE_CHARS)
         yield points()
 
 
+#: Bytes as letters a to z, digits and whatever lies beyond ASCII; A to Z in lower case, the rest a space.
+_FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+
+
+def folded_words(data: bytes | None, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of UTF-8 bytes in order: runs of ASCII letters, digits and anything beyond ASCII.
+
+    Only A to Z are lower-cased. Comes in lists that cover about ``limit`` bytes each, cut between
+    words, so that the list of a long text's words is never held whole. Null counts as empty.
+    """
+    data = (data or b"").translate(_FOLDED)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + limit)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of UTF-8 bytes and where each begins.
 

@@ -50,4 +50,32 @@ s AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(a[1:64], b[
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
-ORACLES: dict[str, str] = {"op3_nearest_vectors": OP3, "op4_nearest_codes": OP4, "op5_scan_secrets": OP5}
+_HASH = "sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), ''))"
+_H = ", ".join(f"CAST('0x' || substr({_HASH}, {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, {_H} FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n FROM d),
+e AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+s AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s"""
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+g AS (SELECT count(DISTINCT r) AS docs, count(*) AS total FROM t),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+x AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM f, g WHERE term IN (SELECT term FROM i) GROUP BY term),
+s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN x USING (term) JOIN f USING (term), g GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op3_nearest_vectors": OP3, "op4_nearest_codes": OP4, "op5_scan_secrets": OP5, "op12_fill_in_middle": OP12, "op13_rank_documents": OP13}
