@@ -4,12 +4,13 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from trackloom.operators import blocks, cleaning
+from trackloom.operators import blocks, chains, cleaning
 
 RAW = (
     "trip_id string, seq int, t double, gps_text string, clock_text string, gps_score double, "
@@ -218,8 +219,8 @@ def brute_force_chain(segments):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_folded", [200, 0])
-def test_chain_agrees_with_brute_force(spark, max_folded):
+@pytest.mark.parametrize("block_segments", [1024, 3, 1])
+def test_chain_agrees_with_brute_force(spark, block_segments):
     rng = random.Random(7)
     data, expected = [], []
     for trip in range(12):
@@ -236,7 +237,37 @@ def test_chain_agrees_with_brute_force(spark, max_folded):
         expected += [(f"t{trip}", n) for n in brute_force_chain(segments)]
     point_type = "struct<t:double,instant:timestamp,lat:double,lon:double>"
     df = spark.createDataFrame(data, f"trip_id string, segment bigint, weight bigint, first {point_type}, last {point_type}")
-    assert rows(cleaning.select_chain(df, max_folded), "trip_id", "segment") == sorted(expected)
+    assert rows(cleaning.select_chain(df, block_segments), "trip_id", "segment") == sorted(expected)
+
+
+def test_chain_of_a_noisy_trip_in_many_tasks(spark):
+    """Thousands of segments, half of them far away for a moment, against the plain fold over all."""
+    rng, count = np.random.default_rng(3), 6000
+    far = rng.random(count) < 0.5
+    t = np.arange(count) * 12.0
+    lat = np.where(far, -20 + rng.random(count) * 3, 49 + t * 0.00002)
+    lon = np.where(far, rng.random(count) * 90, 24 + rng.random(count) * 0.001)
+    weight = rng.integers(1, 6, count)
+    ends = {"t": t + 5, "s": np.full(count, np.nan), "lat": lat, "lon": lon}
+    total, before = weight.copy(), np.full(count, -1)
+    for i in range(1, count):
+        one = {k: v[i : i + 1] for k, v in {**ends, "t": t}.items()}
+        can = chains.reachable({k: v[:i] for k, v in ends.items()}, one)[0]
+        found = np.where(can, total[:i], 0)
+        if found.max() > 0:
+            total[i], before[i] = weight[i] + found.max(), found.argmax()
+    want, at = [], int(total.argmax())
+    while at >= 0:
+        want.append(at)
+        at = int(before[at])
+    fix = "struct<t:double,instant:timestamp,lat:double,lon:double>"
+    data = [(7, i, int(weight[i]), (float(t[i]), None, float(lat[i]), float(lon[i])), (float(t[i] + 5), None, float(lat[i]), float(lon[i]))) for i in range(count)]
+    df = spark.createDataFrame(data, f"trip_id int, segment bigint, weight bigint, first {fix}, last {fix}")
+    kept = chains.select_chain(df, 512)
+    assert sorted(r.segment for r in kept.collect()) == sorted(want) and len(want) > 500
+    # the pairs of this one trip are dealt to all tasks
+    spread = spark.createDataFrame([(7, b, a) for b in range(12) for a in range(b + 1)], "trip_id int, block bigint, before bigint")
+    assert chains.deal_pairs(spread).select(F.spark_partition_id()).distinct().count() > 1
 
 
 @pytest.mark.parametrize("values", [[1, 2, 31, 32], [31], [30], [29, 31.5], [29, 30.5], [1, 2, 40], [1, 40, 50], [30, 30, 31]])

@@ -130,6 +130,42 @@ def test_numbering_agrees_with_a_sequential_plan(spark, car):
     assert {r.filename: r.new_filename for r in plan.collect()} == number_by_hand(trips, taken)
 
 
+@pytest.mark.parametrize("most_trips", [1_000_000, 3])
+def test_numbers_in_blocks_streets_with_numbers_and_gaps(spark, most_trips):
+    """Many trips of one name with free numbers between theirs, and streets that end in a number themselves."""
+    rng = random.Random(9)
+    day = datetime.date(2024, 1, 1)
+    trips = []
+    for i in range(70):
+        own = rng.choice([f"2024-01-01 Main ({rng.randint(1, 40)})", f"2024-01-01 Old {i}", "2024-01-01 Main"])
+        trips.append((own + ".mp4", f"2024-01-01T0{rng.randint(0, 3)}:00:{rng.randint(0, 59):02d}", rng.choice(["Main", "main", "Main (3)", "Main (12)", "Main"])))
+    trips = list({t[0].lower(): t for t in trips}.values())
+    taken = {t[0][:-4].lower() for t in trips} | {"2024-01-01 main (2)", "2024-01-01 main (05)", "2024-01-01 main (11)"}
+    df = spark.createDataFrame(
+        [(n, n, day, datetime.datetime.fromisoformat(at), [street] * 4, ".mp4", n[:-4], "") for n, at, street in trips],
+        "trip_id string, filename string, date date, start_time timestamp, texts array<string>, extension string, own_stem string, car string",
+    )
+    plan = naming.number_collisions(df, spark.createDataFrame([(s,) for s in taken], "stem string"), most_trips)
+    want = number_by_hand([("2024-01-01", at, n, street, "") for n, at, street in trips], taken)
+    assert {r.filename: r.new_filename for r in plan.collect()} == want
+
+
+def test_one_name_for_a_hundred_thousand_trips(spark):
+    """A fallback minute that every trip wants: numbered by seconds in many tasks, not by one group."""
+    count = 100_000
+    df = spark.range(count).select(
+        F.col("id").alias("trip_id"), F.format_string("2024-01-01 Clip %06d.mp4", "id").alias("filename"),
+        F.lit(datetime.date(2024, 1, 1)).alias("date"), F.timestamp_seconds(F.lit(1704106800) + F.col("id") % 60).alias("start_time"),
+        F.array_repeat(F.lit("Trip 11-00"), 7).alias("texts"), F.lit(".mp4").alias("extension"),
+        F.format_string("2024-01-01 Clip %06d", "id").alias("own_stem"), F.lit("").alias("car"),
+    )
+    taken = spark.createDataFrame([("2024-01-01 trip 11-00 (1)",), ("2024-01-01 trip 11-00 (77)",)], "stem string")
+    plan = naming.number_collisions(df, taken).withColumn("n", F.nullif(F.regexp_extract("new_filename", r"\((\d+)\)", 1), F.lit("")).cast("long"))
+    order = sorted(range(count), key=lambda i: (i % 60, i))
+    numbers = [None, *(n for n in range(2, count + 3) if n != 77)][:count]
+    assert {r.trip_id: r.n for r in plan.collect()} == dict(zip(order, numbers))
+
+
 def test_trips_that_cannot_be_named_are_left_out(spark):
     rows_ = [
         ("a", "2024-01-01 Trip 10-00.mp4", datetime.datetime(2024, 1, 1, 9, 5), "ok", True, "current"),

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom import constants as C
@@ -19,10 +17,9 @@ from trackloom.operators.blocks import (
     BLOCK, Following, GroupTotal, LastKnown, NextKnown, Ordering, Previous, RunningSum, by_group,
     scan,
 )
+from trackloom.operators.chains import select_chain
 from trackloom.session import durable
 
-# Trips with up to this many segments are chained inside the JVM, others in numpy.
-MAX_FOLDED_SEGMENTS = 200
 # Overrides are typed by hand. Up to this many trips have theirs broadcast, else a join is used.
 MAX_BROADCAST_TRIPS = 100_000
 
@@ -342,134 +339,6 @@ def plausible_segments(segments: DataFrame) -> DataFrame:
     )
 
 
-def is_reachable(start, end) -> Column:
-    """Whether the car could get from one fix to a later one, allowing a clock gap up to 12 h."""
-    video_s = F.greatest(F.lit(1.0), end["t"] - start["t"])
-    clock_s = (F.unix_micros(end["instant"]) - F.unix_micros(start["instant"])) / 1e6
-    uses_clock = clock_s.between(video_s - C.CLOCK_JITTER_S, video_s + C.MAX_MERGE_GAP_S)
-    duration = F.when(uses_clock, F.greatest(video_s, clock_s)).otherwise(video_s)
-    distance = geo.haversine_m(start["lat"], start["lon"], end["lat"], end["lon"])
-    return geo.implied_speed_kmh(distance, duration) <= C.MAX_SPEED_KMH
-
-
-def _fold_chain(segments: str) -> Column:
-    """Heaviest chain over an ordered array of segments, as an array of kept segment numbers."""
-    def extend(done, segment):
-        # The heaviest reachable predecessor, and the earliest of equally heavy ones.
-        best = F.array_max(F.transform(done, lambda d, i: F.when(
-            is_reachable(d["last"], segment["first"]),
-            F.struct(d["total"].alias("total"), (-i).alias("earliness")),
-        )))
-        return F.concat(done, F.transform(F.array(best), lambda b: F.struct(
-            segment["segment"].alias("segment"),
-            (F.coalesce(b["total"], F.lit(0)) + segment["weight"]).alias("total"),
-            F.coalesce(-b["earliness"], F.lit(-1)).alias("before"),
-            segment["last"].alias("last"),
-        )))
-
-    nothing = F.expr(
-        "cast(array() as array<struct<segment:bigint,total:bigint,before:int,"
-        "last:struct<t:double,instant:timestamp,lat:double,lon:double>>>)"
-    )
-    # The end of the chain: the heaviest total, and the earliest of equal ones.
-    def end(done):
-        return -F.array_max(F.transform(
-            done, lambda d, i: F.struct(d["total"].alias("total"), (-i).alias("earliness"))
-        ))["earliness"]
-
-    def walk(done):
-        state = F.struct(F.expr("cast(array() as array<bigint>)").alias("kept"), end(done).alias("at"))
-        def step(s, d, i):
-            hit = s["at"] == i
-            return F.struct(
-                F.when(hit, F.concat(s["kept"], F.array(d["segment"]))).otherwise(s["kept"]).alias("kept"),
-                F.when(hit, d["before"]).otherwise(s["at"]).alias("at"),
-            )
-        numbered = F.transform(done, lambda d, i: F.struct(d.alias("d"), i.alias("i")))
-        return F.aggregate(F.reverse(numbered), state, lambda s, n: step(s, n["d"], n["i"]))["kept"]
-
-    done = F.aggregate(segments, nothing, extend)
-    return F.element_at(F.transform(F.array(done), walk), 1)
-
-
-def _chain_many(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Heaviest chain of a trip with very many segments.
-
-    At the highest speed nothing on earth is further than about 80 hours away, so segments that
-    ended longer ago than that are all reachable and only their best total matters.
-    """
-    pdf = pdf.sort_values("segment", ignore_index=True)
-    weight = pdf["weight"].to_numpy()
-    first = {c: pdf[f"first_{c}"].to_numpy(dtype=float) for c in ("t", "s", "lat", "lon")}
-    last = {c: pdf[f"last_{c}"].to_numpy(dtype=float) for c in ("t", "s", "lat", "lon")}
-    always_s = np.pi * C.EARTH_RADIUS_M / (C.MAX_SPEED_KMH / 3.6) + 1
-    total, before = np.zeros(len(pdf), dtype=np.int64), np.full(len(pdf), -1)
-    settled, best_total, best_at = 0, 0, -1
-    for i in range(len(pdf)):
-        while last["t"][settled] < first["t"][i] - always_s:
-            if total[settled] > best_total:
-                best_total, best_at = total[settled], settled
-            settled += 1
-        near = slice(settled, i)
-        video_s = np.maximum(1.0, first["t"][i] - last["t"][near])
-        clock_s = first["s"][i] - last["s"][near]
-        with np.errstate(invalid="ignore"):
-            uses_clock = (clock_s >= video_s - C.CLOCK_JITTER_S) & (
-                clock_s <= video_s + C.MAX_MERGE_GAP_S
-            )
-            duration = np.where(uses_clock, np.maximum(video_s, clock_s), video_s)
-        lat1, lat2 = np.radians(last["lat"][near]), np.radians(first["lat"][i])
-        dlon = np.radians(first["lon"][i] - last["lon"][near])
-        a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(dlon / 2) ** 2
-        distance = 2 * C.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a)))
-        usable = np.where(distance / duration * 3.6 <= C.MAX_SPEED_KMH, total[near], 0)
-        top, at = best_total, best_at
-        if len(usable) and usable.max() > top:
-            at = settled + int(usable.argmax())
-            top = usable.max()
-        total[i], before[i] = top + weight[i], at
-    kept, at = [], int(total.argmax())
-    while at >= 0:
-        kept.append(at)
-        at = before[at]
-    return pd.DataFrame({"trip_id": pdf["trip_id"].iloc[0], "segment": pdf["segment"].iloc[kept]})
-
-
-def select_chain(segments: DataFrame, max_folded: int = MAX_FOLDED_SEGMENTS) -> DataFrame:
-    """Keep the time-ordered chain of mutually reachable segments with the most fixes."""
-    counted = segments.withColumn("_count", F.count(F.lit(1)).over(Window.partitionBy("trip_id")))
-    few = counted.where(F.col("_count") <= max_folded)
-    folded = few.groupBy("trip_id").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "weight", "first", "last"))).alias("list")
-    )
-    # A single segment is its own chain.
-    kept = folded.select(
-        "trip_id",
-        F.explode(
-            F.when(F.size("list") == 1, F.transform("list", lambda s: s["segment"]))
-            .otherwise(_fold_chain("list"))
-        ).alias("segment"),
-    )
-    def flat(name: str) -> list[Column]:
-        return [
-            F.col(f"{name}.t").alias(f"{name}_t"),
-            (F.unix_micros(f"{name}.instant") / 1e6).alias(f"{name}_s"),
-            F.col(f"{name}.lat").alias(f"{name}_lat"), F.col(f"{name}.lon").alias(f"{name}_lon"),
-        ]
-
-    trip_type = dict(segments.dtypes)["trip_id"]
-    larger = counted.where(F.col("_count") > max_folded)
-    if larger.isEmpty():
-        return kept
-    many = (
-        larger
-        .select("trip_id", "segment", "weight", *flat("first"), *flat("last"))
-        .groupBy("trip_id")
-        .applyInPandas(_chain_many, f"trip_id {trip_type}, segment bigint")
-    )
-    return kept.unionByName(many)
-
-
 def attach_kept(rows: DataFrame, kept: DataFrame, fixes: DataFrame, ordering: Ordering) -> DataFrame:
     """Add ``is_kept`` to the rows, without shuffling them by segment.
 

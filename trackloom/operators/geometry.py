@@ -7,17 +7,24 @@ over tasks. ``nest_geometry`` builds the per-trip document form of ordinary trip
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from trackloom import constants as C
 from trackloom.functions import report
 from trackloom.operators import blocks, stats
 from trackloom.operators.blocks import (
-    BLOCK, Following, GroupTotal, LastKnown, NextKnown, Ordering, RunningSum, by_group, scan,
+    BLOCK, Following, LastKnown, NextKnown, Ordering, RunningSum, by_group, scan,
 )
+from trackloom.session import durable
+
+# Video time of one block of an oversized run when it is thinned.
+THIN_SPAN_S = 4096.0
 
 
 def runs_of_points(span_s: float = 16384) -> Ordering:
@@ -45,26 +52,27 @@ def _bounds(rows: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([[0], new]), np.concatenate([new, [len(rows)]]) - 1
 
 
-def _far_enough(lat: np.ndarray, lon: np.ndarray, first: np.ndarray, last: np.ndarray, start=None) -> np.ndarray:
+def _is_far(phi_a: np.ndarray, turn_a: np.ndarray, phi_b: np.ndarray, turn_b: np.ndarray) -> np.ndarray:
+    """Whether points (in radians) are at least the minimum step apart."""
+    half_phi, half_turn = np.sin((phi_b - phi_a) / 2), np.sin((turn_b - turn_a) / 2)
+    chord = half_phi**2 + np.cos(phi_a) * np.cos(phi_b) * half_turn**2
+    return 2 * C.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, chord))) >= C.GEOMETRY_MIN_STEP_M
+
+
+def _far_enough(lat: np.ndarray, lon: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which points are at least the minimum step away from the one kept before them in their run.
 
-    All runs move on by one point at a time. ``start`` is a point (lat, lon) kept before the first.
+    All runs move on by one point at a time.
     """
     kept = np.zeros(len(lat), bool)
     phi, turn = np.radians(lat), np.radians(lon)
-    if start is None:
-        kept[first] = True
-        at_phi, at_turn, step = phi[first], turn[first], 1
-    else:
-        at_phi, at_turn, step = np.radians([start[0]]), np.radians([start[1]]), 0
+    kept[first] = True
+    at, step = first.copy(), 1
     while (going := np.flatnonzero(first + step <= last)).size:
         here = first[going] + step
-        half_phi, half_turn = np.sin((phi[here] - at_phi[going]) / 2), np.sin((turn[here] - at_turn[going]) / 2)
-        chord = half_phi**2 + np.cos(at_phi[going]) * np.cos(phi[here]) * half_turn**2
-        away = 2 * C.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, chord))) >= C.GEOMETRY_MIN_STEP_M
-        moved = going[away]
+        away = _is_far(phi[at[going]], turn[at[going]], phi[here], turn[here])
         kept[here[away]] = True
-        at_phi[moved], at_turn[moved] = phi[here[away]], turn[here[away]]
+        at[going[away]] = here[away]
         step += 1
     return kept
 
@@ -78,64 +86,112 @@ def _thin_runs(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return rows[kept]
 
 
+def _following(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the first later one that is far enough, and where a walk over these ends.
+
+    The point after the last stands for none. All open points look one point further at a time.
+    """
+    size = len(lat)
+    phi, turn = np.radians(lat), np.radians(lon)
+    after = np.full(size, size)
+    waiting, step = np.arange(size), 1
+    while (waiting := waiting[waiting + step < size]).size:
+        away = _is_far(phi[waiting], turn[waiting], phi[waiting + step], turn[waiting + step])
+        after[waiting[away]] = waiting[away] + step
+        waiting, step = waiting[~away], step + 1
+    exits = np.where(after < size, after, np.arange(size))
+    for _ in range(size.bit_length()):
+        exits = exits[exits]
+    return after, exits
+
+
+def _first_far(lat: np.ndarray, lon: np.ndarray, point: tuple[float, float]) -> int:
+    """Place of the first point that is far enough from a given one, or -1."""
+    begin, size = 0, 16
+    phi, turn = np.radians(point[0]), np.radians(point[1])
+    while begin < len(lat):
+        part = slice(begin, begin + size)
+        away = np.flatnonzero(_is_far(phi, turn, np.radians(lat[part]), np.radians(lon[part])))
+        if away.size:
+            return begin + int(away[0])
+        begin, size = begin + size, size * 4
+    return -1
+
+
+def _enter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place of the first kept point of every block, null where a block keeps none.
+
+    Rows ``(block, lat, lon, exits, run...)`` come by run and block. Between rows only the last kept point
+    of the current run is held; how a block goes on from its first kept point is in its table of exits.
+    """
+    run, point = None, None
+    for batch in batches:
+        entries = []
+        for row in range(batch.num_rows):
+            own = tuple(batch.column(i)[row].as_py() for i in range(4, batch.num_columns))
+            lat, lon, exits = (batch.column(i)[row].values.to_numpy() for i in (1, 2, 3))
+            entry = 0 if own != run else _first_far(lat, lon, point)
+            if entry >= 0:
+                point = (lat[exits[entry]], lon[exits[entry]])
+            run = own
+            entries.append(None if entry < 0 else entry)
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[4:], batch.column(0), pa.array(entries, pa.int64())], [*names[4:], names[0], "_entry"]
+        )
+
+
 def _thin_blocks(points: DataFrame, ordering: Ordering) -> DataFrame:
-    """Thin oversized runs block by block.
+    """Thin oversized runs in three passes, whatever the data.
 
-    What a block keeps depends only on the last point kept before it. All blocks are thinned at
-    once, each from the last point its predecessor kept in the round before, until no block
-    changes. The first block is right after one round, and greedy thinning soon keeps the same
-    points from any start, so a few rounds are enough.
+    After any kept point the next kept one is the first that is far enough from it. So each block is
+    turned into a table, in parallel: for every point the next one in the block, and the last one that a
+    walk from it reaches. One row per block then goes through its run in order, which finds the first kept
+    point of each block from the last one kept before it. At last all blocks are walked from there, in
+    parallel again. Every run keeps its last point; runs of one point go.
     """
-    keys = list(ordering.partition)
-    points = blocks.durable(points)
+    fine = replace(ordering, span=min(ordering.span, THIN_SPAN_S))
+    points = fine.cut(points.drop(BLOCK))
+    keys, columns = list(ordering.keys), [c for c in points.columns if c not in (*ordering.keys, BLOCK)]
     types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys)
-
-    def start_of(pdf: pd.DataFrame):
-        lat, lon = pdf["start_lat"].iloc[0], pdf["start_lon"].iloc[0]
-        return None if pd.isna(lat) else (float(lat), float(lon))
-
-    def kept_in(pdf: pd.DataFrame) -> np.ndarray:
-        ends = np.array([0]), np.array([len(pdf) - 1])
-        return _far_enough(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), *ends, start_of(pdf))
-
-    def last_kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
-        kept = pdf[kept_in(pdf)]
-        lat, lon = start_of(pdf) or (None, None)
-        if len(kept):
-            lat, lon = kept["lat"].iloc[-1], kept["lon"].iloc[-1]
-        return pdf.iloc[:1][keys].assign(end_lat=lat, end_lon=lon)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
-        return pdf[kept_in(pdf)].drop(columns=["start_lat", "start_lon"])
-
-    before = Window.partitionBy(*ordering.keys).orderBy(BLOCK)
-    starts = points.select(*keys).distinct().select(
-        *keys, F.lit(None).cast("double").alias("start_lat"), F.lit(None).cast("double").alias("start_lon")
-    )
-    while True:
-        ends = points.join(starts, keys).groupBy(*keys).applyInPandas(
-            last_kept, f"{schema}, end_lat double, end_lon double"
-        )
-        renewed = blocks.durable(ends.select(
-            *keys, F.lag("end_lat").over(before).alias("start_lat"),
-            F.lag("end_lon").over(before).alias("start_lon"),
-        ))
-        old = starts.select(*keys, F.struct("start_lat", "start_lon").alias("_old"))
-        changed = renewed.join(old, keys).where(
-            ~F.struct("start_lat", "start_lon").eqNullSafe(F.col("_old"))
-        )
-        starts = renewed
-        if changed.isEmpty():
-            break
-    kept = points.join(starts, keys).groupBy(*keys).applyInPandas(keep, points.schema)
-    last = points.groupBy(*ordering.keys).agg(F.max(ordering.order_key()).alias("_last"))
-    rows = points.join(last, list(ordering.keys)).where(ordering.order_key() == F.col("_last"))
-    thinned = kept.unionByName(rows.select(*points.columns)).distinct()
-    counted = scan(thinned, ordering, _n=GroupTotal(F.lit(1)))
-    return counted.where("_n > 1").drop("_n")
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    arrays = ", ".join(f"{c} array<{types[c]}>" for c in columns)
+
+    def tables(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+        out = []
+        for first, last in zip(*_bounds(rows, by)):
+            part = rows.iloc[first : last + 1]
+            after, exits = _following(part["lat"].to_numpy(), part["lon"].to_numpy())
+            out.append([*(part[k].iloc[0] for k in by), *(part[c].tolist() for c in columns), after.tolist(), exits.tolist()])
+        return pd.DataFrame(out, columns=[*by, *columns, "_after", "_exits"])
+
+    packed = durable(blocks.map_groups(
+        points, [*keys, BLOCK], ["t", "seq"], tables, f"{key_schema}, {BLOCK} bigint, {arrays}, _after array<bigint>, _exits array<bigint>"
+    ))
+    entered = packed.repartition(*keys).sortWithinPartitions(*keys, BLOCK).select(
+        BLOCK, F.col("lat").cast("array<double>"), F.col("lon").cast("array<double>"), "_exits", *keys
+    ).mapInArrow(_enter_blocks, f"{key_schema}, {BLOCK} bigint, _entry bigint")
+    whole = packed.groupBy(*keys).agg(F.sum(F.size("_after")).alias("_points"), F.max(BLOCK).alias("_last"))
+    walked = packed.join(entered, [*keys, BLOCK]).join(whole, keys).where("_points > 1")
+    ends = F.col(BLOCK) == F.col("_last")
+    rows = walked.select(*keys, "_after", "_entry", ends.alias("_ends"), F.arrays_zip(*columns).alias("_rows"))
+
+    def kept_places(after: pd.Series, entry: pd.Series, is_last: pd.Series) -> pd.Series:
+        out = []
+        for following, at, last in zip(after, entry, is_last):
+            size, kept = len(following), []
+            at = size if pd.isna(at) else int(at)
+            while at < size:
+                kept.append(at)
+                at = int(following[at])
+            if last and (not kept or kept[-1] != size - 1):
+                kept.append(size - 1)
+            out.append(kept)
+        return pd.Series(out)
+
+    places = F.pandas_udf(kept_places, "array<int>")("_after", "_entry", "_ends")
+    kept = rows.select(*keys, F.explode(F.transform(places, lambda i: F.col("_rows")[i])).alias("_row"))
+    return kept.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in points.columns if c != BLOCK]).withColumn(BLOCK, F.lit(0).cast("long"))
 
 
 def thin_points(points: DataFrame, ordering: Ordering | None = None, hot=None) -> DataFrame:
@@ -214,14 +270,14 @@ def _simplify_blocks(points: DataFrame, ordering: Ordering) -> DataFrame:
         off = F.when(length > 0, F.abs(dy * from_x - dx * from_y) / length).otherwise(
             F.hypot(from_x, from_y)
         )
-        df = blocks.durable(df.withColumn("_off", F.when(~F.col("_kept"), off)))
+        df = durable(df.withColumn("_off", F.when(~F.col("_kept"), off)))
         rank = F.struct(F.col("_off"), (-F.col("t")).alias("nt"), (-F.col("seq")).alias("ns"))
         farthest = (
             df.where(F.col("_off") > C.GEOMETRY_TOLERANCE_M)
             .groupBy(*keys, "_a").agg(F.max(rank).alias("_far"))
             .select(*keys, (-F.col("_far.nt")).alias("t"), (-F.col("_far.ns")).alias("seq"), F.lit(True).alias("_new"))
         )
-        farthest = blocks.durable(farthest)
+        farthest = durable(farthest)
         if farthest.isEmpty():
             return df.where("_kept").select(*points.columns)
         df = df.drop("_corner", "_a", "_b", "_off").join(farthest, [*keys, "t", "seq"], "left")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom import constants as C
 from trackloom.functions import names, text
 from trackloom.operators import blocks
 from trackloom.operators.blocks import Ordering, Previous, RunningSum, by_group, scan
+from trackloom.operators.digests import changes
 from trackloom.session import durable
 
 # Digits of collision numbers that names are fitted for, unless a plan counts more names.
 SUFFIX_DIGITS = 6
+# A name that more trips want is numbered in blocks of trips.
+MAX_LANE_TRIPS = 20_000
 
 
 def merge_repeats(labels: DataFrame, hot=None) -> DataFrame:
@@ -112,82 +117,148 @@ def assemble_name(date: Column, body: Column, number: Column, car: Column, exten
     )
 
 
-def collision_key(stem: Column) -> Column:
-    """A key two names must share to be able to collide: their date and first word.
+def _lanes(candidates: DataFrame, digits: int, car: str) -> DataFrame:
+    """Add the lane of each trip for collision numbers of so many digits, and its own number in it.
 
-    Every variant of a trip's name starts with the same date and (cut to 40 characters) the
-    same first word, however its streets are fitted. Names after the start time share its
-    minute as well, as they are never cut.
+    A lane is all that the names of one date, text and car share; trips of other street lists are in the
+    same lane if their texts, fitted for these digits, are the same. ``_own`` is the number a trip has now.
     """
-    lower = F.lower(stem)
-    word = F.regexp_extract(F.substring(lower, 12, 200), r"^(trip \d{2}-\d{2}|\S*)", 1)
-    return F.concat(
-        F.substring(lower, 1, 11), F.regexp_replace(F.substring(word, 1, 40), "[ ,\\-]+$", "")
+    prefix = F.lower(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" "), F.col("texts")[digits]))
+    number = _numbers(F.lower("own_stem"), car, digits)
+    return candidates.withColumn("_lane", prefix).withColumn(
+        "_own", F.when(number["prefix"] == F.col("_lane"), number["number"])
     )
 
 
-def _number_names(key: tuple, trips: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-    """Give names in trip order, counting up while a name is taken."""
-    used = set(taken["stem"].tolist())
-    next_number: dict[tuple, int] = {}
-    rows = []
-    order = trips.sort_values(["date", "start_time", "filename"], na_position="first")
-    for row in order.itertuples(index=False):
-        own, car = row.own_stem.lower(), f" ({row.car})" if row.car else ""
-        texts = tuple(row.texts)
-
-        def stem(number: int) -> str:
-            if not number:
-                return f"{row.date:%Y-%m-%d} {texts[0]}{car}"
-            body = texts[len(str(number))]
-            return f"{row.date:%Y-%m-%d} {body} ({number}){car}"
-
-        # Numbers below the last one given to the same texts are taken, except by this trip.
-        start = next_number.get(texts, 0)
-        number = start
-        for match in [0, *(int(n) for n in re.findall(r" \((\d{1,9})\)", own))]:
-            if match < start and stem(match).lower() == own:
-                number = min(number, match)
-        while stem(number).lower() in used and stem(number).lower() != own:
-            number += 1
-        next_number[texts] = max(start, number)
-        name = stem(number) + row.extension
-        if name != row.filename:
-            used.add(stem(number).lower())
-            rows.append((row.trip_id, row.filename, name))
-    return pd.DataFrame(rows, columns=["trip_id", "filename", "new_filename"])
-
-
-def number_collisions(candidates: DataFrame, taken: DataFrame) -> DataFrame:
-    """Names without collisions: ``trip_id, filename, new_filename``, unchanged names left out.
+def _numbers(stem: Column, car: str, digits: int) -> Column:
+    """``(prefix, number)`` of a lowercase name, null where it has no number of so many digits."""
+    tail = f" ({car.lower()})" if car else ""
+    body = F.when(stem.endswith(tail), F.substring(stem, F.lit(1), F.length(stem) - len(tail)))
+    if digits == 0:
+        return F.when(body.isNotNull(), F.struct(body.alias("prefix"), F.lit(0).cast("long").alias("number")))
+    pattern = r"^([\s\S]*) \(([1-9][0-9]{%d})\)$" % (digits - 1)
+    return F.when(body.rlike(pattern), F.struct(
+        F.regexp_extract(body, pattern, 1).alias("prefix"), F.regexp_extract(body, pattern, 2).cast("long").alias("number")
+    ))
+
+
+def _count_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add how many free numbers are gone at each trip of a lane, null where the trip keeps its own.
 
-    ``taken(stem)`` are the lowercase names in use. A name that only one trip wants and nobody
-    has is given at once; only contested groups of names go through Python.
+    Rows ``(lane, trip, below)`` come by lane and trip order; ``below`` is the number of free numbers
+    below a trip's own. A count per lane is all that is kept from row to row.
     """
-    first = assemble_name(
-        F.col("date"), F.col("texts")[0], F.lit(0), F.col("car"), F.lit("")
-    )
-    wanted = candidates.withColumn("_first", first).withColumn("_key", collision_key(F.col("_first")))
-    used = taken.select("stem", collision_key(F.col("stem")).alias("_key")).distinct()
-    wanted_keys = wanted.groupBy("_key").agg(F.count(F.lit(1)).alias("_wanted"))
-    free = wanted.join(
-        wanted_keys.where("_wanted = 1").join(used, "_key", "left_anti").select("_key"), "_key", "left_semi"
-    ).select("trip_id", "filename", F.concat("_first", "extension").alias("new_filename")).where(
-        F.col("new_filename") != F.col("filename")
-    )
-    contested_keys = wanted_keys.select("_key", "_wanted").join(
-        used.select("_key", F.lit(1).alias("_used")).distinct(), "_key", "left"
-    ).where((F.col("_wanted") > 1) | F.col("_used").isNotNull()).select("_key")
-    trip_type = dict(candidates.dtypes)["trip_id"]
-    contested = wanted.join(contested_keys, "_key", "left_semi").select(
-        "_key", "trip_id", "filename", "date", "start_time", "texts", "extension", "own_stem", "car"
-    )
-    numbered = contested.groupBy("_key").cogroup(
-        used.join(contested_keys, "_key", "left_semi").groupBy("_key")
-    ).applyInPandas(
-        _number_names, f"trip_id {trip_type}, filename string, new_filename string"
+    used, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = changes([batch.column(0)])
+        new[0] = batch.column(0)[0] != last
+        last, gone = batch.column(0)[-1], []
+        for starts, below in zip(new, batch.column(2).to_pylist()):
+            used = 0 if starts else used
+            keeps = below is not None and used >= below
+            gone.append(None if keeps else used)
+            used += not keeps
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(gone, pa.int64())], ["trip_id", "_gone"])
+
+
+def _fill_lanes(
+    waiting: DataFrame, taken: DataFrame, digits: int, car: str, blocked: DataFrame | None, most_trips: int
+) -> DataFrame:
+    """Give the free numbers of each lane to its trips in trip order.
+
+    Adds ``number``, null where a lane has no free number of so many digits left. Trips are ranked and
+    met with the free numbers by scans, so a lane of any size is spread over tasks.
+    """
+    first, size = (10 ** (digits - 1), 9 * 10 ** (digits - 1)) if digits else (0, 1)
+    trips = durable(_lanes(waiting, digits, car))
+    used = taken.select(_numbers(F.col("stem"), car, digits).alias("_n")).where("_n is not null").select(
+        F.col("_n.prefix").alias("_lane"), F.col("_n.number").alias("_own")
     )
-    return free.unionByName(numbered)
+    if blocked is not None:
+        used = used.union(blocked.where(F.col("digits") == digits).select("_lane", "_own"))
+    used = used.distinct().join(trips.select("_lane").distinct(), "_lane", "left_semi")
+    hot = blocks.find_hot_keys(trips.select("_lane").unionAll(used.select("_lane")), ("_lane",), most_trips)
+    # free numbers below each used one
+    by_number = Ordering(("_lane",), ("_own",), "_own", 50_000)
+    used = durable(by_group(used, by_number, lambda df, o: scan(df, o, _rank=RunningSum(F.lit(1))), hot).select(
+        "_lane", "_own", (F.col("_own") - first - F.col("_rank") + 1).alias("_below")
+    ))
+    # trips without a number of their own have nothing to find: their keys are spread
+    spread = -1 - F.pmod(F.xxhash64("trip_id"), F.lit(1024))
+    trips = trips.withColumn("_key", F.coalesce("_own", spread)).join(
+        used.select("_lane", F.col("_own").alias("_key"), "_below"), ["_lane", "_key"], "left"
+    ).drop("_key")
+    by_trip = Ordering(("_lane",), ("start_time", "filename"), "unix_seconds(start_time)", 1)
+
+    def others_before(df, o):
+        # those that surely need a free number; one that has its own keeps it once no free one is below
+        df = scan(df, o, _gone=RunningSum(F.when(F.col("_below").isNull(), 1).otherwise(0)))
+        return df.withColumn("_gone", F.when(F.col("_below").isNull(), F.col("_gone") - 1).otherwise(F.col("_gone")))
+
+    trips = durable(by_group(trips, by_trip, others_before, hot))
+    open_lanes = trips.where(F.col("_below") > F.col("_gone")).select("_lane").distinct()
+    trip_type = dict(trips.dtypes)["trip_id"]
+    # only where a free number lies below a trip's own does its choice change what later trips find
+    counted = trips.join(open_lanes, "_lane", "left_semi").repartition("_lane").sortWithinPartitions(
+        "_lane", "start_time", "filename"
+    ).select("_lane", "trip_id", F.col("_below").cast("long")).mapInArrow(_count_used, f"trip_id {trip_type}, _gone long")
+    counted = counted.withColumn("_counted", F.lit(True)).withColumnRenamed("_gone", "_exact")
+    gone = F.when(F.col("_counted"), F.col("_exact")).when(F.col("_below").isNull(), F.col("_gone"))
+    room = used.groupBy("_lane").agg(F.count(F.lit(1)).alias("_full"))
+    trips = trips.join(counted, "trip_id", "left").join(room, "_lane", "left").withColumn("_gone", gone)
+    keeps, fits = F.col("_gone").isNull(), F.col("_gone") < size - F.coalesce("_full", F.lit(0))
+    takers = trips.where(~keeps & fits).select("_lane", F.col("_gone").alias("_place"), F.lit(1).alias("_kind"), "trip_id")
+    steps = used.select("_lane", F.col("_below").alias("_place"), F.lit(0).alias("_kind"), F.lit(None).cast(trip_type).alias("trip_id"))
+    by_place = Ordering(("_lane",), ("_place", "_kind"), "_place", 50_000)
+    met = by_group(
+        takers.unionByName(steps), by_place,
+        lambda df, o: scan(df, o, _skipped=RunningSum(F.lit(1) - F.col("_kind"))), hot,
+    ).where("_kind = 1").select("trip_id", (F.col("_place") + F.col("_skipped") + first).alias("_given"))
+    trips = trips.join(met, "trip_id", "left")
+    return trips.withColumn("number", F.when(keeps, F.col("_own")).otherwise(F.col("_given")))
+
+
+def number_collisions(candidates: DataFrame, taken: DataFrame, most_trips: int = MAX_LANE_TRIPS) -> DataFrame:
+    """Names without collisions: ``trip_id, filename, new_filename``, unchanged names left out.
+
+    ``taken(stem)`` are the lowercase names in use; the car is the same for all. In trip order, every trip takes its first name that
+    nobody has, or its own. Numbers of equally many digits are given to all trips at once, lane by lane:
+    first all trips without a number, then with one digit those that found no name, and so on. So there
+    are as many rounds as digits, and no group of names is walked as a whole.
+
+    A street may itself end in a number in brackets; two trips can then want one name by different
+    numbers. The first such claim of a date that comes too late is taken back and the round repeated.
+    """
+    columns = ["trip_id", "filename", "date", "start_time", "texts", "extension", "own_stem", "car"]
+    candidates = durable(candidates.select(*columns))
+    taken = durable(taken.select("stem").distinct())
+    most, car = candidates.select(F.max(F.size("texts")), F.max("car")).first()
+    most, car = most or 1, car or ""
+    blocked = None
+    while True:
+        waiting, given = candidates, []
+        for digits in range(most):
+            filled = durable(_fill_lanes(waiting, taken, digits, car, blocked, most_trips).withColumn("digits", F.lit(digits)))
+            given.append(filled.where(F.col("number").isNotNull()))
+            waiting = filled.where(F.col("number").isNull()).select(*columns)
+            if waiting.isEmpty():
+                break
+        named = functools.reduce(DataFrame.unionByName, given).withColumn("_stem", assemble_name(
+            F.col("date"), F.col("texts")[F.col("digits")], F.col("number"), F.col("car"), F.lit("")
+        ))
+        order = F.struct("start_time", "filename")
+        claims = named.select("date", "_lane", "digits", F.col("number").alias("_own"), order.alias("_order"), F.lower("_stem").alias("_claim"))
+        clashes = claims.groupBy("_claim").agg(F.min("_order").alias("_winner"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        late = claims.join(clashes, "_claim").where(F.col("_order") != F.col("_winner"))
+        first = late.groupBy("date").agg(F.min_by(F.struct("_lane", "_own", "digits"), "_order").alias("_late")).select("_late.*")
+        first = durable(first)
+        if first.isEmpty():
+            break
+        blocked = first if blocked is None else durable(blocked.unionByName(first))
+    names = named.select("trip_id", "filename", F.concat("_stem", "extension").alias("new_filename"))
+    return names.where(F.col("new_filename") != F.col("filename"))
 
 
 def is_rename_target(filename: Column, include_all: bool = False) -> Column:
