@@ -504,6 +504,53 @@ CTES["merged_labels"] = _same_neighbours("street_labels")
 CTES["named_labels"] = _same_neighbours(f"(SELECT * FROM merged_labels WHERE distance_m >= {C.MIN_NAMED_STRETCH_M})")
 
 
+def _truncated(text: str, length: str) -> str:
+    return f"""(CASE WHEN length({text}) <= {length} THEN {text} ELSE regexp_replace(CASE WHEN contains(left({text}, {length}), ' ')
+  THEN regexp_extract(left({text}, {length}), '(?s)^(.*) ', 1) ELSE left({text}, {length}) END, '[ ,\\-]+$', '') END)"""
+
+
+def _fitted(s: str, length: str) -> str:
+    """Labels of a list of ``{{label, d}}`` within a length: both ends, then the longest between them that still fit."""
+    full = f"array_to_string(list_transform({s}, lambda x: x.label), '{C.STREET_SEPARATOR}')"
+    ends = f"({s}[1].label || '{C.STREET_SEPARATOR}' || {s}[len({s})].label)"
+    state = "{{'used': {used}, 'at': {at}, 'n': {n}, 'kept': {kept}}}"
+    middle = f"""list_transform(list_sort(list_transform(range(2, CAST(len({s}) AS BIGINT)), lambda i: {{'d': -{s}[i].d, 'i': CAST(i AS INTEGER), 'n': length({s}[i].label)}})),
+  lambda m: {state.format(used="CAST(0 AS BIGINT)", at="m.i", n="m.n", kept="[0]")})"""
+    kept = f"""list_reduce(list_concat([{state.format(used=f"CAST(length({ends}) AS BIGINT)", at="0", n="CAST(0 AS BIGINT)", kept=f"[1, CAST(len({s}) AS INTEGER)]")}], {middle}),
+  lambda a, m: CASE WHEN a.used + {len(C.STREET_SEPARATOR)} + m.n <= {length}
+    THEN {state.format(used=f"a.used + {len(C.STREET_SEPARATOR)} + m.n", at="m.at", n="m.n", kept="list_append(a.kept, m.at)")} ELSE a END).kept"""
+    return f"""CASE WHEN length({full}) <= {length} OR len({s}) <= 1 THEN {_truncated(full, length)} WHEN length({ends}) > {length}
+  THEN {_truncated(f"{s}[1].label", length)} ELSE array_to_string(list_transform(list_sort({kept}), lambda i: {s}[i].label), '{C.STREET_SEPARATOR}') END"""
+
+
+_CAR = " (Zoe 3)"
+_ROOM = C.MAX_FILENAME_LENGTH - len("2024-01-01 " + _CAR + ".mp4")
+CTES["label_lists"] = """
+SELECT trip_id, list({'label': label, 'd': CAST(distance_m AS DOUBLE)} ORDER BY pos) AS s FROM named_labels GROUP BY trip_id"""
+CTES["rename_order"] = f"""
+SELECT *, row_number() OVER (PARTITION BY day ORDER BY start_time NULLS FIRST, filename) AS i FROM (
+  SELECT t.trip_id, t.day, t.day || ' ' || t.name || '.mp4' AS filename, lower(t.day || ' ' || t.name) AS own, e.start_time,
+    CASE WHEN l.s IS NULL THEN list_transform(range(5), lambda d: 'Trip ' || strftime(e.start_time + INTERVAL 2 HOUR, '%H-%M'))
+      ELSE [{", ".join(_fitted("l.s", str(_ROOM - (d + 3 if d else 0))) for d in range(5))}] END AS texts
+  FROM trip_tracks t LEFT JOIN ends e ON e.trip_id = t.trip_id LEFT JOIN label_lists l ON l.trip_id = t.trip_id) WHERE texts[1] IS NOT NULL"""
+CTES["taken_names"] = """
+SELECT d.day, list(n.stem) AS taken FROM (SELECT DISTINCT day FROM trip_tracks) d LEFT JOIN (
+  SELECT lower(stem) AS stem FROM videos UNION SELECT lower(day || ' ' || name) FROM trip_tracks) n ON left(n.stem, 10) = d.day GROUP BY d.day"""
+
+
+def _stem_of(n: str) -> str:
+    return f"r.day || ' ' || r.texts[CASE WHEN {n} = 0 THEN 1 ELSE length(CAST({n} AS VARCHAR)) + 1 END] || CASE WHEN {n} > 0 THEN ' (' || {n} || ')' ELSE '' END || '{_CAR}'"
+
+
+# One trip after the other takes its first free name, or its own.
+CTES["name_walk"] = f"""
+SELECT day, CAST(0 AS BIGINT) AS i, taken, CAST(NULL AS BIGINT) AS trip_id, CAST('' AS VARCHAR) AS filename, CAST('' AS VARCHAR) AS new_filename FROM taken_names
+UNION ALL
+SELECT day, i, CASE WHEN stem || '.mp4' = filename THEN taken ELSE list_append(taken, lower(stem)) END, trip_id, filename, stem || '.mp4'
+FROM (SELECT r.day, r.i, w.taken, r.trip_id, r.filename, {_stem_of("list_filter(range(0, len(w.taken) + 2), lambda n: lower(" + _stem_of("n") + ") = r.own OR NOT list_contains(w.taken, lower(" + _stem_of("n") + ")))[1]")} AS stem
+  FROM name_walk w JOIN rename_order r ON r.day = w.day AND r.i = w.i + 1)"""
+
+
 def _with(body: str) -> str:
     """Prepend the named subqueries a query uses."""
     needed: list[str] = []
@@ -833,6 +880,10 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'use ASCII characters only' WHEN do
   WHEN doc_id % 3 = 0 THEN 'keep the .mp4 extension' END AS problem
 FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Trip ' WHEN 1 THEN '2024-02-30 ' ELSE '2024-02-03 ' END
   || CASE doc_id % 7 WHEN 0 THEN 'a:b' WHEN 1 THEN 'é' ELSE 'ab' END || repeat('x', CASE WHEN doc_id % 11 = 0 THEN 140 ELSE 3 END) || '.mp4' AS name FROM documents)"""
+    q["u5_fit_street_labels"] = f"""
+SELECT g, {_fitted("s", "60")} AS text FROM (SELECT p_partkey // 9 AS g, list({{'label': 'Street ' || repeat('x', CAST(p_partkey % 7 AS INTEGER)) || p_partkey,
+  'd': CAST(p_size * 1000 + p_partkey AS DOUBLE)}} ORDER BY p_partkey) AS s FROM part GROUP BY 1)"""
+    q["w21_u6_e11_plan_renames"] = "SELECT trip_id, filename, new_filename FROM name_walk WHERE i > 0 AND new_filename <> filename"
     q["o3_taken_names"] = "SELECT lower(stem) AS stem FROM videos UNION SELECT lower(file_stem) FROM tracks"
     q["f7_p12_parse_clips"] = f"SELECT camera_id, name, idx, {_time('start_time')} AS start_time FROM driven"
     q["j3_new_clips"] = "SELECT camera_id, name, size FROM fresh"
