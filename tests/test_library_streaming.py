@@ -2,7 +2,9 @@
 
 import datetime
 import json
+import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL, rows
 from trackloom.functions import report
 from trackloom.operators import blocks, cleaning, library, search, stats
-from trackloom.operators.blocks import NO_HOT_KEYS
+from trackloom.operators.blocks import NO_HOT_KEYS, HotKeys
 from trackloom.plans import importing
 from trackloom.session import durable
 from trackloom.sources import derived, files, tracks
@@ -172,16 +174,51 @@ def clips(spark):
     return durable(library.parse_clips(library.one_per_name(derived.clips(spark, SMALL), "camera_id")))
 
 
-def test_live_trips_agree_with_batch_grouping(spark, clips):
-    batch = library.describe_trips(library.group_trips(clips, hot=NO_HOT_KEYS))
-    newest = clips.agg(F.max("start_time")).first()[0]
-    # All clips in one file, so that none is late; the newest trips are still open.
-    got = run(live.live_trips(stream_of(spark, clips, 1)))
-    open_from = newest - datetime.timedelta(hours=1 + 3)
-    ends = library.group_trips(clips, hot=NO_HOT_KEYS).groupBy("camera_id", "trip_seq").agg(F.max("start_time").alias("last_start"))
-    closed = batch.join(ends, ["camera_id", "trip_seq"]).where(F.col("last_start") <= F.lit(open_from))
-    columns = ("camera_id", "clips", "start_time", "first_idx", "last_idx")
-    assert rows(got, *columns) == rows(closed, *columns) and got.count() > 500
+TRIP_COLUMNS = ("camera_id", "clips", "start_time", "first_idx", "last_idx")
+
+
+def live_revisions(spark, parts, **options):
+    """Revisions that a live stream writes while parts arrive, each caught up from the checkpoint."""
+    path, out, checkpoint = folder(), folder(), folder()
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(part.schema).parquet(path)
+        live.catch_up_batches(live.live_trips(stream, **options), live.write_batches(out), checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@pytest.mark.parametrize("keep_days", [7, 0.01])
+def test_live_trips_agree_with_batch_grouping(spark, clips, keep_days):
+    """Clips come late and out of order; with a short memory they are joined when the trips are settled."""
+    few = clips.where("camera_id % 3 = 0").select("camera_id", "start_time", "idx")
+    batch = library.describe_trips(library.group_trips(clips.where("camera_id % 3 = 0"), hot=NO_HOT_KEYS))
+    revisions = live_revisions(spark, [few.where(F.col("idx") % 3 == i) for i in (1, 2, 0)], keep_days=keep_days)
+    got = durable(live.settled_trips(revisions))
+    assert rows(got, *TRIP_COLUMNS) == rows(batch, *TRIP_COLUMNS)
+    newest = got.groupBy("camera_id").agg(F.max("last_start").alias("last_start")).join(got, ["camera_id", "last_start"])
+    assert newest.where("is_open").count() == newest.count()
+    every = HotKeys(few.select("camera_id").distinct())
+    assert rows(live.settled_trips(revisions, hot=every), *TRIP_COLUMNS) == rows(batch, *TRIP_COLUMNS)
+
+
+def test_idle_trips_close_by_timer(spark):
+    start = datetime.datetime(2024, 1, 1, 8)
+    clips = spark.createDataFrame([(1, start, 1), (1, start + datetime.timedelta(seconds=1), 2)], "camera_id bigint, start_time timestamp, idx int")
+    path, out, checkpoint = folder(), folder(), folder()
+    clips.coalesce(1).write.mode("append").parquet(path)
+    trips = live.live_trips(spark.readStream.schema(clips.schema).parquet(path), gap_hours=2 / 3600, closes_idle=True)
+    writer = trips.writeStream.foreachBatch(live.write_batches(out)).option("checkpointLocation", checkpoint).outputMode("update")
+    query = writer.trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            done = spark.read.schema(trips.schema).option("recursiveFileLookup", True).parquet(out) if os.listdir(out) else clips.limit(0)
+            if done.count() == 2:
+                break
+    finally:
+        query.stop()
+    assert [(r.revision, r.clips, r.is_open) for r in done.orderBy("revision").collect()] == [(1, 2, True), (2, 2, False)]
+    assert [r.is_open for r in live.settled_trips(done, 2 / 3600).collect()] == [False]
 
 
 def test_seen_clips_are_dropped(spark, clips):
@@ -192,16 +229,29 @@ def test_seen_clips_are_dropped(spark, clips):
 
 def test_logged_clips_are_left_out_and_restarts_add_nothing(spark, clips):
     log, out, checkpoint = folder(), folder(), folder()
-    clips.where("idx % 4 = 0").select("camera_id", "name", "size", F.lit(-1).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{log}/b-1")
-    stream = stream_of(spark, clips)
-    fresh_log, fresh_out = folder() + "/new", folder()
-    live.write_unlogged(spark, fresh_log, fresh_out)(clips, 0)
-    assert spark.read.parquet(f"{fresh_out}/batch=0").count() == clips.count()
+    live.append_log(clips.where("idx % 4 = 0"), log)
+    stream = stream_of(spark, clips.unionByName(clips.where("idx % 5 = 0")))
     for _ in range(2):
-        writer = stream.writeStream.foreachBatch(live.write_unlogged(spark, log, out))
-        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        live.catch_up_batches(stream, live.write_unlogged(spark, log, out), checkpoint, "append").awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).schema(clips.schema).parquet(out)
     assert rows(got, "name") == rows(clips.where("idx % 4 <> 0"), "name")
+    logged = live.read_log(spark, log)
+    assert logged.count() == logged.dropDuplicates(["camera_id", "name", "size"]).count() == clips.count()
+    # a batch that is repeated after a failure writes the same rows again
+    again, lost = folder(), folder()
+    live.append_log(clips.where("idx % 4 = 0"), lost)
+    for _ in range(2):
+        live.write_unlogged(spark, lost, again)(clips, 3)
+    assert spark.read.schema(clips.schema).parquet(f"{again}/batch=3").count() == clips.where("idx % 4 <> 0").count()
+    assert live.read_log(spark, lost).count() == clips.count()
+    # only the folders of the buckets asked for are read
+    some = live.read_log(spark, log, [3, 5])
+    assert "bucket" in plan_of(some).split("PartitionFilters: ")[1].split("]")[0]
+    assert {f.split("bucket=")[1].split("/")[0] for f in some.inputFiles()} >= {"3", "5"} and some.where("bucket not in (3, 5)").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_live_segments_agree_with_batch(spark, readings):
@@ -216,18 +266,36 @@ def test_live_segments_agree_with_batch(spark, readings):
     assert rows(got, "trip_id", "seq", "segment") == rows(fixes, "trip_id", "seq", "segment")
 
 
+def test_segments_of_one_batch_and_of_single_fixes(spark):
+    fixes = spark.createDataFrame([(1, i, float(i), 49 + (i // 3) * 0.5, 24.0) for i in range(12)] + [(2, 0, 0.0, 49.0, 24.0)], "trip_id int, seq int, t double, lat double, lon double")
+    got = run(live.live_segments(stream_of(spark, fixes, 1)))
+    assert rows(got, "trip_id", "seq", "segment") == sorted([(1, i, i // 3 + 1) for i in range(12)] + [(2, 0, 1)], key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
 def test_closed_trips_are_cleaned(spark, readings, samples):
     path, out, checkpoint = folder(), folder(), folder()
-    readings.write.mode("overwrite").parquet(path)
-    closed = stream_of(spark, readings.select("trip_id").distinct(), 2)
-    closed.writeStream.foreachBatch(live.clean_closed_trips(spark, path, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    # three dates beside each other; the clock texts keep theirs
+    dated = durable(readings.withColumn("trip_date", F.date_add("trip_date", (F.col("trip_id") % 3).cast("int") - 1)))
+    live.store_readings(dated, path)
+    closed = dated.select("trip_id", "trip_date").distinct()
+    stream = stream_of(spark, closed, 2)
+    live.catch_up_batches(stream, live.clean_closed_trips(spark, path, out, dated.schema), checkpoint, "append").awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).schema(samples.schema).parquet(out)
-    assert rows(got, "trip_id", "seq", "status", "lat", "time") == rows(samples, "trip_id", "seq", "status", "lat", "time")
+    assert rows(got, "trip_id", "seq", "status", "lat", "time") == rows(cleaning.clean_tracks(dated), "trip_id", "seq", "status", "lat", "time")
+    one_day = closed.where("trip_id % 3 = 0")
+    read = live.readings_of(spark, path, one_day, dated.schema)
+    assert "trip_date" in plan_of(read).split("PartitionFilters: ")[1].split("]")[0]
+    assert rows(read) == rows(dated.where("trip_id % 3 = 0"))
+    dateless = live.readings_of(spark, path, one_day.select("trip_id", F.lit(None).cast("date").alias("trip_date")), dated.schema)
+    assert dateless.count() == 0
 
 
 def test_activity_stream_agrees_with_batch(spark, samples):
-    steps = durable(stats.with_steps(samples, blocks.trips()).where("time is not null").select("trip_id", "time", "kmh", F.round("_step_m", 2).cast("decimal(12,2)").alias("step_m")))
-    sizes = ("10 minutes", "5 minutes")
-    got = run(live.trip_activity(stream_of(spark, steps, 1), *sizes, late="1 minute"))
-    batch = rows(live.trip_activity(steps, *sizes))
-    assert set(rows(got)) <= set(batch) and got.count() > 0
+    steps = durable(stats.with_steps(samples, blocks.trips()).where("time is not null").select("trip_id", "seq", "time", "kmh", F.round("_step_m", 2).cast("decimal(12,2)").alias("step_m")))
+    sizes, path, out, checkpoint = ("10 minutes", "5 minutes"), folder(), folder(), folder()
+    for part in ("seq < 30", "seq >= 30"):
+        steps.where(part).coalesce(1).write.mode("append").parquet(path)
+        activity = live.trip_activity(spark.readStream.schema(steps.schema).parquet(path), *sizes, late="1 hour")
+        live.catch_up_batches(activity, live.write_batches(out), checkpoint).awaitTermination()
+    got = live.latest_rows(spark.read.parquet(out), ("trip_id", "window_start"))
+    assert rows(got) == rows(live.trip_activity(steps, *sizes))

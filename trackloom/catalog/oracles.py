@@ -956,11 +956,14 @@ SELECT trip_id, t, gps_text, clock_text, CASE WHEN trip_id % 4 <> 0 AND gps_scor
   0.9 AS clock_score FROM readings WHERE gps_text <> ''"""
     q["t1_t6_live_trips"] = f"""
 SELECT camera_id, count(*) AS clips, arg_min(idx, (start_time, idx)) AS first_idx, arg_max(idx, (start_time, idx)) AS last_idx,
-  {_time('min(start_time)')} AS start_time FROM grouped GROUP BY camera_id, trip_seq
-HAVING max(start_time) + INTERVAL 3 HOUR <= (SELECT max(start_time) FROM driven) - INTERVAL 1 HOUR"""
+  {_time('min(start_time)')} AS start_time FROM grouped GROUP BY camera_id, trip_seq"""
+    q["t2_unseen_clips"] = "SELECT camera_id, name, size FROM fresh"
+    q["t3_live_segments"] = "SELECT trip_id, segment, count(*) AS fixes, min(seq) AS first_seq, max(seq) AS last_seq FROM fixes_o GROUP BY ALL"
+    q["t4_cleaned_closed_trips"] = SAMPLE_ROWS + "clean"
     q["t5_trip_activity"] = """
 SELECT trip_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS fixes, max(kmh) AS max_kmh, round(sum(CASE WHEN joined THEN meters ELSE 0 END), 2) AS distance_m
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, time) - to_minutes(15 * i) AS w FROM steps, range(4) r(i) WHERE time IS NOT NULL) GROUP BY trip_id, w"""
+    q["t5_live_activity"] = q["t5_trip_activity"]
     return {name: _with(sql.strip()) for name, sql in q.items()}
 
 

@@ -1051,16 +1051,100 @@ def e18_import_all(spark, folder):
     return result["index"].select("id", "distance_km", "coverage", F.size("streets").alias("streets"))
 
 
+# --- streams ---------------------------------------------------------------------------------------
+
+
+def _arrive(spark, df: DataFrame, parts: list[Column], start) -> str:
+    """Let a table arrive in parts and catch up after each, from a checkpoint; returns the folder of results.
+
+    ``start(stream, out, checkpoint)`` starts the query over the stream of arriving files.
+    """
+    base = shared_folder(spark)
+    for part in parts:
+        df.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        with live.rocksdb(spark):
+            start(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out"
+
+
 @query
 def t1_t6_live_trips(spark, folder):
-    """Closed trips of a stream of clips, caught up with everything that has arrived."""
-    schema = derived.table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    trips = live.live_trips(library.parse_clips(derived.clips_of(events)))
-    out = shared_folder(spark)
-    live.catch_up(trips, f"{out}/trips", f"{out}/checkpoint").awaitTermination()
-    done = spark.read.schema(trips.schema).parquet(f"{out}/trips")
-    return done.select("camera_id", "clips", "first_idx", "last_idx", _text_time("start_time").alias("start_time"))
+    """Trips of a stream of clips that arrive late and out of order, open trips included."""
+    clips = _clips(spark, folder).select("camera_id", "start_time", "idx")
+
+    def start(stream, out, checkpoint):
+        return live.catch_up_batches(live.live_trips(stream), live.write_batches(out), checkpoint)
+
+    # the middle third of every camera's clips comes last
+    out = _arrive(spark, durable(clips), [F.col("idx") % 3 == i for i in (0, 2, 1)], start)
+    return live.settled_trips(spark.read.parquet(out)).select(
+        "camera_id", "clips", "first_idx", "last_idx", _text_time("start_time").alias("start_time"),
+    )
+
+
+@query
+def t2_unseen_clips(spark, folder):
+    """Clips of a stream, some arriving again after a restart, that no log holds."""
+    clips = durable(_clips(spark, folder).select("camera_id", "name", "size", "idx"))
+    log = f"{shared_folder(spark)}/log"
+    live.append_log(derived.encoded_log(spark, folder), log)
+
+    def start(stream, out, checkpoint):
+        return live.catch_up_batches(stream, live.write_unlogged(spark, log, out), checkpoint, "append")
+
+    out = _arrive(spark, clips, [F.col("idx") % 2 == 0, F.col("idx") % 3 == 0, F.lit(True)], start)
+    return spark.read.schema(clips.schema).parquet(out).select("camera_id", "name", "size")
+
+
+@query
+def t3_live_segments(spark, folder):
+    """Reachable segments of fixes that arrive in three parts."""
+    parsed = _trips(cleaning.attach_overrides(readings(spark, folder), derived.overrides(spark, folder)), cleaning.parse_readings)
+    fixes = durable(parsed.where("initial_status = 'ok'").select("trip_id", "seq", "t", "gps.lat", "gps.lon"))
+
+    def start(stream, out, checkpoint):
+        return live.catch_up(live.live_segments(stream), out, checkpoint)
+
+    seq = F.col("seq")
+    out = _arrive(spark, fixes, [seq < 25, (seq >= 25) & (seq < 50), seq >= 50], start)
+    return spark.read.parquet(out).groupBy("trip_id", "segment").agg(
+        F.count(F.lit(1)).alias("fixes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    )
+
+
+@query
+def t4_cleaned_closed_trips(spark, folder):
+    """Samples of trips cleaned as they close, read from readings that are laid out by date."""
+    raw = readings(spark, folder)
+    path = f"{shared_folder(spark)}/readings"
+    live.store_readings(raw, path)
+    closed = durable(raw.select("trip_id", "trip_date").distinct())
+
+    def start(stream, out, checkpoint):
+        return live.catch_up_batches(stream, live.clean_closed_trips(spark, path, out, raw.schema), checkpoint, "append")
+
+    out = _arrive(spark, closed, [F.col("trip_id") % 2 == i for i in (0, 1)], start)
+    return spark.read.parquet(out).select(
+        "trip_id", "seq", _text_time("time").alias("time"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
+        "kmh", "status", _flag(F.col("time_estimated")).alias("estimated"),
+    )
+
+
+@query
+def t5_live_activity(spark, folder):
+    """Sliding windows of steps that arrive in three parts, updated as they fill."""
+    steps = durable(_trips(cleaned(spark, folder), stats.with_steps).select(
+        "trip_id", "seq", "time", "kmh", F.col("_step_m").alias("step_m")
+    ).where("time is not null"))
+
+    def start(stream, out, checkpoint):
+        return live.catch_up_batches(live.trip_activity(stream, late="1 hour"), live.write_batches(out), checkpoint)
+
+    seq = F.col("seq")
+    out = _arrive(spark, steps, [seq < 25, (seq >= 25) & (seq < 50), seq >= 50], start)
+    activity = live.latest_rows(spark.read.parquet(out), ("trip_id", "window_start"))
+    return activity.select("trip_id", _text_time("window_start").alias("window_start"), "fixes", "max_kmh", F.round("distance_m", 2).alias("distance_m"))
 
 
 @query

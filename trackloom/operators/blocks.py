@@ -123,6 +123,23 @@ class RunningSum(Spec):
         )
 
 
+class RunningMax(Spec):
+    """The largest value before the current row."""
+
+    def local(self, ordering):
+        return F.max(self.value).over(ordering.rows(-1))
+
+    def edge(self, ordering):
+        return F.max(self.value)
+
+    def carry(self, edge, keys):
+        before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        return F.max(edge).over(before)
+
+    def merge(self, local, carried):
+        return F.greatest(local, carried)
+
+
 class LastKnown(Spec):
     """The latest non-null value before the current row (or including it)."""
 
