@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from trackloom.functions import report
-from trackloom.operators import blocks, cleaning, library, search, stats
+from trackloom.operators import blocks, cleaning, library, roads, search, stats
 from trackloom.operators.blocks import NO_HOT_KEYS, HotKeys
 from trackloom.plans import importing
 from trackloom.session import durable
-from trackloom.sources import derived, files, tracks
+from trackloom.sources import derived, files, index_store, tracks
 from trackloom.streaming import live
 
 
@@ -136,11 +136,57 @@ def test_report_texts(spark):
                    ("124 km", "25:01:01", "25:01:01"), ("-", "-", "-")]
 
 
-def test_search_terms_and_date_filters():
-    first, last = datetime.date(2024, 1, 1), datetime.date(2024, 12, 31)
+def test_search_terms_and_date_filters(spark):
     assert search.query_terms(" Main Street ,, kyiv ") == ["main street", "kyiv"]
-    assert search.normalize_date_filter("2024-01-01", "2025-01-01", first, last) == ("", "")
-    assert search.normalize_date_filter("2024-05-01", "2024-02-01", first, last) == ("2024-02-01", "2024-05-01")
+    asked = [("2024-01-01", "2025-01-01"), ("2024-05-01", "2024-02-01"), (None, ""), ("2024-05-01", None), ("2025-05-01", "2023-01-01")]
+    df = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "i int, s string, e string")
+    out = search.normalize_date_filter(F.col("s"), F.col("e"), F.lit("2024-01-01"), F.lit("2024-12-31"))
+    got = [tuple(r)[1:] for r in df.select("i", *out).orderBy("i").collect()]
+    assert got == [("", ""), ("2024-02-01", "2024-05-01"), ("", ""), ("2024-05-01", ""), ("2023-01-01", "2025-05-01")]
+
+
+def test_places_in_the_list(spark):
+    trips = [(f"t{i}", None if i % 4 == 0 else datetime.datetime(2024, 1, 1 + i % 3, 8), None if i % 8 == 0 else datetime.date(2024, 1, 2)) for i in range(60)]
+    df = spark.createDataFrame(trips, "id string, start_time timestamp, date date")
+    key = lambda t: t[1].isoformat() if t[1] else t[2].isoformat() if t[2] else ""
+    order = sorted(sorted(t[0] for t in trips), key=lambda i: key(trips[int(i[1:])]), reverse=True)
+    got = {r.id: r.place for r in search.ranked_newest_first(df.repartition(5)).collect()}
+    assert got == {i: place for place, i in enumerate(order, 1)}
+
+
+def test_stored_index_is_replaced_by_bucket(spark):
+    path = folder()
+    index = spark.range(300).select(F.format_string("trip %d", "id").alias("id"), F.col("id").alias("n"), F.struct(F.lit(1.5).alias("lat")).alias("box"))
+    assert index_store.write_index(index, path) == 1
+    assert rows(index_store.read_index(spark, path)) == rows(index)
+    one = index.where("n = 7")
+    new = one.withColumns({"id": F.lit("trip new"), "n": F.lit(7).cast("long")})
+    assert index_store.replace_entries(spark, path, one.select("id"), new) == 2
+    rebuilt = index.where("n <> 7").unionByName(new)
+    assert rows(index_store.read_index(spark, path)) == rows(rebuilt)
+    # readers of the old version still see it, and only the buckets of the two names were written
+    assert rows(index_store.read_index(spark, path, 1)) == rows(index)
+    written = [f for f in spark.read.parquet(f"{path}/entries").where("generation = 2").inputFiles() if "generation=2" in f]
+    assert 1 <= len({f.split("bucket=")[1].split("/")[0] for f in written}) <= 2
+    # a version that was not finished is not seen
+    os.makedirs(f"{path}/versions/v-3")
+    assert rows(index_store.read_index(spark, path)) == rows(rebuilt)
+    assert index_store.versions(spark, folder()) == []
+
+
+def test_stored_map_reads_only_cells_of_the_box(spark):
+    path = folder()
+    chunks = spark.range(400).select(
+        F.col("id").alias("way_id"), (F.lit(-1.0) + F.col("id") * 0.01).alias("min_lat"), (F.lit(-1.0) + F.col("id") * 0.01 + F.col("id") % 7 * 0.05).alias("max_lat"),
+        (F.lit(24.0) - F.col("id") % 5 * 0.1).alias("min_lon"), (F.lit(24.03) - F.col("id") % 5 * 0.1).alias("max_lon"),
+    )
+    files.write_map(chunks.select("way_id"), chunks, chunks.select("way_id"), path, 0.1)
+    box = (0.33, 0.41, 23.7, 23.9)
+    got = files.read_chunks_in_box(spark, path, *box)
+    assert rows(got) == rows(roads.chunks_in_box(chunks, *box)) and got.count() > 0
+    filters = got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "cell_lat" in filters and "cell_lon" in filters
+    assert rows(files.read_map(spark, path)[1]) == rows(chunks)
 
 
 def test_reclean_keeps_other_tracks(spark, samples, readings):

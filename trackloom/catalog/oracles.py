@@ -283,8 +283,7 @@ SELECT doc_id, CASE WHEN misnamed THEN stem || ' copy' ELSE declared END AS file
   size + CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS video_size, mtime + CASE WHEN doc_id % 19 = 0 THEN 5 ELSE 0 END AS video_mtime,
   CASE WHEN doc_id % 37 = 0 THEN 'no_overlay' ELSE 'ok' END AS extraction_status,
   CASE WHEN doc_id % 31 = 0 THEN 0 ELSE 1 END AS extractor_version, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 2 END AS cleaning_version,
-  CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 6 = 0 THEN 'outdated' ELSE 'current' END AS enrichment_status,
-  doc_id % 2 = 0 AS has_gps_text, doc_id % 8 <> 0 AS has_good_fix
+  CASE WHEN doc_id NOT IN (SELECT u.trip_id FROM users u) OR doc_id % 7 = 1 THEN 'missing' WHEN doc_id % 7 IN (2, 3) THEN 'outdated' ELSE 'current' END AS enrichment_status
 FROM (SELECT *, CASE WHEN doc_id % 17 = 0 THEN stem || ' old' ELSE stem END AS declared,
     doc_id % 29 = 0 AND doc_id % 17 <> 0 AS misnamed FROM videos WHERE doc_id % 4 <> 1 AND doc_id % 41 <> 0)"""
 CTES["previews"] = """
@@ -618,7 +617,8 @@ AUDIT = "\nUNION ALL ".join([
     _finding("R5", "'info'", "file_stem",
              "CASE WHEN enrichment_status = 'missing' THEN 'no street list' ELSE 'outdated street list' END", "NULL",
              "tracks WHERE extraction_status = 'ok' AND enrichment_status <> 'current'"),
-    _finding("R6", "'warning'", "file_stem", "'GPS text but no accepted fix'", "NULL", "tracks WHERE has_gps_text AND NOT has_good_fix"),
+    _finding("R6", "'warning'", "file_stem", "'GPS text but no accepted fix'", "NULL", "tracks t WHERE t.doc_id IN (SELECT trip_id FROM readings WHERE gps_text <> '') AND t.doc_id NOT IN "
+             "(SELECT trip_id FROM gps_read WHERE lat BETWEEN 49.0 AND 49.86 AND lon BETWEEN 22 AND 40.5)"),
     _finding("R7", "'warning'", "file_stem", "'shares content ' || fingerprint", "NULL",
              "(SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n FROM tracks) WHERE n > 1"),
     _finding("R8", "'error'", "name", "'would share a track with another video'", "NULL", "shared"),
@@ -630,7 +630,7 @@ AUDIT = "\nUNION ALL ".join([
     _finding("R14", "'info'", "o.file_stem", "'unreachable'", "NULL",
              "orphans o WHERE o.file_stem NOT IN (SELECT old_stem FROM renamed)"),
     _finding("R15", "'warning'", "'trip index'", "'missing or out of date'", "'rebuild it'",
-             "(SELECT count(*) AS n FROM tracks WHERE file_stem = stem AND extraction_status <> 'ok') WHERE n > 0"),
+             "(SELECT count(*) AS n FROM trip_tracks WHERE trip_id = 7) WHERE n > 0"),
     _finding("R16", "'warning'", "p.stem || '.mp4'", "'preview without a track'", "'delete it'",
              "previews p WHERE p.stem NOT IN (SELECT t.file_stem FROM tracks t)"),
     _finding("R16", "CASE WHEN age_s >= 3600 THEN 'warning' ELSE 'info' END", "path",
@@ -799,6 +799,15 @@ SELECT round(min(min_lat), 6) AS min_lat, round(min(min_lon), 6) AS min_lon, rou
     q["a14_date_bounds"] = """
 SELECT count(*) AS trips, min(day) AS first_date, max(day) AS last_date, count(DISTINCT day) AS trip_days,
   CASE WHEN left(min(day), 4) = left(max(day), 4) THEN left(min(day), 4) ELSE left(min(day), 4) || '-' || left(max(day), 4) END AS years FROM trip_tracks"""
+    q["o1_newest_first"] = """
+SELECT id, row_number() OVER (ORDER BY k DESC, id) AS place FROM (SELECT id, coalesce(strftime(start_time, '%Y-%m-%dT%H:%M:%S'), day) AS k FROM trips)"""
+    q["f12_usable_street_lists"] = """
+SELECT trip_id, CASE WHEN extraction_status <> 'ok' OR trip_id NOT IN (SELECT s.trip_id FROM steps s WHERE s.located) OR trip_id % 7 NOT IN (1, 3) THEN 1 ELSE 0 END AS usable FROM trip_tracks"""
+    q["f15_date_filters"] = """
+SELECT o_orderkey, CASE WHEN a <> '' AND b <> '' AND a > b THEN b ELSE a END AS start, CASE WHEN a <> '' AND b <> '' AND a > b THEN a ELSE b END AS "end"
+FROM (SELECT o_orderkey, CASE WHEN s > lo THEN s ELSE '' END AS a, CASE WHEN e < hi THEN e ELSE '' END AS b
+  FROM (SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS s, strftime(CAST(o_orderdate AS DATE) + CAST(o_custkey % 61 - 30 AS INTEGER), '%Y-%m-%d') AS e FROM orders),
+    (SELECT strftime(min(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS lo, strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS hi FROM orders WHERE o_orderstatus = 'F'))"""
     q["f13_search_trips"] = """
 SELECT day || ' ' || name AS id FROM trip_tracks WHERE day BETWEEN '2024-01-02' AND '2024-01-03' AND contains(lower(name), 'trip') AND contains(lower(name), '-1')"""
     q["f14_preset_dates"] = """

@@ -18,7 +18,7 @@ from trackloom.operators import (
 )
 from trackloom.plans import enriching, importing, indexing
 from trackloom.session import durable, prepare, shared_folder
-from trackloom.sources import derived, tracks as track_files
+from trackloom.sources import derived, files, index_store, tracks as track_files
 from trackloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,18 +187,33 @@ def s7_update_encoded_log(spark, folder):
     return library.update_encoded_log(derived.encoded_log(spark, folder), added, "camera_id")
 
 
+@stage
+def stored_index(spark, folder):
+    """Folder of an index on disk that is older than the tracks: one trip still has its old name."""
+    path = f"{shared_folder(spark)}/index"
+    index_store.write_index(trip_index(spark, folder), path)
+    return path
+
+
+def _renamed_entry(index: DataFrame) -> DataFrame:
+    return index.where("trip_id = 7").withColumns({"id": F.lit("2024-01-02 Renamed"), "name": F.lit("Renamed")})
+
+
 @query
 def s8_index_table(spark, folder):
-    index = trip_index(spark, folder).withColumn("format_version", F.lit(C.INDEX_FORMAT_VERSION))
+    path = stored_index(spark, folder)
+    index = index_store.read_index(spark, path).withColumn("format_version", F.lit(index_store.format_of(spark, path)))
     return index.groupBy("format_version", "extraction_status").agg(F.count(F.lit(1)).alias("trips"))
 
 
 @query
 def s9_update_index(spark, folder):
-    index = trip_index(spark, folder).select("id", "name", "trip_id")
-    old = index.where("trip_id = 7")
-    entry = old.withColumns({"id": F.lit("2024-01-02 Renamed"), "name": F.lit("Renamed")})
-    return indexing.update_index(index, "2024-01-02 Trip 07-07 7", entry)
+    """One entry replaced on disk; the newest version is read back."""
+    path = f"{shared_folder(spark)}/index"
+    index_store.write_index(trip_index(spark, folder), path)
+    old = index_store.read_index(spark, path).where("trip_id = 7")
+    index_store.replace_entries(spark, path, old.select("id"), _renamed_entry(old))
+    return index_store.read_index(spark, path).select("id", "name", "trip_id")
 
 
 # --- parsing -------------------------------------------------------------------------------------
@@ -533,6 +548,26 @@ def a12_trip_bounds(spark, folder):
     )
 
 
+@query
+def o1_newest_first(spark, folder):
+    """Place of every trip in the list, newest first; the list is cut into ranges, not sorted in one task."""
+    index = trip_index(spark, folder)
+    return search.ranked_newest_first(index).select("id", "place")
+
+
+@query
+def f15_date_filters(spark, folder):
+    """Filters around every order, opened at the bounds of the filled orders and put in order."""
+    orders = derived.table(spark, folder, "orders")
+    day = F.col("o_orderdate").cast("date")
+    start, end = (F.date_format(d, "yyyy-MM-dd") for d in (day, F.date_add(day, (F.col("o_custkey") % 61 - 30).cast("int"))))
+    bounds = orders.where("o_orderstatus = 'F'").agg(
+        F.date_format(F.min(day), "yyyy-MM-dd").alias("first"), F.date_format(F.max(day), "yyyy-MM-dd").alias("last")
+    ).first()
+    asked = search.normalize_date_filter(start, end, F.lit(bounds.first), F.lit(bounds.last))
+    return orders.select("o_orderkey", asked[0].alias("start"), asked[1].alias("end"))
+
+
 @query
 def a14_date_bounds(spark, folder):
     b = search.date_bounds(trip_index(spark, folder))
@@ -656,8 +691,10 @@ def f9_j5_named_roads(spark, folder):
 
 @query
 def f10_chunks_in_box(spark, folder):
-    chunks = map_tables(spark, folder)[1]
-    return roads.chunks_in_box(chunks, 49.85, 49.87, 24.0, 24.01).select("way_id", "chunk")
+    """Chunks that touch a box, from a map stored by cells of a twentieth of a degree."""
+    path = f"{shared_folder(spark)}/map"
+    files.write_map(*map_tables(spark, folder), path, cell_deg=0.05)
+    return files.read_chunks_in_box(spark, path, 49.85, 49.87, 24.0, 24.01).select("way_id", "chunk")
 
 
 @query
@@ -709,11 +746,9 @@ def a6_samples_digest(spark, folder):
     return roads.samples_digest(cleaned(spark, folder))
 
 
-@query
-def j15_e12_enrichment_status(spark, folder):
-    trips = enriched(spark, folder)[1]
-    trip = F.col("trip_id")
-    e = F.col("enrichment")
+def _aged_enrichment(spark, folder) -> DataFrame:
+    """Enrichment of the trips, of some missing, from another map, or from other samples."""
+    trip, e = F.col("trip_id"), F.col("enrichment")
     changed = F.struct(
         e["enricher_version"].alias("enricher_version"),
         F.when(trip % 7 == 2, "other").otherwise(e["osm_timestamp"]).alias("osm_timestamp"),
@@ -721,11 +756,26 @@ def j15_e12_enrichment_status(spark, folder):
         F.when(trip % 7 == 3, "stale").otherwise(e["samples_digest"]).alias("samples_digest"),
         e["enriched_at"].alias("enriched_at"),
     )
-    tracks = trips.withColumn("enrichment", F.when(trip % 7 != 1, changed))
-    status = roads.enrichment_status(tracks, roads.samples_digest(cleaned(spark, folder)), *MAP_VERSION)
+    return enriched(spark, folder)[1].select("trip_id", F.when(trip % 7 != 1, changed).alias("enrichment"))
+
+
+@query
+def j15_e12_enrichment_status(spark, folder):
+    digests = roads.samples_digest(cleaned(spark, folder))
+    status = roads.enrichment_status(_aged_enrichment(spark, folder), digests, *MAP_VERSION)
     return status.select("trip_id", "enrichment_status")
 
 
+@query
+def f12_usable_street_lists(spark, folder):
+    """Trips that can be named; the version of the map does not count."""
+    samples = cleaned(spark, folder)
+    tracks = derived.trip_tracks(spark, folder).join(_aged_enrichment(spark, folder), "trip_id", "left")
+    inputs = importing.rename_inputs(tracks, samples, roads.samples_digest(samples), derived.TIMEZONE)
+    usable = naming.has_usable_street_list(*(F.col(c) for c in ("extraction_status", "has_located", "enrichment_status")))
+    return inputs.select("trip_id", _flag(usable).alias("usable"))
+
+
 @query
 def e4_enrich_stale(spark, folder):
     trips = enriched(spark, folder)[1].where("trip_id % 3 <> 0")
@@ -967,12 +1017,23 @@ def e13_library_status(spark, folder):
     )
 
 
+# The audited library knows positions in this box only; trips north of it have no accepted fix.
+AUDIT_AREAS = [(49.0, 22.0, 49.86, 40.5)]
+
+
 @query
 def e14_audit(spark, folder):
-    tracks, videos = derived.library_tracks(spark, folder), derived.library_videos(spark, folder)
-    unreadable = derived.unreadable_tracks(spark, folder)
-    expected = tracks.where("file_stem = stem").select(F.col("stem").alias("id"), "video_filename", "extraction_status")
-    current = expected.where("extraction_status = 'ok'")
+    """All rules; street lists, fixes and the index are checked against samples and the other pipelines."""
+    samples = cleaning.clean_tracks(readings(spark, folder), areas=AUDIT_AREAS)
+    tracks = derived.library_tracks(spark, folder).withColumn("trip_id", F.col("doc_id"))
+    tracks = tracks.join(_aged_enrichment(spark, folder), "trip_id", "left")
+    digests = roads.samples_digest(cleaned(spark, folder))
+    tracks = durable(audit.with_fixes(roads.enrichment_status(tracks, digests, *MAP_VERSION), samples))
+    videos, unreadable = derived.library_videos(spark, folder), derived.unreadable_tracks(spark, folder)
+    # one trip was renamed after the index had been written
+    index = trip_index(spark, folder)
+    expected = indexing.update_index(index, "2024-01-02 Trip 07-07 7", _renamed_entry(index))
+    current = index_store.read_index(spark, stored_index(spark, folder))
     rules = {
         **audit.check_tracks(tracks, unreadable), **audit.check_videos(tracks, unreadable, videos),
         **audit.check_files(tracks, derived.previews(spark, folder), derived.leftovers(spark, folder), current, expected),

@@ -1,8 +1,8 @@
 """Findings about a library: one query per rule, all with the same columns.
 
 Tables: ``tracks`` has ``file_stem, stem`` (declared), ``video_filename, fingerprint, video_size,
-video_mtime, extraction_status, extractor_version, cleaning_version, enrichment_status,
-has_gps_text, has_good_fix``; ``videos`` has ``name, size, mtime, fingerprint``; ``unreadable``
+video_mtime, extraction_status, extractor_version, cleaning_version``, the ``enrichment_status`` that
+``roads.enrichment_status`` finds, and the flags of ``with_fixes``; ``videos`` has ``name, size, mtime, fingerprint``; ``unreadable``
 has ``stem, reason``.
 """
 
@@ -29,6 +29,20 @@ def _finding(df: DataFrame, rule: str, severity: str | Column, subject, detail,
     )
 
 
+def with_fixes(tracks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Add whether the samples of each track (by ``trip_id``) have any GPS text, and any accepted fix.
+
+    One map-side combined pass over two columns of the samples.
+    """
+    flags = samples.groupBy("trip_id").agg(
+        F.max(F.coalesce(F.col("gps_text") != "", F.lit(False))).alias("has_gps_text"),
+        F.max(F.col("status") == C.OK).alias("has_good_fix"),
+    )
+    return tracks.join(flags, "trip_id", "left").withColumns({
+        name: F.coalesce(name, F.lit(False)) for name in ("has_gps_text", "has_good_fix")
+    })
+
+
 def check_tracks(tracks: DataFrame, unreadable: DataFrame, has_map: bool = True) -> dict[str, DataFrame]:
     """Format, names, versions, street lists and suspicious results of the tracks."""
     stem, extracted = F.col("file_stem"), F.col("extraction_status") == C.EXTRACTION_OK

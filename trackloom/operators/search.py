@@ -52,13 +52,12 @@ def preset_start(preset: str, today: Column) -> Column:
     return F.add_months(today, -12 if preset == "year" else -1)
 
 
-def normalize_date_filter(
-    start: str, end: str, first: datetime.date, last: datetime.date
-) -> tuple[str, str]:
-    """Open the bounds at or beyond the data, and swap bounds in the wrong order."""
-    start = start if start and start > first.isoformat() else ""
-    end = end if end and end < last.isoformat() else ""
-    return (end, start) if start and end and start > end else (start, end)
+def normalize_date_filter(start: Column, end: Column, first: Column, last: Column) -> tuple[Column, Column]:
+    """Open the bounds (null or empty) at or beyond the data, and swap bounds in the wrong order."""
+    start = F.when(start > first, start).otherwise(F.lit(""))
+    end = F.when(end < last, end).otherwise(F.lit(""))
+    swapped = (start != "") & (end != "") & (start > end)
+    return F.when(swapped, end).otherwise(start), F.when(swapped, start).otherwise(end)
 
 
 def date_bounds(index: DataFrame) -> DataFrame:
@@ -114,8 +113,26 @@ def list_key() -> Column:
     )
 
 
-def newest_first(index: DataFrame) -> DataFrame:
-    return index.orderBy(list_key().desc(), "id")
+def _by_ranges(listed: DataFrame):
+    """Rows ``(id, _key, ...)`` dealt to ranges of the one global order, newest first, and the order in a range."""
+    # stored, so that rows keep their range
+    ranged = durable(
+        listed.repartitionByRange(F.col("_key").desc(), F.col("id")).withColumn("_range", F.spark_partition_id())
+    )
+    return ranged, Window.partitionBy("_range").orderBy(F.col("_key").desc(), "id")
+
+
+def ranked_newest_first(index: DataFrame) -> DataFrame:
+    """The trips with their ``place`` in the list, newest first, then by id.
+
+    Each range counts its own trips; one row per range tells how many lie before it.
+    """
+    ranged, within = _by_ranges(index.withColumn("_key", list_key()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = ranged.withColumn("place", F.row_number().over(within).cast("long")).join(offsets, "_range")
+    return placed.withColumn("place", F.col("place") + F.col("_offset")).drop("_range", "_key", "_offset")
 
 
 def neighbor_trips(index: DataFrame, start: str = "", end: str = "", query: str = "") -> DataFrame:
@@ -126,11 +143,7 @@ def neighbor_trips(index: DataFrame, start: str = "", end: str = "", query: str
     last trip of a range, one row per range, tell the ranges beside it.
     """
     listed = search_trips(index, start, end, query).where(has_gps()).select("id", list_key().alias("_key"))
-    # stored, so that rows keep their range
-    ranged = durable(
-        listed.repartitionByRange(F.col("_key").desc(), F.col("id")).withColumn("_range", F.spark_partition_id())
-    )
-    within = Window.partitionBy("_range").orderBy(F.col("_key").desc(), "id")
+    ranged, within = _by_ranges(listed)
     place = F.struct((-F.row_number().over(within)).alias("n"), "id")
     edges = ranged.select("_range", place.alias("_place")).groupBy("_range").agg(
         F.max("_place")["id"].alias("_first"), F.min("_place")["id"].alias("_last")

@@ -232,7 +232,6 @@ def library_tracks(spark: SparkSession, folder: str) -> DataFrame:
     moved, misnamed, changed = doc % 17 == 0, (doc % 29 == 0) & (doc % 17 != 0), doc % 23 == 0
     videos = library_videos(spark, folder).where("doc_id % 4 <> 1 and doc_id % 41 <> 0")
     declared = F.when(moved, F.concat(stem, F.lit(" old"))).otherwise(stem)
-    enrichment = F.when(doc % 5 == 0, "missing").when(doc % 6 == 0, "outdated").otherwise("current")
     return videos.select(
         "doc_id",
         F.when(misnamed, F.concat(stem, F.lit(" copy"))).otherwise(declared).alias("file_stem"),
@@ -243,8 +242,6 @@ def library_tracks(spark: SparkSession, folder: str) -> DataFrame:
         F.when(doc % 37 == 0, "no_overlay").otherwise("ok").alias("extraction_status"),
         F.when(doc % 31 == 0, 0).otherwise(1).alias("extractor_version"),
         F.when(doc % 11 == 0, 1).otherwise(2).alias("cleaning_version"),
-        enrichment.alias("enrichment_status"),
-        (doc % 2 == 0).alias("has_gps_text"), (doc % 8 != 0).alias("has_good_fix"),
     )
 
 

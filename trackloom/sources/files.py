@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackloom import constants as C
 from trackloom.functions import text
+from trackloom.operators.roads import chunks_in_box
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -65,21 +67,38 @@ def fingerprint_files(spark: SparkSession, path: str, changed: DataFrame | None
     return files.mapInPandas(read, "path string, name string, fingerprint string")
 
 
-def write_table(df: DataFrame, path: str, version: int = C.INDEX_FORMAT_VERSION) -> None:
-    """Write an index or geometry table with its format version and creation time."""
-    df.withColumns({
-        "format_version": F.lit(version), "generated_at": F.current_timestamp()
-    }).write.mode("overwrite").parquet(path)
+def write_map(roads: DataFrame, chunks: DataFrame, localities: DataFrame, path: str, cell_deg: float = 1.0) -> None:
+    """Write the map tables; chunks are laid out by the cell of their south-west corner.
 
-
-def write_map(roads: DataFrame, chunks: DataFrame, localities: DataFrame, path: str) -> None:
-    """Write the map tables; chunks are laid out by degree cell for regional jobs."""
+    How many cells the largest chunk spans is kept beside them, so that a reader knows which cells may
+    reach into a box.
+    """
     roads.write.mode("overwrite").parquet(f"{path}/roads")
-    chunks.withColumns({
-        "cell_lat": F.floor("min_lat").cast("int"), "cell_lon": F.floor("min_lon").cast("int"),
-    }).write.mode("overwrite").partitionBy("cell_lat", "cell_lon").parquet(f"{path}/road_chunks")
+    def cell(name):
+        return F.floor(F.col(name) / cell_deg).cast("int")
+
+    laid = chunks.withColumns({"cell_lat": cell("min_lat"), "cell_lon": cell("min_lon")})
+    laid.repartition("cell_lat", "cell_lon").write.mode("overwrite").partitionBy("cell_lat", "cell_lon").parquet(f"{path}/road_chunks")
+    chunks.agg(
+        F.lit(cell_deg).alias("cell_deg"), F.coalesce(F.max(cell("max_lat") - cell("min_lat")), F.lit(0)).alias("reach_lat"),
+        F.coalesce(F.max(cell("max_lon") - cell("min_lon")), F.lit(0)).alias("reach_lon"),
+    ).write.mode("overwrite").parquet(f"{path}/layout")
     localities.write.mode("overwrite").parquet(f"{path}/localities")
 
 
 def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("roads", "road_chunks", "localities"))
+    roads, chunks, localities = (spark.read.parquet(f"{path}/{t}") for t in ("roads", "road_chunks", "localities"))
+    return roads, chunks.drop("cell_lat", "cell_lon"), localities
+
+
+def read_chunks_in_box(spark: SparkSession, path: str, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> DataFrame:
+    """Road chunks of a stored map whose bounding box touches a box; only cells that reach it are read."""
+    layout = spark.read.parquet(f"{path}/layout").first()
+    def cells(low: float, high: float, reach: int) -> tuple[int, int]:
+        return math.floor(low / layout.cell_deg) - reach, math.floor(high / layout.cell_deg)
+
+    chunks = spark.read.parquet(f"{path}/road_chunks").where(
+        F.col("cell_lat").between(*cells(min_lat, max_lat, layout.reach_lat))
+        & F.col("cell_lon").between(*cells(min_lon, max_lon, layout.reach_lon))
+    )
+    return chunks_in_box(chunks, min_lat, max_lat, min_lon, max_lon).drop("cell_lat", "cell_lon")
