@@ -1,3 +1,6 @@
+import math
+import time
+
 import pytest
 
 from trackloom.llm.extraction import content_paths, extract, main_text, parse
@@ -66,3 +69,61 @@ def test_names_and_regions_do_not_outweigh_the_text(page):
 
 def test_a_short_article_is_not_outweighed_by_a_long_footer():
     assert main_text(f"<article><p>Short, but whole.</p></article><footer>{TEXT}</footer>") == "Short, but whole."
+
+
+ARTICLE = "<p>First sentence, of some length. And another, longer one.</p><p>Second paragraph, with a comma.</p>"
+WHOLE = "First sentence, of some length. And another, longer one.\nSecond paragraph, with a comma."
+
+
+@pytest.mark.parametrize("page", [
+    f"<svg-icon></svg-icon><article>{ARTICLE}</article>", f"<select-box>x</select-box><article>{ARTICLE}</article>",
+    f"<article><svg width=1 />{ARTICLE}</article>", f"<article><math/>{ARTICLE}</article>", f"<title-bar/><article>{ARTICLE}</article>",
+    "<article>" + ARTICLE.replace("<p>F", '<p title="a hidden gem">F') + "</article>",
+    "<article>" + ARTICLE.replace("<p>F", '<p data-id="related" data-class=nav>F') + "</article>",
+    "<article>" + ARTICLE.replace("<p>F", '<p title="a > b" class=\'x\'>F') + "</article>",
+    "<article>" + ARTICLE.replace("<p>F", '<p title="unclosed>F') + "</article>",
+])
+def test_names_that_only_look_like_boilerplate_keep_the_text(page):
+    assert main_text(page) == WHOLE
+
+
+def test_hidden_text_is_still_dropped():
+    for attribute in ("hidden", "hidden=''", "aria-hidden='TRUE'", "style='color:red; display : none'", "class=nav", "id=related", "role=banner"):
+        assert main_text(f"<article>{ARTICLE}<p {attribute}>Gone, all of it.</p></article>") == WHOLE
+
+
+@pytest.mark.parametrize("page", [
+    '<a"' * 333_000, '<a">' * 250_000, "<a \"'>" * 170_000, "<b>word, " * 125_000, "<div>word, " * 100_000, "<i><p>" + "<b>" * 80_000 + "</i>" * 80_000,
+    "<" * 1_000_000, "<script>" * 120_000, "<![CDATA[" * 100_000, "<!--" * 250_000, "<p " + "a=\"x' " * 140_000 + ">t", "<ul><li>a, " * 80_000,
+], ids=range(12))
+def test_hostile_markup_takes_time_in_proportion(page):
+    """A megabyte each; the time limit leaves room for a busy machine."""
+    begin = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - begin < 20
+
+
+def ratio_paths(nodes):
+    """Content paths by the ratios, written out plainly."""
+    sums = {}
+    for node in nodes:
+        text = "".join(node.text.split())
+        chars, marks, count = sums.get(node.element.path, (0, 0, 0))
+        sums[node.element.path] = chars + len(text), marks + sum(c in ".,;:!?…。，、！？；：" for c in text), count + 1
+    def smooth(values):
+        return [values[max(i - 1, 0)] / 4 + values[i] / 2 + values[min(i + 1, len(values) - 1)] / 4 for i in range(len(values))]
+
+    lengths = smooth([sums[n.element.path][0] / sums[n.element.path][2] for n in nodes])
+    marks = smooth([(sums[n.element.path][1] + 0.5) / sums[n.element.path][2] for n in nodes])
+    fused = [a * b for a, b in zip(lengths, marks)]
+    spread = math.sqrt(sum((f - sum(fused) / len(fused)) ** 2 for f in fused) / len(fused))
+    means = {p: [f for n, f in zip(nodes, fused) if n.element.path == p] for p in sums}
+    return {p for p, values in means.items() if sum(values) / len(values) >= spread / 2}
+
+
+def test_ratios_equal_a_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    for page in pages[:100]:
+        nodes = [n for n in parse(page.html) if not n.text.isspace()]
+        if nodes:
+            assert content_paths(nodes) == ratio_paths(nodes)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,13 +67,13 @@ BOILERPLATE_NAMES = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_EVENT = re.compile("""["'>]""")
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW.split("|")}
+#: Elements of other languages inside a page: there a slash does close a tag.
+FOREIGN = frozenset(("svg", "math"))
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s=>/]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
@@ -80,11 +81,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 class Element:
     """An open or closed element: its name, path, place in the tree, and whether it is boilerplate.
 
-    ``marks`` are the reasons to call it boilerplate, its own and those of the elements around it.
+    A path is a number that stands for the path of the parent and the element's own label. ``marks`` are the reasons to call it boilerplate, its own and those of the elements around it.
     """
 
     name: str
-    path: str
+    path: int
     parent: Element | None
     marks: frozenset[tuple[str, str]]
     regions: dict[str, Element]  # the outermost article and the outermost main element around it
@@ -101,18 +102,22 @@ class Node:
     text: str
 
 
-def _element(name: str, attributes: str, parent: Element | None) -> Element:
-    names, role = [], ""
-    for kind, *values in _NAMED.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if kind.lower() == "role":
-            role = value
-        else:
-            names += value.split()
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lowercase name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
+def _element(name: str, attributes: str, parent: Element | None, paths: dict[tuple[int, str], int]) -> Element:
+    given = _attributes(attributes) if attributes else {}
+    names = [n for kind in given if kind in ("class", "id") for n in given[kind].lower().split()]
+    role = given.get("role", "").lower()
     marks = {("element", name)} if name in BOILERPLATE else set()
     if role in BOILERPLATE_ROLES:
         marks.add(("role", role))
-    if _HIDDEN.search(attributes):
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(given.get("style", "")):
         marks.add(("hidden", ""))
     for n in names:
         if n in BOILERPLATE_NAMES:
@@ -122,64 +127,138 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
     if name in ("body", "html", "main"):  # "has-sidebar" and the like describe the page, not a part of it
         marks = set()
     label = name if not names else f"{name}.{'.'.join(sorted(names))}"
-    path = label if parent is None else f"{parent.path}/{label}"
-    element = Element(name, path, parent, parent.marks | marks if parent else frozenset(marks), {}, parent.depth + 1 if parent else 0)
-    element.regions = dict(parent.regions) if parent else {}
+    path = paths.setdefault((parent.path if parent else -1, label), len(paths))
+    # marks and regions are shared with the parent where the element adds none
+    inherited = parent.marks if parent else frozenset()
+    element = Element(name, path, parent, inherited | marks if marks else inherited, parent.regions if parent else {}, parent.depth + 1 if parent else 0)
     for region in REGIONS:
-        if region in (name, role):
-            element.regions.setdefault(region, element)
+        if region in (name, role) and region not in element.regions:
+            element.regions = {**element.regions, region: element}
     return element
 
 
+class Ends:
+    """Where tags end: at the first ``>`` outside quotes, for any start, after one pass over the page.
+
+    From behind, each quote and ``>`` is told where a tag ends that meets it outside of quotes, within
+    double ones, or within single ones.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.places = [m.start() for m in _EVENT.finditer(page)]
+        self.outside = [-1] * (len(self.places) + 1)
+        double = single = -1
+        for i in range(len(self.places) - 1, -1, -1):
+            sign, after = page[self.places[i]], self.outside[i + 1]
+            if sign == ">":
+                self.outside[i] = self.places[i]
+            elif sign == '"':
+                self.outside[i], double = double, after
+            else:
+                self.outside[i], single = single, after
+
+    def of(self, at: int) -> int:
+        """End of a tag whose name ends at ``at``; an unclosed quote is read as text; -1 if there is no ``>``."""
+        end = self.outside[bisect_left(self.places, at)]
+        return end if end >= 0 else self.page.find(">", at)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
+    """(begin, end, name, closes, attributes, text) of everything between the text of a page.
+
+    Comments, declarations and elements whose content is no text have no name; CDATA has a text. Every
+    character is looked at a bounded number of times.
+    """
+    ends, at, size = Ends(page), page.find("<"), len(page)
+
+    def upto(mark: str, begin: int) -> int:
+        found = page.find(mark, begin)
+        return size if found < 0 else found + len(mark)
+
+    while at >= 0:
+        following = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = upto("-->", at + 4)
+            yield at, end, "", False, "", ""
+        elif page[at : at + 9].upper() == "<![CDATA[" and (close := page.find("]]>", at + 9)) >= 0:
+            end = close + 3
+            yield at, end, "", False, "", page[at + 9 : close]
+        elif following in ("!", "?"):
+            end = upto(">", at + 2)
+            yield at, end, "", False, "", ""
+        elif (tag := _NAME.match(page, at + 1)) is not None:
+            close = ends.of(tag.end())
+            if close < 0:
+                return
+            name, attributes, end = tag[2].lower(), page[tag.end() : close], close + 1
+            if name in _RAW_END and not tag[1]:
+                if not (name in FOREIGN and attributes.endswith("/")):
+                    last = _RAW_END[name].search(page, end)
+                    end = last.end() if last else size
+                name, attributes = "", ""
+            yield at, end, name, bool(tag[1]), attributes, ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 def parse(page: str) -> list[Node]:
     """Text nodes in page order."""
-    root = _element("html", "", None)
+    paths: dict[tuple[int, str], int] = {}
+    root = _element("html", "", None, paths)
     stack, nodes, block = [root], [], 0
+    # where elements of each name stand in the stack; the nearest block, and the nearest but paragraphs, up to each place
+    places: dict[str, list[int]] = {}
+    walls, other_walls = [0], [0]
 
     def text(raw: str) -> None:
         if raw:
             nodes.append(Node(stack[-1], block, html.unescape(raw)))
 
-    def close(names: tuple[str, ...], until: tuple[str, ...]) -> None:
+    def nearest(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(names: tuple[str, ...], limit: int) -> None:
+        """Close the nearest element of these names and all in it, unless that lies before ``limit``."""
         nonlocal block
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].name in names:
-                block += any(e.name in BLOCK for e in stack[at:])
-                del stack[at:]
-                return
-            if stack[at].name in until:
-                return
+        at = nearest(names)
+        if at and at >= limit:
+            block += any(e.name in BLOCK for e in stack[at:])
+            for element in stack[at:]:
+                places[element.name].pop()
+            del stack[at:], walls[at:], other_walls[at:]
 
     end = 0
-    for token in _TOKEN.finditer(page):
-        text(page[end : token.start()])
-        end = token.end()
-        if token[2]:
-            nodes.append(Node(stack[-1], block, token[2]))
-        name = (token[4] or token[7] or "").lower()
+    for begin, after, name, closes, attributes, inside in tokens(page):
+        text(page[end:begin])
+        end = after
+        if inside:
+            nodes.append(Node(stack[-1], block, inside))
         if not name or name == "html":
             continue
         if name in BLOCK:
             block += 1
-        if token[3] or token[6]:
-            if any(e.name == name for e in stack[1:]):
-                # an inline element does not close the blocks around it
-                limit = () if name in BLOCK else tuple(BLOCK)
-                close((name,), limit)
+        if closes:
+            # an inline element does not close the blocks around it
+            close((name,), 0 if name in BLOCK else walls[-1])
             continue
         if name == "br":
             nodes.append(Node(stack[-1], block, " "))
         if name in VOID:
             continue
         if name in IMPLIED:
-            close(*IMPLIED[name])
+            close(IMPLIED[name][0], nearest(IMPLIED[name][1]))
         elif name in ENDS_PARAGRAPH:
-            close(("p",), tuple(BLOCK - {"p"}))
-        if name == "body" and any(e.name == "head" for e in stack):
-            close(("head",), ())
-        attributes = token[5] or token[8] or ""
+            close(("p",), other_walls[-1])
+        if name == "body":
+            close(("head",), 0)
         if not attributes.endswith("/"):
-            stack.append(_element(name, attributes, stack[-1]))
+            stack.append(_element(name, attributes, stack[-1], paths))
+            here = len(stack) - 1
+            places.setdefault(name, []).append(here)
+            walls.append(here if name in BLOCK else walls[-1])
+            other_walls.append(here if name in BLOCK and name != "p" else other_walls[-1])
     text(page[end:])
     _judge(nodes)
     return nodes
@@ -211,9 +290,9 @@ def _judge(nodes: list[Node]) -> None:
         node.element.boilerplate = not node.element.marks <= void
 
 
-def content_paths(nodes: list[Node]) -> set[str]:
+def content_paths(nodes: list[Node]) -> set[int]:
     """Paths whose smoothed and fused ratios pass the page's threshold."""
-    sums: dict[str, list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for node in nodes:
         found = sums.setdefault(node.element.path, [0, 0, 0])
         words = "".join(node.text.split())
@@ -227,7 +306,7 @@ def content_paths(nodes: list[Node]) -> set[str]:
         return set()
     mean = sum(fused) / len(fused)
     threshold = LEAST_DEVIATION * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    per_path: dict[str, list[float]] = {}
+    per_path: dict[int, list[float]] = {}
     for node, value in zip(nodes, fused):
         per_path.setdefault(node.element.path, []).append(value)
     return {path for path, values in per_path.items() if sum(values) / len(values) >= threshold}
@@ -255,8 +334,9 @@ def main_text(page: str | None) -> str:
         container = _container(content)
         containers = {id(container): container}
     blocks: dict[int, list[str]] = {}
+    known = dict.fromkeys(containers, True)
     for node in nodes:
-        if _below(node.element, containers):
+        if _below(node.element, known):
             blocks.setdefault(node.block, []).append(node.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
@@ -273,20 +353,28 @@ def _container(content: list[Node]) -> Element | None:
     held: dict[int, list] = {}
     for node in content:
         element = node.element
-        while element is not None:
-            held.setdefault(id(element), [element, 0])[1] += len(node.text)
+        # every element is reached once, and its own text is counted where it stands
+        while element is not None and id(element) not in held:
+            held[id(element)] = [element, 0]
             element = element.parent
+        held[id(node.element)][1] += len(node.text)
+    for element, _ in sorted(held.values(), key=lambda h: -h[0].depth):
+        if element.parent is not None:
+            held[id(element.parent)][1] += held[id(element)][1]
     total = sum(len(n.text) for n in content)
     deep = [e for e, size in held.values() if size >= CONTAINER_SHARE * total and (e.name in CONTAINERS or e.parent is None)]
     return max(deep, key=lambda e: e.depth, default=None)
 
 
-def _below(element: Element | None, containers: dict[int, Element]) -> bool:
-    while element is not None:
-        if id(element) in containers:
-            return True
+def _below(element: Element | None, known: dict[int, bool]) -> bool:
+    """Whether an element lies in one of those known to count; what is found on the way is kept."""
+    passed = []
+    while element is not None and id(element) not in known:
+        passed.append(id(element))
         element = element.parent
-    return False
+    found = element is not None and known[id(element)]
+    known.update(dict.fromkeys(passed, found))
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
