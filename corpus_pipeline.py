@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import catalog, mixing, packing, privacy, quality, similarity
 from trackloom.llm.common import stored, table
+from trackloom.session import ship_package
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is stored and read again as the next one's input."""
+    ship_package(spark)  # workers import it wherever they start
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
