@@ -1,4 +1,6 @@
+import random
 import re
+from fractions import Fraction
 
 import pytest
 
@@ -48,6 +50,47 @@ def test_stage_repeats_documents_with_all_columns(documents):
     assert counts["s0"] == pytest.approx(187, abs=2) and counts["s1"] == pytest.approx(75, abs=2) and counts["s2"] == pytest.approx(37, abs=2)
 
 
+def taken_by_hand(rows, weights=(5, 2, 1)):
+    """Words per source by the contract, with exact fractions."""
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: Fraction(weights[i % 3]) for i, s in enumerate(names)}
+    capped, total = {}, Fraction(sum(sizes.values()))
+    while True:
+        open_ = [s for s in names if s not in capped]
+        share = {s: (total - sum(capped.values())) * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        above = {s: Fraction(3 * sizes[s]) for s in open_ if share[s] > 3 * sizes[s]}
+        if not above:
+            return {**capped, **share}
+        capped |= above
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_sources_of_any_size_meet_their_targets_to_the_word(documents, block):
+    rng = random.Random(1)
+    sizes = {"a": 1, "b": 300, "c": 5000, "d": 400_000, "e": 0, None: 3}
+    rows = []
+    for source, left in sizes.items():
+        while left > 0 or source == "e":
+            n = min(left, rng.randint(1, 900))
+            rows.append((len(rows), " ".join(["w"] * n), None, source))
+            left -= n
+            if source == "e":
+                break
+    out = mix(documents(rows), block_tokens=block if block > 1 else 50).toPandas()
+    want = taken_by_hand(rows)
+    assert (out["taken"] <= 3 * out["size"]).all()
+    assert sum(want.values()) == out["taken"].sum()
+    for source, part in out.groupby("source", dropna=False):
+        key = None if source != source else source
+        assert abs(part["taken"].sum() - want[key]) < 1 and part["target"].iloc[0] == pytest.approx(float(want[key]))
+        # every document of a source is taken equally often, but for the one where its line ends
+        times = {t // s for t, s in zip(part["taken"], part["size"]) if s}
+        assert len(times) <= 2 and (not times or max(times) - min(times) <= 1)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None), (2, " \n", None, "s")]])
 def test_nothing_to_take(documents, rows):
     assert [(r.size, r.taken) for r in mix(documents(rows)).collect()] == [(0, 0)] * len(rows)

@@ -7,6 +7,10 @@ a line of tokens in shuffled order; slot r takes the tokens from r to r + 1 bloc
 line, which starts over at its end. Slots and the documents of their blocks meet in a join on
 (source, block).
 
+Every source gives its target to the word: targets are rounded by largest remainder, the last block of
+a source is cut to the words left, slots beyond it are dropped, and the few slots that the schedule's
+rounding leaves short (one, for a source smaller than a block) follow at its end.
+
 Null texts have size 0 and are never taken. Null sources are a source of their own. Repeated rows
 are documents of their own. A mix without any tokens takes nothing. Extra columns are ignored.
 """
@@ -80,6 +84,16 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> li
     return [(source, size, target) for (source, size), target in zip(found, targets)]
 
 
+def whole_targets(targets: list[float]) -> list[int]:
+    """Targets as whole words with the same sum, rounded by largest remainder; none is rounded up from a whole number."""
+    words = [int(t) for t in targets]
+    rest = round(sum(targets)) - sum(words)
+    order = sorted(range(len(targets)), key=lambda i: (words[i] - targets[i], i))
+    for i in order[: max(rest, 0)]:
+        words[i] += targets[i] > words[i]
+    return words
+
+
 def schedule(spark, sources: list[tuple], n_slots: int) -> DataFrame:
     """Slots ``(number, source_no, rank)``: which source each slot of the mix takes, ranked per source.
 
@@ -114,6 +128,16 @@ def schedule(spark, sources: list[tuple], n_slots: int) -> DataFrame:
     )
 
 
+def filled(slots: DataFrame, numbers: DataFrame, block: int) -> DataFrame:
+    """Slots ``(source_no, rank)`` for every block of each source's target: the scheduled ones and those still missing."""
+    wanted = numbers.select("source_no", F.ceil(F.col("words") / block).alias("_blocks"))
+    scheduled = slots.join(wanted, "source_no").where(F.col("rank") < F.col("_blocks")).select("source_no", "rank")
+    counts = slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n"))
+    short = wanted.join(counts, "source_no", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < F.col("_blocks"))
+    missing = short.select("source_no", F.explode(F.sequence(F.col("_n"), F.col("_blocks") - 1)).alias("rank"))
+    return scheduled.unionByName(missing)
+
+
 def token_line(sized: DataFrame) -> DataFrame:
     """Where each document begins on its source's line of tokens (``at``), in shuffled order."""
     hashed = sized.withColumn("_hash", F.xxhash64(F.lit(7), "doc_id", "size"))
@@ -141,8 +165,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_tokens: int
     n_slots = -(-total // block)
 
     numbers = small(spark.createDataFrame(
-        [(s, i, n, float(t)) for i, (s, n, t) in enumerate(sources)],
-        "source string, source_no int, source_size long, target double",
+        [(s, i, n, float(t), w) for i, ((s, n, t), w) in enumerate(zip(sources, whole_targets([t for _, _, t in sources])))],
+        "source string, source_no int, source_size long, target double, words long",
     ), len(sources))
     numbered = sized.withColumnRenamed("source", "_source").join(
         numbers, F.col("_source").eqNullSafe(F.col("source"))
@@ -150,14 +174,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_tokens: int
     line = stored(token_line(numbered))
 
     # A document's copy in pass p covers [p * source_size + at, ... + size) of the unrolled line.
-    slots = schedule(spark, sources, n_slots).select("source_no", F.col("rank").alias("block"))
+    slots = filled(schedule(spark, sources, n_slots), numbers, block).select("source_no", F.col("rank").alias("block"))
     copies = (
         line.where(F.col("size") > 0)
         .withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))))
         .withColumn("_from", F.col("_pass") * F.col("source_size") + F.col("at"))
         .withColumn("_to", F.col("_from") + F.col("size"))
-        # blocks beyond the target by more than the schedule's rounding have no slot
-        .where(F.col("_from") < F.col("target") * 1.05 + 64 * block)
+        # the line ends at the target, within its last block
+        .withColumn("_to", F.least("_to", "words")).where(F.col("_from") < F.col("_to"))
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
     )
     part = F.least(F.col("_to"), (F.col("block") + 1) * block) - F.greatest(F.col("_from"), F.col("block") * block)
