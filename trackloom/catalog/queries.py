@@ -107,8 +107,9 @@ def _trips(df: DataFrame, work, ordering=None) -> DataFrame:
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
-def _documents(spark, folder) -> DataFrame:
-    """Track documents of all trips, some of them broken, built by Spark from the samples."""
+@stage
+def stored_documents(spark, folder):
+    """Folder of the track documents of all trips, some of them broken, written from the samples."""
     samples = track_files.sample_documents(cleaned(spark, folder))
     trip = F.col("trip_id")
     broken = (
@@ -126,9 +127,13 @@ def _documents(spark, folder) -> DataFrame:
         F.lit('"overrides":{"bad_ranges_s":'), ranges, F.lit('},"samples":'), broken,
         F.when(trip % 20 == 10, F.lit("")).otherwise(F.lit("}")),
     )
-    return samples.select(
-        trip.cast("string").alias("file_stem"), F.try_parse_json(text_of).alias("document")
-    )
+    path = f"{shared_folder(spark)}/documents"
+    track_files.write_documents(samples.select(trip.cast("string").alias("file_stem"), text_of.alias("text")), path)
+    return path
+
+
+def _documents(spark, folder) -> DataFrame:
+    return track_files.read_documents(spark, stored_documents(spark, folder), by_folder=True)
 
 
 @query

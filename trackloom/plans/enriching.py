@@ -10,13 +10,12 @@ from trackloom.session import durable
 
 
 def match_tracks(samples: DataFrame, map_roads: DataFrame, chunks: DataFrame, hot=None) -> DataFrame:
-    """Samples of runs with their matched street and road."""
+    """Samples of runs with their matched street and road: ``trip_id, run, seq, t, step_m, street, road_id``."""
     hot = hot or blocks.find_hot_keys(samples, ("trip_id",))
     runs = durable(roads.match_runs(samples, hot=hot))
     cells = durable(roads.road_cells(chunks, map_roads))
     candidates = roads.candidate_costs(runs, cells)
-    matched = roads.match_streets(runs, candidates, blocks.narrower(hot))
-    return runs.join(matched, ["trip_id", "run", "seq"])
+    return roads.match_streets(runs, candidates, blocks.narrower(hot))
 
 
 def enrich(

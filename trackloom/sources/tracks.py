@@ -30,19 +30,27 @@ _ENRICHMENT = (
 _RANGES = "array<array<double>>"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Write document texts ``(file_stem, text)``, one folder per stem. Texts need not be JSON."""
+    documents.select("file_stem", "text").write.partitionBy("file_stem").mode("append").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """Raw documents ``(file_stem, document)``; the document is null when it is not JSON.
 
-    A byte order mark is accepted.
+    A byte order mark is accepted. The stem is the name of the file, or with ``by_folder`` that of its
+    folder, as ``write_documents`` lays them out.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    if by_folder:
+        # a whole file is one value, so a text may hold line breaks
+        files = spark.read.schema("value string, file_stem string").text(path, wholetext=True)
+        stem = F.col("file_stem")
+    else:
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        # File names in the metadata are URL-encoded, except that a plus stands for itself.
+        stem = text.stem(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
     content = F.regexp_replace("value", "^\ufeff", "")
-    # File names in the metadata are URL-encoded, except that a plus stands for itself.
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return files.select(
-        text.stem(name).alias("file_stem"),
-        F.try_parse_json(content).alias("document"),
-    )
+    return files.select(stem.alias("file_stem"), F.try_parse_json(content).alias("document"))
 
 
 def _field(name: str, as_type: str, of: str = "document") -> Column:
