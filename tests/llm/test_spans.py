@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import privacy, secrets
 from trackloom.llm.privacy import ADDED_KINDS, BASE_KINDS, estimate, train
+from trackloom.llm.spans import chunks, cut, larger, let, running
 
 PIECES = [
     "a@b.com", "_x@y.org", ".", "..", " ", "-", "--", "1", "23", "4111111111111111", "4111 1111 1111 1111", "4111-1111--1111", "1.2.3.4",
@@ -146,3 +148,51 @@ def test_cards_whose_digits_are_all_apart(documents):
     assert [got[i].n_card for i in range(len(cards))] == [1] * len(cards)
     assert [got[i].spans for i in range(len(cards))] == [f"card:4:{4 + len(c)}" for c in cards]
     assert {r.text for r in privacy.redact(docs).collect()} == {"pay <CARD> now"}
+
+
+def test_running_values(spark):
+    row = spark.range(1).select(
+        *(running(F.array(*(F.lit(x) for x in range(1, n + 1))), lambda a, b: a + b, F.lit(0)).alias(f"s{n}") for n in (1, 2, 3, 7, 8, 9)),
+        running(F.array().cast("array<int>"), larger, F.lit(0)).alias("none"),
+        running(F.array(*(F.lit(x) for x in (3, 1, 4, 1, 5, 2))), larger, F.lit(0)).alias("most"),
+    ).first()
+    assert all(row[f"s{n}"] == [k * (k + 1) // 2 for k in range(1, n + 1)] for n in (1, 2, 3, 7, 8, 9))
+    assert row["none"] == [] and row["most"] == [3, 3, 4, 4, 5, 5]
+
+
+def test_parts_of_a_text_in_pieces(spark):
+    text = "".join(random.Random(1).choices("aé😀\nz", k=1000))
+    places = [(a, n) for a in (0, 1, 255, 256, 257, 511, 512, 999, 1000) for n in (0, 1, 255, 256, 600) if a + n <= 1000]
+
+    def part(a, n):
+        return lambda pieces: cut(pieces, F.lit(a), F.lit(n))
+
+    row = spark.createDataFrame([(text,)], "text string").select(
+        F.array(*(let(chunks(F.col("text")), part(a, n)) for a, n in places)).alias("parts")
+    ).first()
+    assert row["parts"] == [text[a : a + n] for a, n in places]
+
+
+@pytest.mark.parametrize("unit", [f"{'0123456789abcdef' * 2} ", "a@b.cc ", "(212) 555-1234 a@b.cc "])
+def test_texts_of_very_many_matches(documents, unit):
+    text = "é" + unit * 100_000
+    docs = documents([(1, text, None, None), (2, "call (212) 555-1234 é", None, None)])
+    began = time.monotonic()
+    got = {r.path: r for r in secrets.digest(secrets.findings(*secrets.scan_versions(versions(docs)))).collect()}[1]
+    assert got.base_sha256 == hashlib.sha256(",".join(base(text, SECRET, True)).encode()).hexdigest()
+    got = {r.doc_id: r for r in privacy.digest(privacy.find(docs)).collect()}[1]
+    assert got.base_sha256 == hashlib.sha256(",".join(base(text, PERSONAL, False)).encode()).hexdigest()
+    assert len(got.spans.split(",")) == {"(": 200_000, "a": 100_000, "0": 1}[unit[0]]
+    clean = {r.doc_id: r.text for r in privacy.redact(docs).collect()}[1]
+    assert clean == "é" + unit.replace("(212) 555-1234", "<LOCAL_PHONE>").replace("a@b.cc", "<EMAIL>") * 100_000
+    assert time.monotonic() - began < 120
+
+
+def test_overlapping_spans_are_replaced_together(documents):
+    rows = [(i, f"card +1 4111 1111 1111 1111 or mail {i}@b.cc", None, None) for i in range(30)]
+    rows += [(100, "call +1 202 555 0101.2.3.4 now", None, None)]
+    spans = {r.doc_id: r.spans for r in privacy.digest(privacy.find(documents(rows))).collect()}[100]
+    text = {r.doc_id: r.text for r in privacy.redact(documents(rows)).collect()}[100]
+    places = [tuple(map(int, s.split(":")[1:])) for s in spans.split(",")]
+    assert len(places) == 2 and places[0][1] > places[1][0] or places[1][1] > places[0][0]
+    assert not any(c.isdigit() for c in text) and text.startswith("call <") and text.endswith("> now")

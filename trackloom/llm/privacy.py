@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import stored
-from trackloom.llm.spans import MARK, found, joined, listed
+from trackloom.llm.spans import MARK, chunks, cut, found, joined, let, larger, listed, running, smaller
 
 # The base patterns, with separators inside a run marked where a group would repeat.
 _LOCAL = rf"[A-Za-z0-9._%+{MARK}-]"
@@ -107,9 +107,9 @@ def matches(text: Column) -> dict[str, Column]:
     dotted = F.when(text.contains("@"), joined(text, "[A-Za-z0-9-]", r"\.", "[A-Za-z0-9-]")).otherwise("")
     number = F.when(text.rlike("[0-9](?:[ -]?[0-9]){15}"), joined(text, "[0-9]", "[ -]", "[0-9]")).otherwise("")
     return {
-        "email": found(dotted, EMAIL, text),
+        "email": found(dotted, EMAIL, "."),
         "ip": found(text, IP),
-        "card": found(number, CARD, text),
+        "card": found(number, CARD, "-"),  # only the digits count
         "phone": found(text, PHONE, when=text.contains("+")),
         "spelled": found(text, SPELLED, when=text.rlike("(?i)[(\\[]at[)\\]]")),
         "local_phone": found(text, LOCAL_PHONE, when=text.rlike("[0-9]{3}[.-][0-9]{4}")),
@@ -120,11 +120,11 @@ def matches(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """All candidates of a text: (kind, start, end, base, check, gazetteer, context, borders)."""
 
-    def voter(number: int, kind: str):
+    def voter(number: int, kind: str, pieces: Column):
         def voted(s: Column) -> Column:
             first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.lower(F.substring(text, first + 1, s["start"] - first))
-            around = F.concat(F.right(before, F.lit(1)), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(1)))
+            before = F.lower(cut(pieces, first, s["start"] - first))
+            around = F.concat(F.right(before, F.lit(1)), F.lit(" "), cut(pieces, s["end"], F.lit(1)))
             passes = _check(kind, s["text"]) if kind in BASE_KINDS else F.lit(False)
             context = F.when(before.rlike(rf"\b(?:{AGAINST_WORDS})\W{{0,3}}$"), -1).when(
                 before.rlike(rf"\b(?:{FOR_WORDS[kind]})\b"), 1
@@ -140,7 +140,13 @@ def candidates(text: Column) -> Column:
 
         return voted
 
-    return F.concat(*(F.transform(spans, voter(n, kind)) for n, (kind, spans) in enumerate(matches(text).items())))
+    def voted(kind: str, number: int, spans: Column) -> Column:
+        # most texts have no match of a kind and are not cut into pieces
+        return let(spans, lambda all_spans: let(
+            F.when(F.size(all_spans) > 0, chunks(text)), lambda pieces: F.transform(all_spans, voter(number, kind, pieces))
+        ))
+
+    return F.concat(*(voted(kind, n, spans) for n, (kind, spans) in enumerate(matches(text).items())))
 
 
 def vote_counts(found_candidates: DataFrame) -> dict[Votes, int]:
@@ -225,11 +231,27 @@ def train(counts: dict[Votes, int], posterior: dict[Votes, float], steps: int =
 
 def accepted(found_candidates: Column, model: SpanClassifier) -> Column:
     """Base spans, and other candidates that the classifier accepts and that meet no base span."""
-    base = F.filter(found_candidates, lambda c: c["base"])
-    added = F.filter(found_candidates, lambda c: ~c["base"] & model.accepts(c) & ~F.exists(
-        base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
-    ))
-    return F.array_sort(F.concat(base, added))
+    none = F.lit(2**31 - 1)
+    chosen = F.filter(found_candidates, lambda c: c["base"] | model.accepts(c))
+
+    def free(base: Column, added: Column) -> Column:
+        # in the order of starts an added span meets an earlier base span by the largest end so far, and
+        # a later one by the smallest start to come
+        return let(F.array_sort(F.transform(F.concat(base, added), lambda c: F.struct(c["start"].alias("at"), c.alias("c")))), lambda rows: F.filter(
+            F.arrays_zip(
+                rows.alias("row"),
+                running(F.transform(rows, lambda r: F.when(r["c"]["base"], r["c"]["end"]).otherwise(0)), larger, F.lit(0)).alias("ended"),
+                F.reverse(running(F.reverse(F.transform(rows, lambda r: F.when(r["c"]["base"], r["at"]).otherwise(none))), smaller, none)).alias("begins"),
+            ),
+            lambda z: ~z["row"]["c"]["base"] & (z["ended"] <= z["row"]["at"]) & (z["begins"] >= z["row"]["c"]["end"]),
+        ))
+
+    def merged(rows: Column) -> Column:
+        base, added = F.filter(rows, lambda c: c["base"]), F.filter(rows, lambda c: ~c["base"])
+        apart = F.transform(free(base, added), lambda z: z["row"]["c"])
+        return F.array_sort(F.when((F.size(added) == 0) | (F.size(base) == 0), rows).otherwise(F.concat(base, apart)))
+
+    return let(chosen, merged)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -254,6 +276,7 @@ def digest(found_spans: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, and ``n_chars`` to match.
 
+    Spans that overlap are replaced together, so that no part of one stays.
     Texts without personal data stay as they are. The classifier learns from all of ``docs`` first;
     the spans are then found again next to the text, so that no text is shuffled.
     """
@@ -266,15 +289,24 @@ def redact(docs: DataFrame) -> DataFrame:
             s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")
         )))
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_pii_spans", start, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-        s["end"].alias("at"),
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"),
-    )))
-    clean = F.concat(F.col("_pii_cut.out"), F.substring(text, F.col("_pii_cut.at") + 1, F.length(text)))
-    changed = staged.withColumn("_pii_cut", F.when(F.size("_pii_spans") > 0, cut)).withColumn(
-        "text", F.when(F.col("_pii_cut").isNotNull(), clean).otherwise(F.col("text"))
-    )
+
+    def named(spans: Column) -> Column:
+        # spans that meet become one, named by the first: a span opens one if all before it have ended
+        ends = running(F.transform(spans, lambda s: s["end"]), larger, F.lit(0))
+        return let(ends, lambda ended: let(F.zip_with(
+            spans, F.concat(F.array(F.lit(0)), F.slice(ended, 1, F.size(ended) - 1)),
+            lambda s, before: F.struct(s["start"].alias("start"), before.alias("before"), s["kind"].alias("kind")),
+        ), lambda rows: F.filter(rows, lambda r: r["start"] >= r["before"])))
+
+    def replaced(spans: Column, pieces: Column) -> Column:
+        parts = F.transform(named(spans), lambda r: F.concat(
+            cut(pieces, r["before"], r["start"] - r["before"]), F.lit("<"), F.upper(r["kind"]), F.lit(">")
+        ))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), cut(pieces, last, F.length(text) - last))
+
+    clean = let(chunks(text), lambda pieces: replaced(F.col("_pii_spans"), pieces))
+    changed = staged.withColumn("text", F.when(F.size("_pii_spans") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,6 +1,7 @@
 """Pattern matches and their places as column expressions, without leaving the JVM.
 
-A text is split at its matches; the lengths of the pieces and of the matches give the places.
+A text is split at its matches; running sums of the lengths of the pieces and of the matches give the
+places, in a time that grows with the matches times their logarithm.
 Places are code points, ends exclusive. Patterns hold no group that repeats without bound: the JVM
 matches those by recursion, and a long text would exhaust its stack. Where a rule needs one, the
 separators inside a run are first replaced by a mark of the same length (``joined``).
@@ -8,11 +9,15 @@ separators inside a run are first replaced by a mark of the same length (``joine
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Stands for a separator between two characters of a run; a text's own marks become another one.
 MARK, OWN_MARK = "\u0001", "\u0002"
+#: Characters of one piece of a text that is cut at many places.
+CHUNK = 256
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -23,34 +28,72 @@ def joined(text: Column, before: str, separators: str, after: str) -> Column:
     )
 
 
-def found(text: Column, pattern: str, source: Column | None = None, when: Column | None = None) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], neutral: Column) -> Column:
+    """``op`` over each value and all before it, for an associative ``op`` with a neutral value.
+
+    Every round combines each value with the one 1, 2, 4, .. places before it, so that m values take
+    about m * log(m) steps.
+    """
+
+    def doubled(a: Column, j: Column) -> Column:
+        by = F.least(F.call_function("shiftleft", F.lit(1), j), F.size(a))
+        return F.zip_with(F.concat(F.array_repeat(neutral, by), F.slice(a, 1, F.size(a) - by)), a, op)
+
+    # as many rounds as the number of values has binary digits
+    return let(values, lambda v: F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(v)))), v, lambda a, j: doubled(a, j - 1)))
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def chunks(text: Column) -> Column:
+    """A text in pieces of ``CHUNK`` characters, from which ``cut`` takes parts."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, length: Column) -> Column:
+    """The part of a text in ``chunks`` from a place on, without walking the text from its start."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((start + length) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length)
+
+
+def found(text: Column, pattern: str, separator: str | None = None, when: Column | None = None) -> Column:
     """All matches, leftmost first and not overlapping, as an array of (start, end, text).
 
-    ``text`` is searched; the matched texts are cut from ``source``, of the same length, if given.
-    ``when`` is a cheap condition that must hold for any match; elsewhere nothing is searched.
+    ``separator`` takes the place of each ``MARK`` in the matched texts, where the searched text is
+    ``joined``. ``when`` is a cheap condition that must hold for any match; elsewhere nothing is
+    searched.
     """
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # one entry per match: the length of the piece before it, and its own
-    steps = F.zip_with(
-        F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("take"))
-    )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    places = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["take"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["take"]).alias("end")
-            ))).alias("out"),
-        ),
-    )["out"]
-    cut = text if source is None else source
-    spans = F.transform(places, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.substring(cut, s["start"] + 1, s["end"] - s["start"]).alias("text")
-    ))
-    condition = text.rlike(pattern) if when is None else when & text.rlike(pattern)
-    return F.when(F.coalesce(condition, F.lit(False)), spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+    def placed(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: spans(
+            # one entry per match: the length of the piece before it, and the match
+            F.zip_with(F.slice(F.split(t, pattern, -1), 1, F.size(m)), m, lambda p, x: F.struct(F.length(p).alias("skip"), x.alias("text")))
+        ))
+
+    def spans(steps: Column) -> Column:
+        return let(steps, lambda all_steps: F.zip_with(
+            running(F.transform(all_steps, lambda x: x["skip"] + F.length(x["text"])), lambda a, b: a + b, F.lit(0)), all_steps,
+            lambda end, x: F.struct(
+                (end - F.length(x["text"])).alias("start"), end.alias("end"),
+                (F.translate(x["text"], MARK, separator) if separator else x["text"]).alias("text"),
+            ),
+        ))
+
+    empty = F.array().cast(SPAN)
+    searched = let(text, lambda t: F.when(t.rlike(pattern), placed(t)).otherwise(empty))
+    return (searched if when is None else F.when(F.coalesce(when, F.lit(False)), searched).otherwise(empty)).cast(SPAN)
 
 
 def listed(spans: Column) -> Column:
