@@ -57,6 +57,33 @@ def test_nearest_codes_equal_brute_force(vectors, monkeypatch, block):
     assert result(hamming.search(vectors(rows), 20, 20)) == brute(rows, 20, lambda m, q: ((m > 0) != (q > 0)).sum(axis=1))
 
 
+def test_vectors_of_each_length_are_searched(vectors):
+    rng = np.random.default_rng(7)
+    short = [(5000 + i, rng.standard_normal(3).tolist()) for i in range(45)]
+    got = result(neighbours.search(vectors(table() + short), 20, 20))
+    codes = result(hamming.search(vectors(table() + short), 20, 20))
+    assert {q for q in got if q >= 5000} == {q for q in codes if q >= 5000} == {5000, 5020, 5040}
+    ids, matrix = np.array([i for i, _ in short]), np.array([v for _, v in short])
+    for q in (5000, 5020, 5040):
+        own = matrix[q - 5000]
+        for measure, lists in ((-(matrix @ own), got), (((matrix > 0) != (own > 0)).sum(axis=1), codes)):
+            assert lists[q] == [int(ids[j]) for j in np.lexsort((ids, measure)) if ids[j] != q][:20]
+    assert all(i < 5000 for q, found in got.items() if q < 5000 for i in found)
+
+
+def test_many_blocks_meet_in_many_tasks_and_settings_stay(spark, vectors, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK", 32)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", 8)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), table()
+    want = brute(rows, 20, lambda m, q: ((m > 0) != (q > 0)).sum(axis=1))
+    for tasks in (8_192, 3):
+        monkeypatch.setattr(hamming, "TASKS", tasks)
+        assert result(hamming.search(vectors(rows), 20, 20)) == want
+    neighbours.search(vectors(rows), 20, 20)
+    assert spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("rows", [[], [(20, [1.0, 2.0])], [(20, None), (40, [0.0])]])
 def test_too_few_vectors(vectors, rows):
     assert neighbours.search(vectors(rows), 20, 20).count() == 0 and hamming.search(vectors(rows), 20, 20).count() == 0

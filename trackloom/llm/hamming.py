@@ -9,7 +9,8 @@ verified distance is at most r: then nothing outside can be nearer or tie.
 Distinct codes are cut into blocks, and so are distinct query codes; every pair of blocks is searched
 exactly on its own and the lists are merged. Codes shared by many rows are searched once.
 
-Codes are the signs of the first 64 components (1 where positive). Ties in distance go to the smaller
+Codes are the signs of the first 64 components (1 where positive); vectors of each length are searched
+by themselves. Ties in distance go to the smaller
 id. Invalid vectors take no part (see ``valid_vectors``). An empty
 table gives no rows. Extra columns are ignored.
 """
@@ -24,13 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import small_batches, stored
+from trackloom.llm.common import bounded_batches, stored
 from trackloom.llm.similarity import by_group
-from trackloom.llm.vectors import ranked, valid_vectors, with_copies
+from trackloom.llm.vectors import each_length, ranked, valid_vectors, with_copies
 
 BITS = 64
 BLOCK = 16_384
 QUERY_BLOCK = 4_096
+#: Tasks that the pairs of blocks are spread over at most; a task takes pairs of the same codes together.
+TASKS = 8_192
 #: Values of one vectorised probe at most, so that memory stays bounded.
 PROBES = 2_000_000
 
@@ -135,26 +138,37 @@ def packed(codes: DataFrame, id_column: str, block: int, name: str) -> tuple[Dat
 
 def search(vectors: DataFrame, k: int, every: int) -> DataFrame:
     """``(query_id, rank, vec_id, distance)``: nearest codes of every row whose id is divisible by ``every``."""
-    rows = stored(valid_vectors(vectors).select("vec_id", sign_code("embedding").alias("code")))
+    rows = stored(valid_vectors(vectors).select("vec_id", sign_code("embedding").alias("code"), F.size("embedding").alias("length")))
+    return each_length(rows, F.col("length"), lambda own: search_codes(own.select("vec_id", "code"), k, every))
+
+
+def search_codes(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """The search over ``(vec_id, code)`` rows."""
+    spark = rows.sparkSession
     copies = stored(with_copies(rows, "code", k))
     reps = copies.where("vec_id = rep").select("rep", "code")
     queries = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").join(reps, "code").select(
         "query_id", F.col("rep").alias("query_rep"), "code"
     )
     asked = queries.select("query_rep", "code").distinct()
-    small_batches(vectors.sparkSession)
-    row_blocks, count = packed(reps, "rep", BLOCK, "row_block")
-    query_blocks, _ = packed(asked, "query_rep", QUERY_BLOCK, "query_block")
+    with bounded_batches(spark):
+        row_blocks, count = packed(reps, "rep", BLOCK, "row_block")
+        query_blocks, query_count = packed(asked, "query_rep", QUERY_BLOCK, "query_block")
+    tasks = min(count * query_count, TASKS)
     # every block of codes meets every block of the stated queries: blocks, not rows, are paired
+    number = F.col("row_block") * query_count + F.col("query_block")
     pairs = query_blocks.select(
-        F.col("ids").alias("query_ids"), F.col("codes").alias("query_codes"),
+        F.col("ids").alias("query_ids"), F.col("codes").alias("query_codes"), "query_block",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("row_block"),
-    ).join(row_blocks, "row_block")
+    ).join(row_blocks, "row_block").select("row_block", "ids", "codes", "query_ids", "query_codes", F.floor(number * tasks / (count * query_count)).cast("int").alias("task"))
+    spread = pairs.repartitionById(tasks, F.col("task")).sortWithinPartitions("row_block").drop("task")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, index = None, None
         for batch in batches:
             for row in batch.itertuples():
-                index = MultiIndex(np.frombuffer(row.codes, np.uint64))
+                if row.row_block != block:
+                    block, index = row.row_block, MultiIndex(np.frombuffer(row.codes, np.uint64))
                 query, code, distance = index.search(np.frombuffer(row.query_codes, np.uint64), k + 1)
                 ids = np.frombuffer(row.ids, np.int64)[code]
                 # the smallest ids among ties; a list never needs more than k + 1 codes
@@ -166,6 +180,6 @@ def search(vectors: DataFrame, k: int, every: int) -> DataFrame:
                     "query_rep": np.frombuffer(row.query_ids, np.int64)[query[best]], "rep": ids[best], "distance": distance[best],
                 })
 
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are whole blocks
-    found = stored(pairs.select("ids", "codes", "query_ids", "query_codes").mapInPandas(run, "query_rep long, rep long, distance long"))
+    with bounded_batches(spark, rows=8):  # rows are whole blocks
+        found = stored(spread.mapInPandas(run, "query_rep long, rep long, distance long"))
     return ranked(found, queries.select("query_id", "query_rep"), copies, k, F.col("distance"), "distance")

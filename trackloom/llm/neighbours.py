@@ -10,7 +10,7 @@ each window of the first curve has a centre and a radius, which bound the inner
 windows that may hold something better than a query's k-th find so far are read, all others are not.
 The result is exact.
 
-Equal vectors are searched once. Ties go to the smaller id. Invalid vectors take no part (see
+Equal vectors are searched once, and vectors of each length by themselves. Ties go to the smaller id. Invalid vectors take no part (see
 ``valid_vectors``). An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import small_batches, stored
+from trackloom.llm.common import bounded_batches, stored
 from trackloom.llm.similarity import by_group
-from trackloom.llm.vectors import ranked, valid_vectors, with_copies
+from trackloom.llm.vectors import each_length, ranked, valid_vectors, with_copies
 
 CURVES = 4
 DIMENSIONS = 6
@@ -218,10 +218,8 @@ def exact_check(placed: DataFrame, asked: DataFrame, bounds: DataFrame, k: int)
                     q, c = q[good], c[good]
                     yield pd.DataFrame({"query_rep": asks[part[q]], "rep": ids[c], "score": scores[q, c]})
 
-    placed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are whole blocks
-    found = stored(pairs.drop("window").mapInPandas(run, "query_rep long, rep long, score double"))
-    small_batches(placed.sparkSession)
-    return found
+    with bounded_batches(placed.sparkSession, rows=8):  # rows are whole blocks
+        return stored(pairs.drop("window").mapInPandas(run, "query_rep long, rep long, score double"))
 
 
 def search(vectors: DataFrame, k: int, every: int, exact: bool = True) -> DataFrame:
@@ -229,9 +227,13 @@ def search(vectors: DataFrame, k: int, every: int, exact: bool = True) -> DataFr
 
     With ``exact=False`` the windows' finds are ranked as they are.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
     rows = stored(valid_vectors(vectors))
+    with bounded_batches(vectors.sparkSession):
+        return each_length(rows, F.size("embedding"), lambda own: search_vectors(own, k, every, exact))
+
+
+def search_vectors(rows: DataFrame, k: int, every: int, exact: bool) -> DataFrame:
+    """The search over valid ``(vec_id, embedding)`` rows of one length."""
     copies = stored(with_copies(rows, "embedding", k))
     reps = copies.where("vec_id = rep").select("rep", "embedding")
     sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect()
@@ -239,7 +241,7 @@ def search(vectors: DataFrame, k: int, every: int, exact: bool = True) -> DataFr
         "query_id", F.col("rep").alias("query_rep")
     ))
     if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = queries.select("query_rep").distinct()
     frames = curve_frames(np.array([r["embedding"] for r in sample], np.float64))
     placed = stored(windows(with_keys(reps, frames)))

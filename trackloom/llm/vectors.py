@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +12,21 @@ from pyspark.sql import functions as F
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """``(vec_id, embedding)`` rows that take part: no null, zero or non-finite vector, no null id.
 
-    Vectors compare with vectors of their own length only; those of another length than the
-    commonest one (the longest of several) take no part. Repeated rows count once.
+    Vectors compare with vectors of their own length only (``each_length``). Repeated rows count once.
     """
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = (
+    return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-        .where(finite & F.exists("embedding", lambda x: x != 0))
+        .where(finite & F.exists("embedding", lambda x: x != 0)).distinct()
     )
-    common = rows.groupBy(F.size("embedding").alias("_n")).count().orderBy(F.desc("count"), F.desc("_n")).first()
-    return rows.where(F.size("embedding") == (common["_n"] if common else 0)).distinct()
+
+
+def each_length(rows: DataFrame, length: Column, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of a search within the rows of each length; a table has few lengths, mostly one."""
+    lengths = sorted(r[0] for r in rows.select(length).distinct().collect())
+    return reduce(DataFrame.unionByName, [search(rows.where(length == n)) for n in lengths] or [search(rows)])
 
 
 def with_copies(rows: DataFrame, key: str, k: int) -> DataFrame:
