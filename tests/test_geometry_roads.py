@@ -204,3 +204,51 @@ def test_nearest_sample_and_digest_of_long_trips(spark, samples):
     short = roads.samples_digest(samples)
     assert rows(roads.samples_digest(samples, span_s=100_000)) == rows(short)
     assert rows(roads.samples_digest(samples, span_s=16)) == rows(short)
+
+
+# --- maps and localities of any size ----------------------------------------------------------------
+
+
+def test_no_map_table_is_collected_by_the_driver(spark):
+    """Exploded sides look small to Spark, so it used to broadcast all nodes of a map."""
+    ways = derived.road_ways(spark, SMALL)
+    points = roads.resolve_points(roads.named_roads(ways), derived.road_nodes(spark, SMALL))
+    assert "Broadcast" not in points._jdf.queryExecution().executedPlan().toString()
+    large = roads._broadcast_if_small(points, 0)
+    joined = ways.select(F.col("id").alias("way_id")).join(large, "way_id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flat_maps_go_on_beyond_the_poles(spark):
+    ways = spark.createDataFrame(
+        [(1, {"highway": "primary", "name": "Main"}, [1, 2, 3])], "id bigint, tags map<string,string>, nodes array<bigint>"
+    )
+    nodes = spark.createDataFrame(
+        [(1, 89.9, 24.0, {}), (2, 90.0, 24.0, {}), (3, 90.1, 24.0, {})], "id bigint, lat double, lon double, tags map<string,string>"
+    )
+    named = roads.named_roads(ways)
+    assert [len(r.points) for r in roads.resolve_points(named, nodes).collect()] == [2]
+    assert [len(r.points) for r in roads.resolve_points(named, nodes, on_globe=False).collect()] == [3]
+
+
+def test_localities_anywhere_agree_with_brute_force(spark):
+    """Near a pole, beyond it, across the antimeridian and a turn further round."""
+    spots = [(89.995, 24.0), (90.004, 10.0), (-89.99, 100.0), (49.8, 179.999), (409.8, 24.0), (49.8, 24.1), (130.201, -150.0)]
+    asked = [(89.995, 28.0), (89.999, -120.0), (-89.991, -70.0), (49.8, -179.999), (49.801, 24.001), (49.8, 30.0), (10.0, 10.0)]
+    places = spark.createDataFrame(
+        [(f"p{i}", None, "hamlet", None, *s) for i, s in enumerate(spots)],
+        "name string, name_en string, place string, population bigint, lat double, lon double",
+    )
+    points = spark.createDataFrame([(i, *s) for i, s in enumerate(asked)], "point_id int, lat double, lon double")
+
+    def meters(a, b):
+        (p, q), (r, s) = (tuple(map(math.radians, x)) for x in (a, b))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return 2 * C.EARTH_RADIUS_M * math.asin(math.sqrt(min(1, h)))
+
+    want = {}
+    for i, a in enumerate(asked):
+        near = [(meters(a, s), f"p{n}") for n, s in enumerate(spots) if meters(a, s) <= C.LOCALITY_RADII_M["hamlet"]]
+        want[i] = min(near)[1] if near else None
+    got = {r.point_id: r.locality and r.locality.name for r in roads.find_localities(points, places).collect()}
+    assert got == want and sum(v is not None for v in want.values()) >= 4

@@ -59,6 +59,16 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
 
 
+def on_globe(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The same place with a latitude from -90 to 90 and a longitude from -180 to 180."""
+    beyond = F.cos(F.radians(lat)) < 0
+    turned = lon + F.when(beyond, 180.0).otherwise(0.0)
+    return (
+        F.when(lat.between(-90, 90), lat).otherwise(F.degrees(F.asin(F.sin(F.radians(lat))))),
+        F.when(lat.between(-90, 90) & lon.between(-180, 180), lon).otherwise(turned - 360 * F.floor((turned + 180) / 360)),
+    )
+
+
 def lat_margin_deg(radius_m: float) -> float:
     """Degrees of latitude that cover a radius."""
     return radius_m / C.METERS_PER_DEGREE
