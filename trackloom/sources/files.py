@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackloom import constants as C
 from trackloom.functions import text
 from trackloom.operators.roads import chunks_in_box
+from trackloom.session import durable
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -67,18 +68,27 @@ def fingerprint_files(spark: SparkSession, path: str, changed: DataFrame | None
     return files.mapInPandas(read, "path string, name string, fingerprint string")
 
 
-def write_map(roads: DataFrame, chunks: DataFrame, localities: DataFrame, path: str, cell_deg: float = 1.0) -> None:
+def write_map(
+    roads: DataFrame, chunks: DataFrame, localities: DataFrame, path: str, cell_deg: float = 1.0, most_folders: int = 4096
+) -> None:
     """Write the map tables; chunks are laid out by the cell of their south-west corner.
 
-    How many cells the largest chunk spans is kept beside them, so that a reader knows which cells may
-    reach into a box.
+    Cells are doubled until the map has at most so many, each a folder, and chunks are sorted in them. The
+    size of the cells and how many the largest chunk spans are kept beside them, so that a reader knows
+    which cells may reach into a box.
     """
     roads.write.mode("overwrite").parquet(f"{path}/roads")
     def cell(name):
         return F.floor(F.col(name) / cell_deg).cast("int")
 
+    used = durable(chunks.select(cell("min_lat").alias("lat"), cell("min_lon").alias("lon")).distinct())
+    while used.count() > most_folders:
+        cell_deg *= 2
+        used = durable(used.select(*[F.floor(F.col(c) / 2).cast("int").alias(c) for c in ("lat", "lon")]).distinct())
     laid = chunks.withColumns({"cell_lat": cell("min_lat"), "cell_lon": cell("min_lon")})
-    laid.repartition("cell_lat", "cell_lon").write.mode("overwrite").partitionBy("cell_lat", "cell_lon").parquet(f"{path}/road_chunks")
+    laid.repartition("cell_lat", "cell_lon").sortWithinPartitions("cell_lat", "cell_lon", "min_lat").write.mode("overwrite").partitionBy(
+        "cell_lat", "cell_lon"
+    ).parquet(f"{path}/road_chunks")
     chunks.agg(
         F.lit(cell_deg).alias("cell_deg"), F.coalesce(F.max(cell("max_lat") - cell("min_lat")), F.lit(0)).alias("reach_lat"),
         F.coalesce(F.max(cell("max_lon") - cell("min_lon")), F.lit(0)).alias("reach_lon"),
