@@ -345,3 +345,27 @@ def test_activity_stream_agrees_with_batch(spark, samples):
         live.catch_up_batches(activity, live.write_batches(out), checkpoint).awaitTermination()
     got = live.latest_rows(spark.read.parquet(out), ("trip_id", "window_start"))
     assert rows(got) == rows(live.trip_activity(steps, *sizes))
+
+
+def test_recordings_with_long_numbers_are_told_apart(spark):
+    """Names hold six digits; two recordings of a second used to become one clip with a cut index."""
+    events = spark.sql(
+        "SELECT * FROM VALUES (1234567, 7, TIMESTAMP '2024-01-01 08:00:00', 'view'), "
+        "(1234568, 7, TIMESTAMP '2024-01-01 08:00:00', 'view') t(event_id, user_id, ts, event_type)"
+    )
+    listed = derived.clips_of(events)
+    assert {r.name for r in listed.collect()} == {"20240101080000_123456.MP4"}
+    parsed = library.parse_clips(library.one_per_name(listed, "camera_id"))
+    assert sorted((r.idx, r.copies) for r in parsed.collect()) == [(1234567, 1), (1234568, 1)]
+
+
+def test_large_maps_are_stored_in_few_folders(spark):
+    path = folder()
+    chunks = spark.range(500).select(
+        F.col("id").alias("way_id"), *[(F.col("id") * 0.1 + 0.01).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")]
+    )
+    files.write_map(chunks.select("way_id"), chunks, chunks.select("way_id"), path, 0.1, most_folders=50)
+    stored = spark.read.parquet(f"{path}/road_chunks")
+    assert 25 <= stored.select("cell_lat", "cell_lon").distinct().count() <= 50 and stored.count() == 500
+    got = files.read_chunks_in_box(spark, path, 1.95, 2.05, 1.95, 2.05)
+    assert [r.way_id for r in got.collect()] == [20]
