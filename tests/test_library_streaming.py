@@ -369,3 +369,14 @@ def test_large_maps_are_stored_in_few_folders(spark):
     assert 25 <= stored.select("cell_lat", "cell_lon").distinct().count() <= 50 and stored.count() == 500
     got = files.read_chunks_in_box(spark, path, 1.95, 2.05, 1.95, 2.05)
     assert [r.way_id for r in got.collect()] == [20]
+
+
+def test_documents_are_written_many_to_a_file(spark, tmp_path):
+    texts = spark.range(3000).select(
+        F.col("id").cast("string").alias("file_stem"), F.concat(F.lit('{"a":\n'), F.col("id").cast("string"), F.lit("}")).alias("text")
+    ).unionByName(spark.createDataFrame([("bad", "{")], "file_stem string, text string"))
+    tracks.write_documents(texts, f"{tmp_path}/docs")
+    assert len(list((tmp_path / "docs").rglob("*.parquet"))) <= 20
+    read = tracks.read_documents(spark, f"{tmp_path}/docs", bundled=True)
+    got = {r.file_stem: r.v for r in read.select("file_stem", F.expr("variant_get(document, '$.a', 'int')").alias("v")).collect()}
+    assert got == {**{str(i): i for i in range(3000)}, "bad": None}

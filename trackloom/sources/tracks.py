@@ -30,20 +30,29 @@ _ENRICHMENT = (
 _RANGES = "array<array<double>>"
 
 
+# Documents of a bundle: enough that files are few, so few that every reader gets some.
+BUNDLE = 1000
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Write document texts ``(file_stem, text)``, one folder per stem. Texts need not be JSON."""
-    documents.select("file_stem", "text").write.partitionBy("file_stem").mode("append").text(path)
+    """Write document texts ``(file_stem, text)``, many to a file. Texts need not be JSON.
+
+    A file for each would have to be created, listed and opened, which takes far longer than its text. The
+    files are not compressed, so that their sizes tell how much text a task gets.
+    """
+    documents.select("file_stem", "text").write.option("maxRecordsPerFile", BUNDLE).option("compression", "none").mode(
+        "append"
+    ).parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
     """Raw documents ``(file_stem, document)``; the document is null when it is not JSON.
 
-    A byte order mark is accepted. The stem is the name of the file, or with ``by_folder`` that of its
-    folder, as ``write_documents`` lays them out.
+    A byte order mark is accepted. Each file is a document and its name the stem, or with ``bundled`` the
+    files are those of ``write_documents``.
     """
-    if by_folder:
-        # a whole file is one value, so a text may hold line breaks
-        files = spark.read.schema("value string, file_stem string").text(path, wholetext=True)
+    if bundled:
+        files = spark.read.schema("file_stem string, text string").parquet(path).withColumnRenamed("text", "value")
         stem = F.col("file_stem")
     else:
         files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
