@@ -318,6 +318,23 @@ def test_segments_of_one_batch_and_of_single_fixes(spark):
     assert rows(got, "trip_id", "seq", "segment") == sorted([(1, i, i // 3 + 1) for i in range(12)] + [(2, 0, 1)], key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+def test_states_of_many_trips_travel_together(spark):
+    """Every trip used to make its own calls to the state store; many short trips took seconds each thousand."""
+    many = spark.range(3000).select(
+        "id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq")
+    ).select(
+        F.col("id").alias("trip_id"), "seq", F.col("seq").cast("double").alias("t"),
+        (F.lit(49.0) + F.floor(F.col("seq") / 2) * 0.5).alias("lat"), F.lit(24.0).alias("lon"),
+    )
+    path = folder()
+    for part in ("seq < 1", "seq >= 1"):
+        many.where(part).coalesce(1).write.mode("append").parquet(path)
+    found = live.live_segments(spark.readStream.schema(many.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    assert "FlatMapGroupsInPandasWithState" in found._jdf.queryExecution().logical().toString()
+    got = run(found).groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("seq", "segment"))).alias("s"))
+    assert [list(map(tuple, r.s)) for r in got.select("s").distinct().collect()] == [[(0, 1), (1, 1), (2, 2), (3, 2)]]
+
+
 def test_closed_trips_are_cleaned(spark, readings, samples):
     path, out, checkpoint = folder(), folder(), folder()
     # three dates beside each other; the clock texts keep theirs

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackloom import constants as C
 from trackloom.operators import cleaning, library
@@ -244,24 +245,19 @@ def write_unlogged(spark: SparkSession, log_path: str, out_path: str) -> Callabl
 # --- segments and cleaning -----------------------------------------------------------------------------
 
 
-class SegmentNumbers(StatefulProcessor):
-    """Number the reachable segments of each trip while its fixes arrive in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "segment bigint, t double, lat double, lon double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fixes = pd.concat(list(rows)).sort_values(["t", "seq"], ignore_index=True)
-        t, lat, lon = (fixes[c].to_numpy(dtype=float) for c in ("t", "lat", "lon"))
-        # the fix before the batch stands before its first; without one that is the first itself
-        segment, *before = self.last.get() if self.last.exists() else (1, t[0], lat[0], lon[0])
-        far = _speeds(*(np.concatenate([[a], b]) for a, b in zip(before, (t, lat, lon)))) > C.MAX_SPEED_KMH
-        numbers = segment + np.cumsum(far)
-        self.last.update((int(numbers[-1]), float(t[-1]), float(lat[-1]), float(lon[-1])))
-        yield fixes.assign(segment=numbers)[["trip_id", "seq", "t", "segment"]]
-
-    def close(self) -> None:
-        pass
+def _number_segments(key: tuple, batches: Iterator[pd.DataFrame], last: GroupState) -> Iterator[pd.DataFrame]:
+    """Number the reachable segments of a trip while its fixes arrive in order; the state is its last fix."""
+    parts = list(batches)
+    fixes = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    seq, t, lat, lon = (fixes[c].to_numpy() for c in ("seq", "t", "lat", "lon"))
+    order = np.lexsort((seq, t))
+    seq, t, lat, lon = (values[order] for values in (seq, t, lat, lon))
+    # the fix before the batch stands before its first; without one that is the first itself
+    segment, *before = last.get if last.exists else (1, t[0], lat[0], lon[0])
+    far = _speeds(*(np.concatenate([[a], b]) for a, b in zip(before, (t, lat, lon)))) > C.MAX_SPEED_KMH
+    numbers = segment + np.cumsum(far)
+    last.update((int(numbers[-1]), float(t[-1]), float(lat[-1]), float(lon[-1])))
+    yield pd.DataFrame({"trip_id": key[0], "seq": seq, "t": t, "segment": numbers})
 
 
 def _speeds(t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -274,13 +270,13 @@ def _speeds(t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 def live_segments(fixes: DataFrame) -> DataFrame:
     """Segment number of each arriving fix ``(trip_id, seq, t, lat, lon)``.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    The states of many trips travel with their fixes in the same Arrow batches, so a trip costs no calls
+    of its own between Python and the state store.
     """
     trip_type = dict(fixes.dtypes)["trip_id"]
-    return fixes.groupBy("trip_id").transformWithStateInPandas(
-        statefulProcessor=SegmentNumbers(),
-        outputStructType=f"trip_id {trip_type}, seq int, t double, segment bigint",
-        outputMode="Append", timeMode="None",
+    return fixes.groupBy("trip_id").applyInPandasWithState(
+        _number_segments, f"trip_id {trip_type}, seq int, t double, segment bigint",
+        "segment bigint, t double, lat double, lon double", "append", GroupStateTimeout.NoTimeout,
     )
 
 
