@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from trackloom.functions import report
-from trackloom.operators import blocks, cleaning, library, roads, search, stats
+from trackloom.operators import blocks, cleaning, library, quality, roads, search, stats
 from trackloom.operators.blocks import NO_HOT_KEYS, HotKeys
 from trackloom.plans import importing
 from trackloom.session import durable
@@ -397,3 +397,23 @@ def test_documents_are_written_many_to_a_file(spark, tmp_path):
     read = tracks.read_documents(spark, f"{tmp_path}/docs", bundled=True)
     got = {r.file_stem: r.v for r in read.select("file_stem", F.expr("variant_get(document, '$.a', 'int')").alias("v")).collect()}
     assert got == {**{str(i): i for i in range(3000)}, "bad": None}
+
+
+def test_tokens_of_frames_are_shuffled_once(spark):
+    token = "trip_id int, frame_t double, kind string, text string, x int, min_score double, mean_score double"
+    found = spark.createDataFrame([
+        (1, 0.0, "date", "2024/01/01", 1000, 0.9, 0.9), (1, 0.0, "date", "2023/01/01", 0, 0.5, 0.5),
+        (1, 0.0, "time", "08:00:00", 1216, 0.8, 0.9), (1, 0.0, "speed", "30 KM/H", 0, 0.7, 0.8),
+        (1, 0.0, "speed", "8 KM/H", 1010, 0.99, 0.99),
+        (1, 0.0, "lat-prefix", "N49.8", 200, 0.9, 0.9), (1, 0.0, "lon-prefix", "E24.0", 400, 0.9, 0.9),
+        (1, 0.0, "lat-suffix", "50.0N", 218, 0.99, 0.99),
+        # a frame without a clock covers nothing, whatever its neighbours show
+        (1, 1.0, "speed", "8 KM/H", 1010, 0.99, 0.99), (2, 0.0, "date", "2024/01/01", 1000, 0.9, 0.9),
+    ], token)
+    composed = quality.compose_readings(found)
+    assert rows(composed, "trip_id", "t", "gps_text", "clock_text", "gps_score", "clock_score") == [
+        (1, 0.0, "30 KM/H N49.8 E24.0", "2024/01/01 08:00:00", 0.7, 0.8), (1, 1.0, "8 KM/H", "", 0.99, -1.0),
+        (2, 0.0, "", "2024/01/01", -1.0, 0.9),
+    ]
+    plan = composed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("+- Sort [") == 1

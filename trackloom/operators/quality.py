@@ -130,17 +130,18 @@ def choose_tokens(tokens: DataFrame) -> DataFrame:
     time, speed, lat-prefix, lon-prefix, lat-suffix, lon-suffix. Coordinates are taken in the
     style with more tokens, then the larger sum of mean scores (prefix on a tie).
     """
-    frame = ["trip_id", "frame_t"]
+    # As text, because Spark normalizes a fractional key in every step anew, and shuffles it again.
+    tokens = tokens.withColumn("_frame", (F.col("frame_t") + F.lit(0.0)).cast("string"))
+    frame = ["trip_id", "_frame"]
     token = F.struct("text", "x", "min_score", "mean_score")
     order = F.struct("mean_score", "min_score", -F.col("x"))
 
     def best(kind: str) -> Column:
-        return F.max_by(token, F.when(F.col("kind") == kind, order)).alias(kind)
+        return F.max_by(token, F.when(F.col("kind") == kind, order))
 
-    clock = tokens.where(F.col("kind").isin("date", "time")).groupBy(*frame).agg(
-        best("date"), best("time")
-    )
-    joined = tokens.join(clock, frame, "left")
+    # One shuffle and one sort by frame serve this window and the grouping below.
+    whole = Window.partitionBy(*frame)
+    joined = tokens.withColumns({kind: best(kind).over(whole) for kind in ("date", "time")})
 
     def covered(name: str) -> Column:
         start = F.col(f"{name}.x") - (C.CELL_WIDTH_PX - 1)
@@ -151,7 +152,9 @@ def choose_tokens(tokens: DataFrame) -> DataFrame:
         F.col("kind").isin("date", "time") | (~covered("date") & ~covered("time"))
     )
     kinds = ("date", "time", "speed", "lat-prefix", "lon-prefix", "lat-suffix", "lon-suffix")
-    wide = usable.groupBy(*frame).agg(*[best(kind) for kind in kinds])
+    wide = usable.groupBy(*frame).agg(
+        F.max("frame_t").alias("frame_t"), *[best(kind).alias(kind) for kind in kinds]
+    )
 
     def style_rank(style: str) -> Column:
         parts = [F.col(f"`{c}-{style}`") for c in ("lat", "lon")]
@@ -160,7 +163,7 @@ def choose_tokens(tokens: DataFrame) -> DataFrame:
         return F.struct(found.alias("n"), score.alias("s"))
 
     wide = wide.withColumn("_prefix", style_rank("prefix") >= style_rank("suffix"))
-    return wide.select(*frame, "date", "time", "speed", *[
+    return wide.select("trip_id", "frame_t", "date", "time", "speed", *[
         F.when(F.col("_prefix"), F.col(f"`{c}-prefix`")).otherwise(F.col(f"`{c}-suffix`")).alias(c)
         for c in ("lat", "lon")
     ])
