@@ -199,6 +199,23 @@ def test_reclean_keeps_other_tracks(spark, samples, readings):
     assert after.where("cleaning_version = 2").count() == chosen.count()
 
 
+def test_import_hashes_the_samples_once_and_stores_what_the_rename_plan_reads(spark, readings, monkeypatch):
+    digest, planned, hashed = importing.roads.samples_digest, [], []
+    monkeypatch.setattr(importing.roads, "samples_digest", lambda samples: hashed.append(samples) or digest(samples))
+    monkeypatch.setattr(importing.naming, "plan_renames", lambda trips, *rest, **options: planned.append(trips))
+    ways, nodes = derived.road_ways(spark, SMALL), derived.road_nodes(spark, SMALL)
+    tables = tuple(durable(t) for t in roads.load_map(nodes, ways, on_globe=False))
+    headers, videos = derived.trip_tracks(spark, SMALL), derived.library_files(spark, SMALL)
+    done = importing.import_all(readings, headers, videos, tables, timezone=derived.TIMEZONE)
+    assert len(hashed) == 1
+    # read from a table: neither samples nor digests are computed again whenever the plan reads its trips
+    assert "Exchange" not in planned[0]._jdf.queryExecution().executedPlan().toString()
+    enriched = headers.join(done["trips"].select("trip_id", "enrichment"), "trip_id", "left")
+    expected = importing.rename_inputs(enriched, done["samples"], digest(done["samples"]), derived.TIMEZONE)
+    assert rows(planned[0], *expected.columns) == rows(expected, *expected.columns)
+    assert planned[0].where("enrichment_status = 'current'").count() == done["trips"].count()
+
+
 # --- streaming --------------------------------------------------------------------------------------
 
 

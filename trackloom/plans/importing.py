@@ -93,8 +93,10 @@ def import_all(
     streets, trips = enriching.enrich(samples, map_tables, hot=hot)
     trips = durable(trips)
     enriched = tracks.drop("enrichment").join(trips.select("trip_id", "enrichment"), "trip_id", "left")
+    # The digests are those just written with the trips; the plan reads its inputs several times.
+    digests = trips.select("trip_id", F.col("enrichment.samples_digest").alias("samples_digest"))
     names = naming.plan_renames(
-        rename_inputs(enriched, samples, roads.samples_digest(samples), timezone), streets,
+        durable(rename_inputs(enriched, samples, digests, timezone)), streets,
         naming.taken_stems(videos, enriched.select(text.stem(F.col("video_filename")).alias("stem"))),
         car_model, hot=hot,
     )
