@@ -199,6 +199,15 @@ def test_reclean_keeps_other_tracks(spark, samples, readings):
     assert after.where("cleaning_version = 2").count() == chosen.count()
 
 
+def test_names_are_searched_once_per_trip(spark, samples):
+    headers = derived.trip_tracks(spark, SMALL)
+    found = headers.where(F.col("video_filename").rlike("Trip 0"))
+    # the pattern is matched on the trips, not on the events that they are derived from
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    trips = {r.trip_id for r in samples.select("trip_id").distinct().collect()}
+    assert {r.trip_id for r in headers.collect()} == trips and headers.count() == len(trips)
+
+
 def test_import_hashes_the_samples_once_and_stores_what_the_rename_plan_reads(spark, readings, monkeypatch):
     digest, planned, hashed = importing.roads.samples_digest, [], []
     monkeypatch.setattr(importing.roads, "samples_digest", lambda samples: hashed.append(samples) or digest(samples))

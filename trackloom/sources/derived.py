@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackloom.functions import text
 from trackloom.operators.blocks import Ordering, RunningSum, by_group, scan
+from trackloom.session import durable
 
 TRIP_DATE = "2024-01-01"
 TIMEZONE = "Europe/Kyiv"
@@ -266,8 +267,11 @@ def leftovers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trip_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """One track per trip of the readings, named by a placeholder; a few have no overlay."""
-    users = table(spark, folder, "events").select(F.col("user_id").alias("trip_id")).distinct()
+    """One track per trip of the readings, named by a placeholder; a few have no overlay.
+
+    The trips are stored: a filter on names would be pushed below the distinct and be evaluated for every event.
+    """
+    users = durable(table(spark, folder, "events").select(F.col("user_id").alias("trip_id")).distinct())
     trip = F.col("trip_id")
     day = F.date_format(F.date_add(F.lit(TRIP_DATE).cast("date"), (trip % 3).cast("int")), "yyyy-MM-dd")
     return users.select(
