@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from trackloom.functions import text
 from trackloom.operators import blocks, chains, cleaning
 
 RAW = (
@@ -180,6 +181,33 @@ def test_repeated_hour_is_resolved_by_the_step_back(cleaned):
         assert [r.time for r in cleaned[name]] == [start + datetime.timedelta(seconds=i) for i in range(40)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_parsed_once(spark, readings):
+    samples = cleaning.clean_tracks(readings, hot=blocks.NO_HOT_KEYS)
+    assert "RLIKE" in _plan(cleaning.parse_readings(cleaning.attach_overrides(readings, None), blocks.trips()))
+    assert "RLIKE" not in _plan(samples)
+
+
+def test_votes_and_scans_of_a_trip_share_one_sort(readings):
+    parsed = cleaning.parse_readings(cleaning.attach_overrides(readings, None), blocks.trips())
+    assert _plan(parsed).count("Sort [") == 1
+
+
+def test_clock_texts_of_every_layout(spark):
+    texts = ["2024/01/02 03:04:05", "2024.1/2 3:04:05", "02/01/2024 03:04:05", "1.2.2024 23:59:59", "02/01/202 03:04:05",
+             "2024/01/2024 03:04:05", "2024/02/30 03:04:05", "2024/01/02 24:00:00", "2024-01-02 03:04:05", "123/1/24 03:04:05", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").withColumn("p", text.clock_parts(F.col("c")))
+    found = df.select(text.clock_from_parts(F.col("p")).cast("string"), text.clock_from_parts(F.col("p"), False).cast("string")).collect()
+    year_first = ("2024-01-02 03:04:05",) * 2
+    assert [tuple(r) for r in found] == [
+        year_first, year_first, ("2024-01-02 03:04:05", "2024-02-01 03:04:05"), ("2024-02-01 23:59:59", "2024-01-02 23:59:59"),
+        *[(None, None)] * 7,
+    ]
+
+
 def test_positions_outside_the_allowed_areas_are_spoofed(spark):
     df = frame(spark, {"a": drive(12)})
     parsed = cleaning.parse_readings(cleaning.attach_overrides(df, None), blocks.trips(), [(0, 0, 1, 1)])

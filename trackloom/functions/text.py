@@ -44,16 +44,29 @@ def parse_gps_text(text: Column) -> Column:
 
 def clock_parts(text: Column) -> Column:
     """The six numbers of a clock text as strings, or null when it does not have the format."""
-    return F.when(text.rlike(C.CLOCK_TEXT_REGEX), F.split(text, "[/. :]"))
+    # one plain separator: splitting by a pattern would compile it for every row
+    spaced = F.translate(text, "/.:", "   ")
+    return F.when(text.rlike(C.CLOCK_TEXT_REGEX), F.split(spaced, " "))
+
+
+def clock_numbers(parts: Column) -> Column:
+    """Struct of the numbers in the parts of a clock text and the widths of its outer date numbers, else null.
+
+    Keep it as a column of its own: what is derived from it then converts no text again.
+    """
+    names = ("first", "middle", "last", "hour", "minute", "second")
+    return F.when(parts.isNotNull(), F.struct(
+        *[F.get(parts, i).cast("int").alias(name) for i, name in enumerate(names)],
+        F.length(F.get(parts, 0)).alias("first_width"), F.length(F.get(parts, 2)).alias("last_width"),
+    ))
 
 
 def year_last_numbers(parts: Column) -> Column:
     """Struct of the first two numbers of a date written with the year last, else null."""
+    numbers = clock_numbers(parts)
     return F.when(
-        F.length(F.get(parts, 2)) == 4,
-        F.struct(
-            F.get(parts, 0).cast("int").alias("first"), F.get(parts, 1).cast("int").alias("middle")
-        ),
+        numbers["last_width"] == 4,
+        F.struct(numbers["first"].alias("first"), numbers["middle"].alias("middle")),
     )
 
 
@@ -64,22 +77,37 @@ def split_year_last_date(text: Column) -> Column:
 
 def clock_from_parts(parts: Column, day_first: bool = True) -> Column:
     """Local wall time (as a UTC-session timestamp) from the parts of a clock text, or null."""
-    def number(index: int) -> Column:
-        return F.get(parts, index).cast("int")
+    numbers = clock_numbers(parts)
+    return F.coalesce(clock_year_first(numbers), clock_year_last(numbers, day_first))
+
+
+def clock_year_first(numbers: Column) -> Column:
+    """Local wall time from the numbers of a clock text with the year first, or null."""
+    is_year_first = (numbers["first_width"] == 4) & (numbers["last_width"] <= 2)
+    return F.when(
+        _is_time(numbers) & is_year_first,
+        _moment(numbers["first"], numbers["middle"], numbers["last"], _day_seconds(numbers)),
+    )
 
-    length_first, length_last = F.length(F.get(parts, 0)), F.length(F.get(parts, 2))
-    day, month = (number(0), number(1)) if day_first else (number(1), number(0))
-    seconds = number(3) * 3600 + number(4) * 60 + number(5)
-    in_range = (number(3) <= 23) & (number(4) <= 59) & (number(5) <= 59)
+
+def clock_year_last(numbers: Column, day_first: bool = True) -> Column:
+    """Local wall time from the numbers of a clock text with the year last, or null."""
+    is_year_last = (numbers["last_width"] == 4) & (numbers["first_width"] <= 2)
+    day, month = ("first", "middle") if day_first else ("middle", "first")
     return F.when(
-        in_range & (length_first == 4) & (length_last <= 2),
-        _moment(number(0), number(1), number(2), seconds),
-    ).when(
-        in_range & (length_last == 4) & (length_first <= 2),
-        _moment(number(2), month, day, seconds),
+        _is_time(numbers) & is_year_last,
+        _moment(numbers["last"], numbers[month], numbers[day], _day_seconds(numbers)),
     )
 
 
+def _is_time(numbers: Column) -> Column:
+    return (numbers["hour"] <= 23) & (numbers["minute"] <= 59) & (numbers["second"] <= 59)
+
+
+def _day_seconds(numbers: Column) -> Column:
+    return numbers["hour"] * 3600 + numbers["minute"] * 60 + numbers["second"]
+
+
 def _moment(year: Column, month: Column, day: Column, seconds: Column) -> Column:
     """Timestamp of a valid calendar day, or null. Whole-number checks avoid failed attempts."""
     is_leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))

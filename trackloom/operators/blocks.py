@@ -219,7 +219,9 @@ class GroupTotal(Spec):
         self.function = function
 
     def local(self, ordering):
-        return self.function(self.value).over(Window.partitionBy(*ordering.partition))
+        # in the order of the other scans, so that the rows are sorted once for all of them
+        whole = ordering.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return self.function(self.value).over(whole)
 
     def edge(self, ordering):
         return self.function(self.value)

@@ -113,13 +113,18 @@ def with_clocks(df: DataFrame) -> DataFrame:
     """
     reliable = text.is_reliable(F.col("clock_text"), F.col("clock_score"))
     df = df.withColumn("_parts", F.when(reliable, text.clock_parts(F.col("clock_text"))))
-    numbers = text.year_last_numbers(F.col("_parts"))
+    df = df.withColumn("_numbers", text.clock_numbers(F.col("_parts"))).drop("_parts")
+    numbers = F.col("_numbers")
+    # most clocks have the year first and are the same in both orders
+    df = df.withColumn("_year_first", text.clock_year_first(numbers))
+    is_year_last = numbers["last_width"] == 4
     df = df.withColumns({
-        "_day_first": text.clock_from_parts(F.col("_parts"), True),
-        "_month_first": text.clock_from_parts(F.col("_parts"), False),
-        "_vote_day": F.when(numbers["first"] > C.MAX_MONTH, 1).otherwise(0),
-        "_vote_month": F.when(numbers["middle"] > C.MAX_MONTH, 1).otherwise(0),
-    })
+        "_day_first": F.coalesce("_year_first", text.clock_year_last(numbers, True)),
+        "_month_first": F.coalesce("_year_first", text.clock_year_last(numbers, False)),
+        "_vote_day": F.when(is_year_last & (numbers["first"] > C.MAX_MONTH), 1).otherwise(0),
+        "_vote_month": F.when(is_year_last & (numbers["middle"] > C.MAX_MONTH), 1).otherwise(0),
+    }).drop("_numbers", "_year_first")
+
     def on_date(clock: str) -> Column:
         return F.when(F.to_date(clock) == F.col("trip_date"), 1).otherwise(0)
 
@@ -165,7 +170,7 @@ def parse_readings(
         F.col("gps_text"), F.col("gps"), in_ranges(F.col("t"), "bad_ranges"),
         is_allowed_position(F.col("gps.lat"), F.col("gps.lon"), areas),
     ))
-    df = scan(with_clocks(df).drop("_parts"), ordering, **{
+    df = scan(with_clocks(df), ordering, **{
         f"_sum_{name}": GroupTotal(F.col(f"_vote_{name}")) for name in VOTES
     })
     clock = F.when(is_day_first("_sum_"), F.col("_day_first")).otherwise(F.col("_month_first"))
@@ -357,10 +362,12 @@ def attach_kept(rows: DataFrame, kept: DataFrame, fixes: DataFrame, ordering: Or
 
 def detect_good_fixes(parsed: DataFrame, ordering: Ordering) -> DataFrame:
     """Add the final status of every sample (gaps are filled later)."""
-    rows = durable(parsed) if ordering.blocked else parsed
+    # Parsed readings are written once: the segments are summarized before any status is known, and
+    # without the table every text would be parsed, and every trip be sorted, for both again.
+    rows = durable(parsed)
     fixes = rows.where(F.col("initial_status") == C.OK)
-    # One row per segment. Writing this small table keeps the samples from being parsed again
-    # for each of its uses.
+    # One row per segment. Writing this small table keeps the fixes from being paired again for
+    # each of its uses.
     segments = durable(summarize_segments(speed_pairs(fixes, ordering)))
     kept = select_chain(plausible_segments(segments))
     rows = attach_kept(rows, kept, fixes, ordering)
