@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from trackloom import constants as C
+from trackloom.catalog.oracles import hav
 from trackloom.operators import blocks, geometry, roads, stats
 from trackloom.operators.blocks import NO_HOT_KEYS
 from trackloom.plans import enriching
@@ -261,6 +263,26 @@ def test_localities_anywhere_agree_with_brute_force(spark):
     assert got == want and sum(v is not None for v in want.values()) >= 4
 
 
+def test_localities_a_turn_apart_agree_with_sql(spark):
+    """On a long flat map two places are equally far but for the last digit, where Java's sines used to decide."""
+    con = duckdb.connect()
+    asked = [(49.91, 24.004), (50.55, 24.0), (50.63, 24.002), (50.71, 24.004), (51.45, 24.0), (51.53, 24.002)]
+    con.execute("CREATE TABLE points (point_id INTEGER, lat DOUBLE, lon DOUBLE)")
+    con.executemany("INSERT INTO points VALUES (?, ?, ?)", [(i, *p) for i, p in enumerate(asked)])
+    con.execute("""CREATE TABLE places AS SELECT CASE t WHEN 0 THEN 'b' ELSE 'a' END || k AS name,
+        (4980 + k) / 100 + t AS lat, 24 + k % 2 / 200 AS lon FROM range(180) r(k), (VALUES (0), (360)) s(t)""")
+    meters = hav("e.lat", "e.lon", "p.lat", "p.lon")
+    want = dict(con.execute(f"""SELECT point_id, p.name FROM points e JOIN places p ON {meters} <= 500
+        QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY {meters} / 500, p.name) = 1""").fetchall())
+    points = spark.createDataFrame(con.execute("FROM points").fetchall(), "point_id int, lat double, lon double")
+    places = spark.createDataFrame(con.execute("FROM places").fetchall(), "name string, lat double, lon double")
+    hamlets = places.selectExpr(
+        "name", "cast(null as string) name_en", "'hamlet' place", "cast(null as bigint) population", "lat", "lon"
+    )
+    got = {r.point_id: r.locality.name for r in roads.find_localities(points, hamlets).collect()}
+    assert got == want and {v[0] for v in want.values()} == {"a", "b"}
+
+
 def test_roads_beyond_the_poles_take_no_cells(spark):
     """No sample can be there, and beyond a pole the margin of longitudes used to be at its widest."""
     leg = "array(named_struct('lat', {0}, 'lon', 24.0), named_struct('lat', {0} + 0.001, 'lon', 24.0))"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import math
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from trackloom import constants as C
 
@@ -15,6 +18,21 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * C.EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+@F.pandas_udf(T.DoubleType())
+def libm_haversine_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    """Great-circle distance in meters, with the sines of the C library, which other engines use.
+
+    Java's differ from them in the last digit, which decides between places that are equally far but for
+    rounding. Only for few rows, and only for positions that are known.
+    """
+    def meters(p, lon_p, q, lon_q):
+        a, b = math.radians(p), math.radians(q)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon_q - lon_p) / 2) ** 2
+        return 2 * C.EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, h)))
+
+    return pd.Series(list(map(meters, lat1, lon1, lat2, lon2)), dtype=float)
+
+
 def implied_speed_kmh(distance_m: Column, duration_s: Column) -> Column:
     """Speed needed for a distance; without any time it is infinite (or 0 for no distance)."""
     return F.when(
