@@ -36,7 +36,7 @@ def test_query_without_sql_has_rows(spark, name):
 
 @pytest.mark.parametrize("name", ["j7_localities", "p28_trip_routes"])
 def test_places_a_turn_apart_equal_their_sql(spark, tmp_path, name):
-    """The last position of this trip is as far from two suppliers, but for the last digit."""
+    """The first position of this trip is as far from two suppliers, but for the last digit."""
     duckdb.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 560::BIGINT AS user_id
         FROM range(1, 53) r(i) UNION ALL SELECT i + 1, TIMESTAMP '2024-01-01' + to_seconds(i), 560 FROM range(53, 66) r(i))
         TO '{tmp_path}/events.parquet'""")

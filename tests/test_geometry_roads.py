@@ -264,7 +264,7 @@ def test_localities_anywhere_agree_with_brute_force(spark):
 
 
 def test_localities_a_turn_apart_agree_with_sql(spark):
-    """On a long flat map two places are equally far but for the last digit, where Java's sines used to decide."""
+    """On a long flat map two places are equally far but for the last digit, which used to be another than in SQL."""
     con = duckdb.connect()
     asked = [(49.91, 24.004), (50.55, 24.0), (50.63, 24.002), (50.71, 24.004), (51.45, 24.0), (51.53, 24.002)]
     con.execute("CREATE TABLE points (point_id INTEGER, lat DOUBLE, lon DOUBLE)")

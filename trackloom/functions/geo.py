@@ -20,10 +20,10 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 @F.pandas_udf(T.DoubleType())
 def libm_haversine_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    """Great-circle distance in meters, with the sines of the C library, which other engines use.
+    """Great-circle distance in meters to the last digit, by the steps and the C library that SQL uses.
 
-    Java's differ from them in the last digit, which decides between places that are equally far but for
-    rounding. Only for few rows, and only for positions that are known.
+    Another order of the products often differs in that digit, Java's cosines now and then; it decides between
+    places that are equally far but for rounding. Only for few rows, and only for positions that are known.
     """
     def meters(p, lon_p, q, lon_q):
         a, b = math.radians(p), math.radians(q)
